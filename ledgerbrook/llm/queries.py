@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm import line_dedup, packing
-from ledgerbrook.llm.common import table
+from ledgerbrook.llm import langid, line_dedup, packing, toxicity
+from ledgerbrook.llm.common import fold, table
+
+#: Rows of this remainder (of four) are never learnt from.
+HELD_OUT = 2
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -15,6 +18,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != HELD_OUT)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -24,7 +34,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
+def fit_langid(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.where(fold(F.col("doc_id")) != HELD_OUT), F.col("text"), F.col("lang"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), fit_langid(docs))
+    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op5_line_dedup": """
