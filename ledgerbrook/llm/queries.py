@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm import langid, line_dedup, packing, toxicity
+from ledgerbrook.llm import jaccard_join, langid, line_dedup, packing, toxicity
 from ledgerbrook.llm.common import fold, table
 
 #: Rows of this remainder (of four) are never learnt from.
@@ -44,7 +44,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op5_line_dedup": """
