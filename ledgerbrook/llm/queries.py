@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm import jaccard_join, langid, line_dedup, packing, toxicity
+from ledgerbrook.llm import jaccard_join, langid, line_dedup, mixing, packing, toxicity
 from ledgerbrook.llm.common import fold, table
 
 #: Rows of this remainder (of four) are never learnt from.
@@ -29,6 +29,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.size("mix_shards")).alias("taken"),
+        F.col("source"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,7 +60,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op4_source_mixing": op4_source_mixing, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op5_line_dedup": """
