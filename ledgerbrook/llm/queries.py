@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm import jaccard_join, langid, line_dedup, mixing, packing, toxicity
+from ledgerbrook.llm import html_text, jaccard_join, langid, line_dedup, mixing, packing, toxicity
 from ledgerbrook.llm.common import fold, table
 
 #: Rows of this remainder (of four) are never learnt from.
@@ -29,6 +29,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select(
@@ -60,7 +64,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op4_source_mixing": op4_source_mixing, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op3_html_extraction": op3_html_extraction, "op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op4_source_mixing": op4_source_mixing, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op5_line_dedup": """
