@@ -15,9 +15,9 @@ of documents, over all documents, the most frequent ``MOST_FREQUENT`` at most.
 
 Copies (equal sets) are one class from the start. Documents under one key are paired if they are at most ``PAIR_ALL``;
 in a longer run all meet the first one, and the run is kept. Candidates are verified against whole sets, recomputed from
-the texts. First each class meets the partner it shares most keys with; what these links join needs no more pairs.
-Then all other candidates, and all pairs of kept runs that lie in different components, are verified as well.
-No candidate is dropped, so the components are exact, but for collisions of 64-bit numbers.
+the texts. First each class meets the partner it shares most keys with; what these links join needs no more pairs. Then come all
+other candidates, and all pairs of kept runs, that lie in different components and share so many keys as similar sets of
+their sizes must. No similar pair is dropped, so the components are exact, but for collisions of 64-bit numbers.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and link with nothing; fewer words than
 ``width`` make one shingle; repeated rows are copies; a null id is allowed (a component's id is its smallest known
@@ -103,6 +103,16 @@ def least_shared(n, percent: int):
     return -(-n * percent // 100)
 
 
+def least_common(n, m, percent: int):
+    """What two similar sets of n and m share at least in their prefixes.
+
+    The prefix that ends first in the order holds all of its set's shared shingles up to there, and its set has only so
+    many shingles that the other lacks.
+    """
+    most = np.maximum(n, m)
+    return 2 + -(-(n + m) * percent // (100 + percent)) - least_shared(most, percent)
+
+
 def _profile(width: int, id_type, names):
     """Per document (id, n, cls); per block the shingles that recur in it, with their counts (kind 1)."""
 
@@ -207,7 +217,7 @@ def _index(width: int, percent: int, frequent, buckets: int):
 
 
 def pairs_of_runs(e: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Candidates (a, b, shared keys, mixed) and kept runs (key, cls, n, flag) among entries of whole keys."""
+    """Candidates (a, b, shared keys, mixed, least_common) and kept runs (key, cls, n, flag) among entries of whole keys."""
     e = e[np.lexsort((e["cls"], e["key"]))]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
@@ -227,29 +237,30 @@ def pairs_of_runs(e: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
         runs.append(np.arange(a, a + n))
     if not left:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, e[:0]
+        return none, none, none, none, none, e[:0]
     i, j = np.concatenate(left), np.concatenate(right)
     a, b = e[i], e[j]
     low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
     ok = (low * 100 >= high * percent) & ~((a["flag"] & b["flag"] & LIGHT) > 0)
     mixed = ((a["flag"] & b["flag"] & MIXED) > 0)[ok]
+    need = least_common(low[ok], high[ok], percent)
     both = np.stack([a["cls"][ok], b["cls"][ok]], axis=1)  # sorted by cls within a key
     order = np.lexsort((both[:, 1], both[:, 0]))
-    both, mixed = both[order], mixed[order]
+    both, mixed, need = both[order], mixed[order], need[order]
     first = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])) if len(both) else np.zeros(0, np.int64)
     count = np.diff([*first, len(both)])
-    return both[first, 0], both[first, 1], count, mixed[first].astype(np.int64), e[np.concatenate(runs)] if runs else e[:0]
+    return both[first, 0], both[first, 1], count, mixed[first].astype(np.int64), need[first], e[np.concatenate(runs)] if runs else e[:0]
 
 
-PAIR_SCHEMA = "kind int, a long, b long, n long, flag long"
+PAIR_SCHEMA = "kind int, a long, b long, n long, flag long, need long"
 
 
 def _pairs(percent: int):
     def run(key, rows):
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()])
-        a, b, count, mixed, runs = pairs_of_runs(e, percent)
-        cols = [np.repeat([0, 1], [len(a), len(runs)]).astype(np.int32), np.concatenate([a, runs["key"].view(np.int64)]), np.concatenate([b, runs["cls"]]), np.concatenate([count, runs["n"].astype(np.int64)]), np.concatenate([mixed, runs["flag"].astype(np.int64)])]
-        return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "flag"])
+        a, b, count, mixed, need, runs = pairs_of_runs(e, percent)
+        cols = [np.repeat([0, 1], [len(a), len(runs)]).astype(np.int32), np.concatenate([a, runs["key"].view(np.int64)]), np.concatenate([b, runs["cls"]]), np.concatenate([count, runs["n"].astype(np.int64)]), np.concatenate([mixed, runs["flag"].astype(np.int64)]), np.concatenate([need, np.zeros(len(runs), np.int64)])]
+        return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "flag", "need"])
 
     return run
 
@@ -268,7 +279,9 @@ def _cross(percent: int):
             left.append(np.full(len(j), i))
             right.append(j)
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table([pa.array(np.minimum(cls[i], cls[j]), pa.int64()), pa.array(np.maximum(cls[i], cls[j]), pa.int64())], names=["a", "b"])
+        mixed = ((flag[i] & flag[j] & MIXED) > 0).astype(np.int64)
+        cols = [np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.ones(len(i), np.int64), mixed, least_common(n[i], n[j], percent)]
+        return pa.table([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n", "mixed", "need"])
 
     return run
 
@@ -316,8 +329,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
     parcels = source.select(text_col).mapInArrow(_index(width, percent, sent, buckets), "bucket long, entries binary")
     found = shared(parcels.groupBy("bucket").applyInArrow(_pairs(percent), PAIR_SCHEMA))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("flag").alias("mixed"))
-    pairs = shared(pairs.where("n > 1 or mixed = 1").select("a", "b", "n"))  # rare prefixes share two shingles at least
+    merged = [F.sum("n").alias("n"), F.max("mixed").alias("mixed"), F.max("need").alias("need")]
+    pairs = shared(found.where("kind = 0").withColumnRenamed("flag", "mixed").groupBy("a", "b").agg(*merged))
+    # what a pair may share in prefixes beside the keys counted: frequent shingles of two documents with few of them
+    enough = F.col("n") + FEW * F.col("mixed") >= F.col("need")
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n", "flag")
     heads = listed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"))
 
@@ -329,18 +344,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         one, two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
         return shared(chosen.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "u long, v long").distinct())
 
+    in_runs = runs.groupBy(F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("more"))  # keys that pairs don't count
+    likely = pairs.join(in_runs, "b", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) + FEW * F.col("mixed") >= F.col("need"))
     best = F.max_by(F.struct("a", "b"), F.struct("n", F.col("a") * -1)).alias("best")
-    first = shared(pairs.groupBy("b").agg(best).select("best.*"))
+    first = shared(likely.groupBy("b").agg(best).select("best.*"))
     links = verified(first)
     roots = shared(components(links))
     here = roots.select(F.col("node").alias("cls"), "root")
     of = lambda side: here.select(F.col("cls").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n", "mixed", "need")
     placed = runs.join(here, "cls", "left").select("key", "cls", "n", "flag", F.coalesce("root", "cls").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    crossed = placed.join(split, "key", "left_semi").groupBy("key").applyInArrow(_cross(percent), "a long, b long")
-    rest = shared(rest.union(crossed).distinct().join(first, ["a", "b"], "left_anti"))
+    crossed = placed.join(split, "key", "left_semi").groupBy("key").applyInArrow(_cross(percent), "a long, b long, n long, mixed long, need long")
+    rest = rest.union(crossed).groupBy("a", "b").agg(*merged).where(enough)
+    rest = shared(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
     if not rest.isEmpty():
         links = links.union(verified(rest))
         roots = shared(components(links))
