@@ -1,6 +1,382 @@
-"""The named queries of the event engine, each with the SQL that states its result."""
+"""The named queries of the event engine over the shared test tables, each with the SQL that states its result.
+
+The events table is read as a log whose record k stands at ``event_id * RECORD`` bytes, with one-hour time buckets.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerbrook.functions import arith
+from ledgerbrook.functions.types import REGISTRY
+from ledgerbrook.operators import sketch
+from ledgerbrook.operators.lazy_stream import LazyStream
+from ledgerbrook.operators.timeseries import TimeSeries
+from ledgerbrook.sources.multilog import Multilog
+
+RECORD = 48
+HOUR = 3_600_000_000_000
+FROM, TO = 473_352, 473_400
+T1, T2 = 1_704_067_207_179_575_000, 1_704_167_207_179_575_000
+ERROR = "event_type == error"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None):
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def events(spark: SparkSession, sf_dir: str) -> Multilog:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return Multilog.from_dataframe(rows, "ts", F.col("event_id") * RECORD, RECORD, name="events", time_resolution_ns=HOUR)
+
+
+def lineitems(spark: SparkSession, sf_dir: str) -> Multilog:
+    return Multilog.from_dataframe(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_shipdate", name="lineitem")
+
+
+# --- ad hoc filters ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE value > 50 AND event_type = 'purchase'")
+def adhoc_filter(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("value > 50 && event_type == purchase").select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'error' AND value > 100) OR (event_type = 'purchase' AND value > 100) OR user_id = 7")
+def adhoc_or(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("event_type == error && value > 100 || event_type == purchase && value > 100 || user_id == 7").select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.05 AND l_quantity < 24 AND NOT (l_returnflag = 'R' OR l_tax > 0.04)")
+def adhoc_not(spark, d) -> DataFrame:
+    return lineitems(spark, d).execute_filter("l_discount >= 0.05 && l_quantity < 24 && !(l_returnflag == R || l_tax > 0.04)").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'view' AND user_id <> 3 AND value <= 5")
+def adhoc_neq(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("event_type != view && user_id != 3 && value <= 5").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE NOT (NOT (value >= 10 AND value < 20) OR (event_type = 'click' AND user_id < 50))")
+def adhoc_nested_not(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("!(!(value >= 10 && value < 20) || (event_type == click && user_id < 50))").select("event_id")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 10 AND value < 5")
+def adhoc_contradiction(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("value > 10 && value < 5").select("event_id", "value")
+
+
+@query("SELECT count(*) AS n FROM events")
+def adhoc_empty_expression(spark, d) -> DataFrame:
+    return events(spark, d).execute_filter("").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AND c_nationkey >= 5")
+def adhoc_quoted(spark, d) -> DataFrame:
+    log = Multilog.from_dataframe(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey")
+    return log.execute_filter('c_mktsegment == "BUILDING" && c_acctbal > 1000 && c_nationkey >= 5').select("c_custkey")
+
+
+# --- ad hoc aggregates ------------------------------------------------------------------------------------------------
+
+_FOUR = {"sum_v": "SUM(value)", "min_v": "MIN(value)", "max_v": "MAX(value)", "cnt": "COUNT(value)"}
+_FOUR_SQL = """SELECT round(coalesce(sum(value), 0.0), 4) AS sum_v, coalesce(min(value), 1.7976931348623157e308) AS min_v,
+       coalesce(max(value), -1.7976931348623157e308) AS max_v, count(*) AS cnt FROM events WHERE """
+
+
+def _four(log: Multilog, expression: str) -> DataFrame:
+    return log.execute_aggregates(_FOUR, expression).withColumn("sum_v", F.round("sum_v", 4))
+
+
+@query(_FOUR_SQL + "event_type = 'error'")
+def adhoc_agg(spark, d) -> DataFrame:
+    return _four(events(spark, d), ERROR)
+
+
+@query(_FOUR_SQL + "event_type = 'nope'")
+def adhoc_agg_empty(spark, d) -> DataFrame:
+    return _four(events(spark, d), "event_type == nope")
+
+
+@query("SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24")
+def adhoc_sum_lineitem(spark, d) -> DataFrame:
+    found = lineitems(spark, d).execute_aggregate("SUM(l_extendedprice)", "l_discount >= 0.05 && l_discount <= 0.07 && l_quantity < 24", "total")
+    return found.select(F.round("total", 2).alias("total"))
+
+
+@query("SELECT count(*) AS n FROM events WHERE value > 50 AND event_id < 1000")
+def agg_as_of_version(spark, d) -> DataFrame:
+    return events(spark, d).execute_aggregate("COUNT(value)", "value > 50", "n", version=1000 * RECORD)
+
+
+# --- registered filters, aggregates and triggers ----------------------------------------------------------------------
+
+
+@query(f"SELECT event_id, epoch_ns(ts) // {HOUR} AS time_bucket FROM events WHERE value > 50 AND epoch_ns(ts) // {HOUR} BETWEEN {FROM} AND {TO}")
+def predef_filter(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("high", "value > 50")
+    return log.query_filter("high", FROM, TO).select("event_id", log.time_bucket().alias("time_bucket"))
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'error' AND epoch_ns(ts) // {HOUR} BETWEEN {FROM} AND {TO} AND value > 30")
+def combined_filter(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("errors", ERROR)
+    return log.query_filter("errors", FROM, TO, "value > 30").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 10 = 0")
+def function_filter(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("tens", ERROR, function=lambda rows: rows["user_id"] % 10 == 0)
+    return log.query_filter("tens").select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'error' AND epoch_ns(ts) // {HOUR} = {FROM}")
+def bucket_lookup(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("errors", ERROR)
+    return log.lookup("errors", FROM).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND event_id >= 500")
+def filter_since(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("late", ERROR, since=500 * RECORD)
+    return log.query_filter("late").select("event_id")
+
+
+def _with_aggregates(spark, d) -> Multilog:
+    log = events(spark, d)
+    log.add_filter("errors", ERROR)
+    for name, expression in (("max_v", "MAX(value)"), ("min_v", "MIN(value)"), ("sum_v", "SUM(value)"), ("n_v", "COUNT(value)")):
+        log.add_aggregate(name, "errors", expression)
+    return log
+
+
+@query(f"SELECT epoch_ns(ts) // {HOUR} AS time_bucket, max(value) AS mx FROM events WHERE event_type = 'error' GROUP BY 1")
+def agg_buckets(spark, d) -> DataFrame:
+    return _with_aggregates(spark, d).aggregate_buckets("max_v", out="mx")
+
+
+@query(f"SELECT epoch_ns(ts) // {HOUR} AS time_bucket, count(*) AS cnt FROM events WHERE event_type = 'error' AND epoch_ns(ts) // {HOUR} BETWEEN {FROM} AND {TO} GROUP BY 1")
+def agg_buckets_range(spark, d) -> DataFrame:
+    return _with_aggregates(spark, d).aggregate_buckets("n_v", FROM, TO, "cnt")
+
+
+@query(f"SELECT max(value) AS agg FROM events WHERE event_type = 'error' AND epoch_ns(ts) // {HOUR} BETWEEN {FROM} AND {TO}")
+def get_aggregate(spark, d) -> DataFrame:
+    return _with_aggregates(spark, d).get_aggregate("max_v", FROM, TO, "agg")
+
+
+@query(f"SELECT coalesce(min(value), 1.7976931348623157e308) AS agg FROM events WHERE event_type = 'error' AND epoch_ns(ts) // {HOUR} BETWEEN 1 AND 2")
+def get_aggregate_empty(spark, d) -> DataFrame:
+    return _with_aggregates(spark, d).get_aggregate("min_v", 1, 2, "agg")
+
+
+_ALERTS = f"""SELECT epoch_ns(ts) // {HOUR} AS time_bucket, 'trig' AS trigger_name, 'max_v > double(100.000000)' AS trigger_expr, max(value) AS "value"
+FROM events WHERE event_type = 'error' GROUP BY 1 HAVING max(value) > 100"""
+_FEW = f"""SELECT epoch_ns(ts) // {HOUR} AS time_bucket, 'few' AS trigger_name, 'n_v <= ulong(1)' AS trigger_expr, count(*)::double AS "value"
+FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) <= 1"""
+
+
+def _with_triggers(spark, d) -> Multilog:
+    log = _with_aggregates(spark, d)
+    log.install_trigger("trig", "max_v > 100")
+    log.install_trigger("few", "n_v <= 1")
+    return log
+
+
+@query(_ALERTS)
+def alerts(spark, d) -> DataFrame:
+    return _with_triggers(spark, d).get_alerts(trigger="trig")
+
+
+@query(f"{_ALERTS} UNION ALL {_FEW}")
+def alerts_all_triggers(spark, d) -> DataFrame:
+    return _with_triggers(spark, d).get_alerts()
+
+
+@query(f"SELECT * FROM ({_ALERTS}) WHERE time_bucket BETWEEN {FROM} AND {TO}")
+def alerts_range(spark, d) -> DataFrame:
+    return _with_triggers(spark, d).get_alerts(FROM, TO, "trig")
+
+
+@query(f"""SELECT time_bucket, printf('{{ timestamp: %d, trigger-name: "trig", trigger-expression: "max_v > double(100.000000)", trigger-value: "double(%.6f)" }}', time_bucket, "value") AS alert FROM ({_ALERTS})""")
+def alert_texts(spark, d) -> DataFrame:
+    log = _with_triggers(spark, d)
+    return log.alert_texts(log.get_alerts(trigger="trig")).select("time_bucket", "alert")
+
+
+# --- places, versions, time -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_id * {RECORD} AS log_offset, event_id FROM events WHERE event_id IN (0, 10, 20)")
+def read_offsets(spark, d) -> DataFrame:
+    return events(spark, d).read_many([0, 10 * RECORD, 20 * RECORD]).select("log_offset", "event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id BETWEEN 995 AND 1004")
+def read_batch(spark, d) -> DataFrame:
+    return events(spark, d).read_batch(995 * RECORD, 10).select("event_id")
+
+
+@query(f"SELECT count(*) AS n FROM events WHERE (event_id + 1) * {RECORD} <= 48000")
+def asof_version(spark, d) -> DataFrame:
+    return events(spark, d).snapshot(48_000).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id FROM events WHERE event_id * {RECORD} >= 24000 AND event_id * {RECORD} < 48000")
+def version_diff(spark, d) -> DataFrame:
+    return TimeSeries(events(spark, d)).compute_diff(24_000, 48_000).select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE epoch_ns(ts) BETWEEN {T1} AND {T2}")
+def ts_range(spark, d) -> DataFrame:
+    return TimeSeries(events(spark, d)).get_range(T1, T2).select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE epoch_ns(ts) > {T1} ORDER BY ts, event_id LIMIT 1")
+def nearest_after(spark, d) -> DataFrame:
+    return TimeSeries(events(spark, d)).get_nearest(T1).select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE epoch_ns(ts) < {T2} ORDER BY ts DESC, event_id DESC LIMIT 1")
+def nearest_before(spark, d) -> DataFrame:
+    return TimeSeries(events(spark, d)).get_nearest(T2, forward=False).select("event_id")
+
+
+@query("SELECT count(*) AS n, 48 AS record_size FROM events")
+def num_records(spark, d) -> DataFrame:
+    log = events(spark, d)
+    return log.rows.agg(F.count(F.lit(1)).alias("n"), F.lit(log.record_size).alias("record_size"))
+
+
+# --- indexes ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT trunc(value / 10)::bigint AS bucket, count(*) AS n FROM events GROUP BY 1")
+def index_histogram(spark, d) -> DataFrame:
+    return events(spark, d).index_histogram("value", 10.0)
+
+
+@query("SELECT count(*) AS n FROM events WHERE trunc(value / 10)::bigint BETWEEN 1 AND 5")
+def index_approx_count(spark, d) -> DataFrame:
+    return events(spark, d).approx_count("value", 1, 5, 10.0)
+
+
+@query("SELECT user_id // 25 AS bucket, count(*) AS n FROM events GROUP BY 1")
+def index_histogram_whole(spark, d) -> DataFrame:
+    return events(spark, d).index_histogram("user_id", 25)
+
+
+@query("SELECT event_id FROM events WHERE event_type >= 'click' AND event_type <= 'error'")
+def index_scan_text(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_index("event_type")
+    key = log.index_bucket("event_type")
+    return log.rows.where(key.between("click", "error")).select("event_id")
+
+
+# --- frequencies ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, count(*) AS freq FROM events GROUP BY 1 ORDER BY freq DESC, user_id LIMIT 10")
+def heavy_hitters(spark, d) -> DataFrame:
+    return sketch.heavy_hitters(events(spark, d).rows, "user_id", 10)
+
+
+@query("SELECT sum(f * f)::bigint AS l2, count(*) AS cardinality, round(sum(f * ln(f)), 6) AS entropy FROM (SELECT user_id, count(*) AS f FROM events GROUP BY 1)")
+def gsum(spark, d) -> DataFrame:
+    found = sketch.g_sums(events(spark, d).rows, "user_id")
+    return found.select(F.col("l2").cast("long").alias("l2"), F.col("cardinality").cast("long").alias("cardinality"), F.round("entropy", 6).alias("entropy"))
+
+
+@query("SELECT user_id, count(*) AS estimate FROM events GROUP BY 1")
+def count_min_wide(spark, d) -> DataFrame:
+    """So wide a sketch that every estimate is exact here."""
+    made = sketch.CountMin(eps=0.00005, gamma=0.01)
+    rows = events(spark, d).rows
+    return made.estimate(made.build(rows, "user_id"), rows, "user_id")
+
+
+@query("SELECT user_id, count(*) AS estimate FROM events GROUP BY 1")
+def count_sketch_wide(spark, d) -> DataFrame:
+    made = sketch.CountSketch(eps=0.005, gamma=0.01)
+    rows = events(spark, d).rows
+    return made.estimate(made.build(rows, "user_id"), rows, "user_id")
+
+
+@query(None)
+def count_min_estimates(spark, d) -> DataFrame:
+    made = sketch.CountMin(eps=0.02, gamma=0.05)
+    rows = events(spark, d).rows
+    return made.estimate(made.build(rows, "user_id"), rows, "user_id")
+
+
+@query(None)
+def universal_sketch(spark, d) -> DataFrame:
+    return sketch.UniversalSketch(k=64).build(events(spark, d).rows, "user_id")
+
+
+# --- numbers ----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, user_id & 7 AS a, user_id | 8 AS o, xor(user_id, 5) AS x, ~user_id AS n, user_id << 2 AS l, user_id >> 1 AS r FROM events""")
+def bit_ops(spark, d) -> DataFrame:
+    u, long = F.col("user_id"), REGISTRY.get("LONG")
+    at = lambda op, n: arith.binary(op, u, long, F.lit(n).cast("long"), long)[0]
+    return events(spark, d).rows.select(
+        "event_id", at("&", 7).alias("a"), at("|", 8).alias("o"), at("^", 5).alias("x"), arith.unary("~", u, long).alias("n"), at("<<", 2).alias("l"), at(">>", 1).alias("r")
+    )
+
+
+@query("""SELECT event_id, user_id + 3 AS p, user_id - 3 AS m, user_id * 3 AS t, user_id // 7 AS q, user_id % 7 AS r, -user_id AS n, round(value / 4, 6) AS d FROM events""")
+def arithmetic_ops(spark, d) -> DataFrame:
+    u, long, v, real = F.col("user_id"), REGISTRY.get("LONG"), F.col("value"), REGISTRY.get("DOUBLE")
+    at = lambda op, n: arith.binary(op, u, long, F.lit(n), REGISTRY.get("INT"))[0]
+    return events(spark, d).rows.select(
+        "event_id", at("+", 3).alias("p"), at("-", 3).alias("m"), at("*", 3).alias("t"), at("/", 7).alias("q"), at("%", 7).alias("r"),
+        arith.unary("-", u, long).alias("n"), F.round(arith.binary("/", v, real, F.lit(4), REGISTRY.get("INT"))[0], 6).alias("d"),
+    )
+
+
+# --- functional streams -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' UNION ALL SELECT event_id FROM events WHERE event_type = 'view'")
+def stream_concat(spark, d) -> DataFrame:
+    all_of = LazyStream(events(spark, d).rows)
+    return all_of.filter(F.col("event_type") == "error").concat(all_of.filter(F.col("event_type") == "view")).df.select("event_id")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def stream_distinct(spark, d) -> DataFrame:
+    return LazyStream(events(spark, d).rows).distinct("event_type").df
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE value < 10")
+def stream_map_filter(spark, d) -> DataFrame:
+    return LazyStream(events(spark, d).rows).filter(F.col("value") < 10).map(event_id=F.col("event_id"), twice=F.col("value") * 2).df
+
+
+@query("SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents")
+def stream_flat_map(spark, d) -> DataFrame:
+    return LazyStream(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).flat_map(F.split("text", " ", -1), "w", ["doc_id"]).df
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 64")
+def stream_take(spark, d) -> DataFrame:
+    return LazyStream(events(spark, d).rows, ["event_id"]).take(64).df.select("event_id")
