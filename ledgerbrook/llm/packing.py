@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 900_000
 #: Control characters that Python's split() takes for white space and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -34,9 +34,36 @@ BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
 @cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path), {}
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None  # plain words need no normalisation, and only spaces separate them
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, plain, {}, {}
+
+
+def stem(word: str) -> tuple[str, str, bool]:
+    """A word as a part that many words share and one mark after it, which encoded apart give the ids of the word; and
+    whether that part is plain: letters in lower case that no normalisation changes.
+    """
+    if word.isascii() or (max(word) < "\u0300" and "\u0130" not in word):
+        if "<|" not in word:
+            word = word.lower()
+            if word.isalpha():
+                return word, "", True
+            if word[-1] in ".,;:!?" and len(word) > 1 and word[-2].isalpha():
+                return word[:-1], word[-1], word[:-1].isalpha()
+    return word, "", False
+
+
+def encode_into(known: dict[str, bytes], words: list[str], model) -> None:
+    for at in range(0, len(words), 500):
+        part = words[at : at + 500]
+        found = model.encode(" ".join(part), add_special_tokens=False)
+        data = np.array(found.ids, dtype="<u4").tobytes()
+        begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+        cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets] or [0]), begins)).tolist()
+        known.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
 
 def ids_of(texts: list[str | None], path: str) -> list[bytes]:
@@ -45,18 +72,16 @@ def ids_of(texts: list[str | None], path: str) -> list[bytes]:
     The vocabulary drops white space and never joins across it, so each word is encoded once and remembered; new words
     are encoded many at a time.
     """
-    model, known = tokenizer(path)
+    whole, plain, known, stems = tokenizer(path)
     split = [[] if not t else BLANKS.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
     if len(known) > WORDS_KEPT:
         known.clear()
-    new = list({w for words in split for w in words} - known.keys())
-    for at in range(0, len(new), 500):
-        part = new[at : at + 500]
-        found = model.encode(" ".join(part), add_special_tokens=False)
-        data = np.array(found.ids, dtype="<u4").tobytes()
-        begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-        cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets] or [0]), begins)).tolist()
-        known.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        stems.clear()
+    new = [(w, *stem(w)) if w else ("", "", "", True) for w in set().union(*split).difference(known)]
+    encode_into(stems, list({s for _, s, _, easy in new if easy and s}.difference(stems)), plain)
+    encode_into(stems, list({x for _, s, mark, easy in new for x in ((mark,) if easy else (s, mark)) if x}.difference(stems)), whole)
+    stems[""] = b""
+    known.update((w, stems[s] + stems[mark] if mark else stems[s]) for w, s, mark, _ in new)
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -91,9 +116,12 @@ def best_fit(needs: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     return where, bins
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1) -> DataFrame:
-    """(id, piece, start, length, ids): each document's ids, cut only where it is longer than ``size``."""
-    kind = T._parse_datatype_string("struct<piece:int,start:long,length:long,ids:binary>")
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids): each document's ids, cut only where it is longer than ``size``.
+
+    ``ids`` (little-endian unsigned 32-bit numbers) is null unless asked for.
+    """
+    kind = T._parse_datatype_string("struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *kind.fields])
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -102,9 +130,9 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             if not batch.num_rows:
                 continue
             column = batch.column(1)
-            for at in range(0, batch.num_rows, 128):
-                row, piece, start, length, ids = [], [], [], [], []
-                for k, data in enumerate(ids_of(column.slice(at, 128).to_pylist(), vocabulary)):
+            for at in range(0, batch.num_rows, 256):
+                row, piece, start, length, crc, ids = [], [], [], [], [], []
+                for k, data in enumerate(ids_of(column.slice(at, 256).to_pylist(), vocabulary)):
                     data += end
                     for j, b in enumerate(range(0, len(data), 4 * size)):
                         part = data[b : b + 4 * size]
@@ -112,9 +140,10 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                         piece.append(j)
                         start.append(b // 4)
                         length.append(len(part) // 4)
-                        ids.append(part)
+                        crc.append(zlib.crc32(part))
+                        ids.append(part if with_ids else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
                     names=schema.names,
                 )
 
@@ -143,9 +172,9 @@ def pack(
     docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     count, octets = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()
     groups = max(1, math.ceil((count + octets / (4 * size)) / group_pieces))
-    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id)
+    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id, with_ids)
     light = cut.select(
-        F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)).alias("pack_group"), id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else [])
+        F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)).alias("pack_group"), id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])
     )
     capacity = np.array([size, max_docs or size, max(max_attention or size * size, size * size)], dtype=float)
     schema = T.StructType([f for f in light.schema.fields if f.name != "pack_group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
