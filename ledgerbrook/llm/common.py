@@ -16,17 +16,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_CHARS = 1 << 20
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the folder that driver and executors share, and read it from there.
+def ensure_shared_dir(session: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (single-machine sessions, as in
-    tests) a temporary folder is set. Files go when nothing refers to the result, if the session cleans checkpoints.
+    Only where that is unset (single-machine sessions, as in tests) a temporary folder is set.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it from there.
+
+    Files go when nothing refers to the result any more, if the session cleans checkpoints.
+    """
+    ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

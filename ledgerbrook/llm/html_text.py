@@ -125,6 +125,19 @@ LABELLED = """
 41 0 210 0 66 0 0 0 0 0 1
 19 0 99 0 85 0 0 0 0 0 1
 7 0 0 0 4 1.0 0 0 0 1 0
+10 0 0 0 30 0 0 0 0 1 0
+1 1.0 5 0.3 0 0 0 0 0 0 0
+2 1.0 30 0 0 0 0 0 0 0 0
+2 1.0 1 1.0 3 0 0 0 0 0 0
+3 1.0 2 1.0 8 0 0 0 0 0 0
+4 1.0 6 0 2 0.8 0 0 0 0 0
+55 0 20 0 3 1.0 0 1 0 0 1
+31 0 80 0 6 0.9 0 1 0 0 1
+4 0 25 0 1 1.0 0 1 0 0 1
+62 0.2 40 0.1 5 1.0 0 1 0 0 1
+2 1.0 9 0 3 1.0 0 1 0 0 1
+75 0 64 0 2 1.0 0 0 0 0 1
+48 0 90 0 4 0.9 0 0 0 0 1
 """
 
 

@@ -44,8 +44,9 @@ BLOCK, RECURS, FREQUENT, MOST_FREQUENT = 1 << 22, 3, 48, 100_000
 #: Index entries that one task sorts.
 ENTRIES = 400_000
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("flag", "<u4")])
-#: Flags: a frequent shingle alone of a document with few of them; a prefix with any frequent shingle.
-LIGHT, MIXED = 1, 2
+#: Flags: a frequent shingle alone of a document with few of them; a prefix with any frequent shingle. Above them stands
+#: the number of rare shingles in the prefix: in a group of near copies it is least in the text the others come from.
+LIGHT, MIXED, RANK = 1, 2, 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -171,7 +172,8 @@ def entries_of(texts: list[str | None], width: int, percent: int, frequent: np.n
     length = np.minimum(size - least_shared(size, percent) + 2, size)
     inside = place < length[doc]
     n_hot = np.bincount(doc[inside & (hot == 1)], minlength=len(own))
-    base = np.where(n_hot > 0, MIXED, 0).astype(np.uint32)
+    n_rare = np.bincount(doc[inside & (hot == 0)], minlength=len(own))
+    base = (np.where(n_hot > 0, MIXED, 0) + RANK * n_rare).astype(np.uint32)
     pick = np.flatnonzero(inside & ((hot == 0) | (n_hot[doc] > 1)))
     out = np.zeros(len(pick), ENTRY)
     out["key"], out["cls"], out["n"] = take[pick], cls[doc[pick]], size[doc[pick]]
@@ -181,7 +183,7 @@ def entries_of(texts: list[str | None], width: int, percent: int, frequent: np.n
         own_hot = take[begin[d] : begin[d + 1]][(inside & (hot == 1))[begin[d] : begin[d + 1]]]
         i, j = np.triu_indices(len(own_hot), 1)
         pair = np.zeros(len(i), ENTRY)
-        pair["key"], pair["cls"], pair["n"], pair["flag"] = mix(own_hot[i], own_hot[j]), cls[d], size[d], MIXED
+        pair["key"], pair["cls"], pair["n"], pair["flag"] = mix(own_hot[i], own_hot[j]), cls[d], size[d], base[d]
         more.append(pair)
     return np.concatenate([out, *more])
 
@@ -217,8 +219,11 @@ def _index(width: int, percent: int, frequent, buckets: int):
 
 
 def pairs_of_runs(e: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Candidates (a, b, shared keys, mixed, least_common) and kept runs (key, cls, n, flag) among entries of whole keys."""
-    e = e[np.lexsort((e["cls"], e["key"]))]
+    """Candidates (a, b, shared keys, mixed, least_common) and kept runs (key, cls, n, flag) among entries of whole keys.
+
+    ``a`` has the lower rank, or at equal ranks the lower number; so a longer run meets its least edited text.
+    """
+    e = e[np.lexsort((e["cls"], e["flag"] // RANK, e["key"]))]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
     e = e[new]  # copies came from several tasks
@@ -244,7 +249,7 @@ def pairs_of_runs(e: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     ok = (low * 100 >= high * percent) & ~((a["flag"] & b["flag"] & LIGHT) > 0)
     mixed = ((a["flag"] & b["flag"] & MIXED) > 0)[ok]
     need = least_common(low[ok], high[ok], percent)
-    both = np.stack([a["cls"][ok], b["cls"][ok]], axis=1)  # sorted by cls within a key
+    both = np.stack([a["cls"][ok], b["cls"][ok]], axis=1)
     order = np.lexsort((both[:, 1], both[:, 0]))
     both, mixed, need = both[order], mixed[order], need[order]
     first = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])) if len(both) else np.zeros(0, np.int64)
@@ -266,22 +271,31 @@ def _pairs(percent: int):
 
 
 def _cross(percent: int):
-    """Pairs of one run that lie in different components and may be similar by their sizes."""
+    """Pairs of one run that lie in different components and, by sizes and keys in kept runs, may be similar.
+
+    A pair that shares no other key shares as many as the one of them with fewer keys in kept runs has, at most.
+    """
 
     def run(key, rows):
-        cls, n, root, flag = (rows[c].to_numpy() for c in ("cls", "n", "root", "flag"))
-        order = np.argsort(n, kind="stable")
-        cls, n, root, flag = cls[order], n[order], root[order], flag[order]
+        cls, n, root, flag, more = (rows[c].to_numpy() for c in ("cls", "n", "root", "flag", "more"))
+        order = np.lexsort((cls, n))
+        cls, n, root, flag, more = cls[order], n[order], root[order], flag[order], more[order]
         left, right = [], []
         for i in range(len(cls)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, side="right"))
             j = j[(root[j] != root[i]) & ~((flag[j] & flag[i] & LIGHT) > 0)]
+            spare = FEW * ((flag[j] & flag[i] & MIXED) > 0)
+            j = j[np.minimum(more[j], more[i]) + spare >= least_common(n[i], n[j], percent)]
             left.append(np.full(len(j), i))
             right.append(j)
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         mixed = ((flag[i] & flag[j] & MIXED) > 0).astype(np.int64)
-        cols = [np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.ones(len(i), np.int64), mixed, least_common(n[i], n[j], percent)]
-        return pa.table([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n", "mixed", "need"])
+        need = least_common(n[i], n[j], percent)
+        rank = flag // RANK
+        swap = (rank[i] > rank[j]) | ((rank[i] == rank[j]) & (cls[i] > cls[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        cols = [cls[i], cls[j], np.ones(len(i), np.int64), mixed, need, np.ones(len(i), np.int64), np.zeros(len(i), np.int64)]
+        return pa.table([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n", "mixed", "need", "crossed", "more"])
 
     return run
 
@@ -330,9 +344,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parcels = source.select(text_col).mapInArrow(_index(width, percent, sent, buckets), "bucket long, entries binary")
     found = shared(parcels.groupBy("bucket").applyInArrow(_pairs(percent), PAIR_SCHEMA))
     merged = [F.sum("n").alias("n"), F.max("mixed").alias("mixed"), F.max("need").alias("need")]
-    pairs = shared(found.where("kind = 0").withColumnRenamed("flag", "mixed").groupBy("a", "b").agg(*merged))
-    # what a pair may share in prefixes beside the keys counted: frequent shingles of two documents with few of them
-    enough = F.col("n") + FEW * F.col("mixed") >= F.col("need")
+    pairs = found.where("kind = 0").withColumnRenamed("flag", "mixed").groupBy("a", "b").agg(*merged)
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n", "flag")
     heads = listed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"))
 
@@ -344,20 +356,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         one, two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
         return shared(chosen.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "u long, v long").distinct())
 
-    in_runs = runs.groupBy(F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("more"))  # keys that pairs don't count
-    likely = pairs.join(in_runs, "b", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) + FEW * F.col("mixed") >= F.col("need"))
+    in_runs = shared(runs.groupBy("cls").agg(F.count(F.lit(1)).alias("more")))  # keys that pairs don't count
+    more_of = lambda side: in_runs.select(F.col("cls").alias(side), F.col("more").alias(f"{side}_more"))
+    pairs = pairs.join(more_of("a"), "a", "left").join(more_of("b"), "b", "left")
+    pairs = pairs.select("a", "b", "n", "mixed", "need", F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0))).alias("more"))
+    # a pair shares the keys counted, kept runs beside, and uncounted frequent shingles if both have few of them
+    enough = F.col("n") + F.col("more") + FEW * F.col("mixed") >= F.col("need")
+    pairs = shared(pairs.where(enough))
     best = F.max_by(F.struct("a", "b"), F.struct("n", F.col("a") * -1)).alias("best")
-    first = shared(likely.groupBy("b").agg(best).select("best.*"))
+    first = shared(pairs.groupBy("b").agg(best).select("best.*"))
     links = verified(first)
     roots = shared(components(links))
     here = roots.select(F.col("node").alias("cls"), "root")
     of = lambda side: here.select(F.col("cls").alias(side), F.col("root").alias(f"{side}_root"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n", "mixed", "need")
-    placed = runs.join(here, "cls", "left").select("key", "cls", "n", "flag", F.coalesce("root", "cls").alias("root"))
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n", "mixed", "need", F.lit(0).cast("long").alias("crossed"), "more")
+    placed = runs.join(here, "cls", "left").join(in_runs, "cls").select("key", "cls", "n", "flag", "more", F.coalesce("root", "cls").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    crossed = placed.join(split, "key", "left_semi").groupBy("key").applyInArrow(_cross(percent), "a long, b long, n long, mixed long, need long")
-    rest = rest.union(crossed).groupBy("a", "b").agg(*merged).where(enough)
+    crossed = placed.join(split, "key", "left_semi").groupBy("key").applyInArrow(_cross(percent), "a long, b long, n long, mixed long, need long, crossed long, more long")
+    rest = rest.union(crossed).groupBy("a", "b").agg(*merged, F.max("crossed").alias("crossed"), F.max("more").alias("more"))
+    rest = rest.withColumn("more", F.when(F.col("crossed") == 1, 0).otherwise(F.col("more"))).where(enough)  # crossed: all counted
     rest = shared(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
     if not rest.isEmpty():
         links = links.union(verified(rest))

@@ -5,8 +5,7 @@ machines (squared hinge, trained here in numpy) score families one versus rest,
 family. All their weights lie in one table with a row per n-gram bucket, so a text takes one pass. Within the family the
 language with most pair votes wins; equal votes go to the larger sum of margins, then to the name that sorts first.
 
-Training reads a bounded sample of labelled rows: about ``rows_per_lang`` of each language, taken by hash of id and
-text, from texts of at most ``max_train_chars`` characters. Everything else covers whole texts.
+Training reads a bounded sample of labelled rows: about ``rows_per_lang`` of each language, taken by hash of a key, from texts of at most ``max_train_chars`` characters. Everything else covers whole texts.
 
 Defined results: ``und`` with score 0 for a text that is null, empty or without a letter; repeated rows get equal
 results; null ids are allowed; an empty table gives an empty table, and with no labelled row every text is ``und``.
@@ -125,16 +124,16 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text: Column, lang: Column, rows_per_lang: int = 400, max_train_chars: int = 30_000, max_langs: int = 500) -> Model:
-    """Train on a bounded sample of ``labelled``; more than ``max_langs`` languages are an error."""
-    rows = labelled.select(text.alias("t"), lang.cast("string").alias("l")).where("l is not null and t is not null").where(F.char_length("t") <= max_train_chars)
+def fit(labelled: DataFrame, text: Column, lang: Column, key: Column, rows_per_lang: int = 400, max_train_chars: int = 30_000, max_langs: int = 500) -> Model:
+    """Train on a sample of ``labelled`` drawn by a hash of ``key``; more than ``max_langs`` languages are an error."""
+    rows = labelled.select(text.alias("t"), lang.cast("string").alias("l"), F.xxhash64(F.lit(5), key).alias("h")).where("l is not null and t is not null").where(F.char_length("t") <= max_train_chars)
     counts = {r.l: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return Model([], [])
     rate = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_lang / n))])[F.col("l")]
-    spread = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)  # of copies all or none
+    spread = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
     got = rows.where(spread < rate).limit(4 * rows_per_lang * len(counts)).collect()
     got.sort(key=lambda r: (r.l, r.t))
     return Model([r.t for r in got], [r.l for r in got])

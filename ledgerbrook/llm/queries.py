@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm import html_text, jaccard_join, langid, line_dedup, mixing, packing, toxicity
+from ledgerbrook.llm import html_text, image_match, jaccard_join, langid, line_dedup, masked_lm, mixing, packing, posting_ann, toxicity
 from ledgerbrook.llm.common import fold, table
 
 #: Rows of this remainder (of four) are never learnt from.
@@ -51,7 +51,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_langid(docs: DataFrame) -> langid.Model:
-    return langid.fit(docs.where(fold(F.col("doc_id")) != HELD_OUT), F.col("text"), F.col("lang"))
+    return langid.fit(docs.where(fold(F.col("doc_id")) != HELD_OUT), F.col("text"), F.col("lang"), F.col("doc_id"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +60,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each row of embeddings is drawn as one; of every eight, two are edited copies."""
+    return image_match.similar_images(image_match.render(table(spark, sf_dir, "embeddings")), "id", "data").withColumnRenamed("id", "vec_id")
+
+
+def op7_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_html_extraction": op3_html_extraction, "op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op4_source_mixing": op4_source_mixing, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op6_image_copies": op6_image_copies, "op7_posting_ann": op7_posting_ann, "op10_masked_lm": op10_masked_lm, "op3_html_extraction": op3_html_extraction, "op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op4_source_mixing": op4_source_mixing, "op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id, "op2_best_fit_packing": op2_best_fit_packing, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op5_line_dedup": """
