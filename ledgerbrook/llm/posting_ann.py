@@ -59,7 +59,7 @@ class Centroids:
         """The ``beam`` nearest centroids found of each row, and their squared distances, nearest first."""
         n, count = len(x), len(self.center)
         x = x.astype(np.float32)
-        if count <= 4 * beam:  # the beam would hold most of the graph
+        if count <= beam:  # the beam would hold the whole graph
             sims = x @ self.center.T
             order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             return order, np.maximum(2 - 2 * np.take_along_axis(sims, order, 1), 0)
@@ -112,8 +112,8 @@ def nearest(
     sample_rows: int = 40_000,
     copies: int = 3,
     spread: float = 1.15,
-    probes: int = 24,
-    prune: float = 1.6,
+    probes: int = 128,
+    prune: float = 1.22,
     part_rows: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of every row that ``queries`` marks, itself left out.
@@ -170,7 +170,7 @@ def nearest(
     parts = shared(posts.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / part_rows)).cast("int").alias("parts")))  # a row per list
     renamed = parts.select(F.col("list").alias("own_list"), F.col("parts").alias("own_parts"))
     asked = rows.where("asks").groupBy("v").agg(F.min("id").alias("any"))  # distinct query vectors, joined to their ids below
-    scans = asked.select(F.xxhash64("v", "any").alias("ask"), "v").mapInArrow(post(probes, prune, max(probes, 32), 1), "list long, ask long, v array<double>")
+    scans = asked.select(F.xxhash64("v", "any").alias("ask"), "v").mapInArrow(post(probes, prune, probes, 1), "list long, ask long, v array<double>")
     scans = scans.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))  # at most max_lists rows
     posts = posts.join(F.broadcast(renamed), F.col("list") == F.col("own_list")).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("own_parts")).cast("int"))
 
