@@ -77,8 +77,9 @@ class LazyStream:
     def tail(self) -> LazyStream:
         """All but the first row, by the order columns (which must tell rows apart)."""
         first = self.head()
-        key = F.struct(*self.order)
-        return LazyStream(self.df.where(key > F.struct(*[F.lit(first[c]) for c in self.order])), self.order)
+        key = F.struct(*[F.col(c) for c in self.order])
+        least = F.struct(*[F.lit(first[c]).cast(self.df.schema[c].dataType).alias(c) for c in self.order])
+        return LazyStream(self.df.where(key > least), self.order)
 
     def to_list(self) -> list[Row]:
         return self._ordered().collect()
