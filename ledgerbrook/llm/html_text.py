@@ -137,6 +137,11 @@ LABELLED = """
 62 0.2 40 0.1 5 1.0 0 1 0 0 1
 2 1.0 9 0 3 1.0 0 1 0 0 1
 75 0 64 0 2 1.0 0 0 0 0 1
+7 0 0 0 0 0 0 0 0 0 1
+9 0 12 0 10 0 0 0 0 0 1
+5 0 30 0 0 0 0 0 0 0 1
+12 0 8 0 3 0 0 0 0 0 1
+4 0 0 0 6 0 0 0 1 0 1
 48 0 90 0 4 0.9 0 0 0 0 1
 """
 
