@@ -30,6 +30,8 @@ SIZES, BITS = (3, 4, 5), 18
 EMPTY = 60
 #: Buckets that fewer training texts hold are not learnt.
 LEAST_TEXTS = 6
+#: Training takes so many steps at least, however small the sample.
+STEPS = 200
 
 
 class Model:
@@ -53,6 +55,7 @@ class Model:
         off = np.zeros(2, dtype=np.float32)
         g_sub, g_soft, g_off = (np.full(a.shape, 1e-8, dtype=np.float32) for a in (sub, soft, off))
         groups = []
+        even = 0.5 / np.array([1 - y.mean(), y.mean()], dtype=np.float32)  # both classes weigh the same
         order = rng.permutation(len(texts))
         held, order = order[: len(order) // 5], order[len(order) // 5 :]
         for at in range(0, len(order), batch):  # fixed batches, so each is indexed once
@@ -70,7 +73,7 @@ class Model:
             own, first = np.unique(f[by], return_index=True)
             groups.append((docs, f, w, np.repeat(np.arange(len(docs)), np.diff(ptr)), by, own, first))
         del bags
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS // len(groups)))):
             for k in rng.permutation(len(groups)):
                 docs, f, w, of, by, own, first = groups[k]
                 mean = np.zeros((len(docs), width), dtype=np.float32)
@@ -79,7 +82,7 @@ class Model:
                 p = np.exp(logit - logit.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(docs)), y[docs]] -= 1
-                p /= len(docs)
+                p *= even[y[docs]][:, None] / len(docs)
                 back = p @ soft.T
                 if len(own):
                     step = np.add.reduceat((back[of] * w[:, None])[by], first, axis=0) + decay * sub[own]
@@ -119,6 +122,8 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        if not np.isfinite(self.bias):  # never trained
+            return total
         for row, bucket in ngram_buckets(texts, SIZES, BITS):
             row_sums(row, self.slope[bucket].astype(np.float64), total)
             row_sums(row, np.ones(len(row)), count)
