@@ -30,10 +30,13 @@ from ledgerbrook.llm.common import shared
 from ledgerbrook.llm.components import components
 
 #: Largest side of the working copy, scales, corners per image, half width of a patch, tables and bits of their keys.
-SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 22
+SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 20
 #: Descriptors of one key that are all paired; a larger group is split by further bits.
 GROUP = 24
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("turn", "<f4"), ("scale", "<f4"), ("bits", "u1", 32)])
+KEYED = np.dtype([("key", "<i8"), ("cls", "<i8"), ("point", POINT)])
+#: Keyed descriptors that one task sorts.
+ENTRIES = 250_000
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -179,21 +182,24 @@ def key_bits() -> list[np.ndarray]:
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """The most matched points (a[i] with b[i]) that one similarity transform explains."""
+    """The most matched points (a[i] with b[i]) that one similarity transform explains, each place counted once."""
     if len(a) < 3:
         return 0
     best = 0
     za, zb = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
+    turns = np.exp(1j * (b["turn"] - a["turn"]).astype(np.float64)) * (b["scale"] / a["scale"])
     for i in range(len(a)):
-        ratio = b["scale"][i] / a["scale"][i] * np.exp(1j * float(b["turn"][i] - a["turn"][i]))
+        ratio = turns[i]
+        if not 0.4 < abs(ratio) < 2.5:
+            continue
         far = np.abs(za - za[i])
-        near = np.abs((zb - zb[i]) - ratio * (za - za[i])) <= 4.0 + 0.12 * far
-        places = {(round(float(p.real)), round(float(p.imag))) for p in za[near]}
-        best = max(best, len(places))
+        near = (np.abs((zb - zb[i]) - ratio * (za - za[i])) <= 2.5 + 0.06 * far) & (np.abs(turns - ratio) <= 0.45 * abs(ratio))
+        at = lambda z: len({(round(float(p.real) / 3), round(float(p.imag) / 3)) for p in z[near]})  # noqa: B023, E731
+        best = max(best, min(at(za), at(zb)))
     return best
 
 
-def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data", max_bits: int = 56, min_inliers: int = 6) -> DataFrame:
+def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data", max_bits: int = 32, min_inliers: int = 5) -> DataFrame:
     """Per image: its id, class_id (smallest id of equal pixels), n_points, n_links (of its class), group_id (smallest id reachable)."""
     source = images.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{data_col}`").alias("data"))
     listed = "id long, cls long, n_points int, points binary"
@@ -228,42 +234,54 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
     # a first step per partition of ids keeps a class with very many images from one task
     one = all_of.where("cls is not null and n_points > 0").groupBy("cls").agg(F.min_by("points", "id").alias("points"))
 
+    buckets = max(1, one.count() * CORNERS * TABLES // ENTRIES)
+
     def keys(batches):
+        """Keyed descriptors in parcels, one for each bucket of keys."""
         for batch in batches:
-            cls, key, rest, point = [], [], [], []
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = np.frombuffer(data, POINT)
-                bits = np.unpackbits(p["bits"], axis=1)
-                for t, order in enumerate(key_bits()):
-                    k = bits[:, order[:KEY_BITS]] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-                    cls += [c] * len(p)
-                    key += (k + (t << KEY_BITS)).tolist()
-                    point += [x.tobytes() for x in p]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(key, pa.int64()), pa.array(point, pa.binary())], names=["cls", "key", "point"])
-
-    hashed = one.mapInArrow(keys, "cls long, key long, point binary")
-    buckets = 64
+            for lo in range(0, batch.num_rows, 2000):
+                part, made = batch.slice(lo, 2000), []
+                for c, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    p = np.frombuffer(data, POINT)
+                    bits = np.unpackbits(p["bits"], axis=1)
+                    for t, order in enumerate(key_bits()):
+                        own = np.zeros(len(p), KEYED)
+                        own["key"] = bits[:, order[:KEY_BITS]] @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (t << KEY_BITS)
+                        own["cls"], own["point"] = c, p
+                        made.append(own)
+                every = np.concatenate(made)
+                bucket = every["key"] * 2654435761 % (1 << 32) * buckets >> 32
+                order = np.argsort(bucket, kind="stable")
+                every, bucket = every[order], bucket[order]
+                ids, at = np.unique(bucket, return_index=True)
+                blobs = [every[a:b].tobytes() for a, b in zip(at, [*at[1:], len(every)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "keyed"])
 
     def match(key, rows):
-        k, c = rows["key"].to_numpy(), rows["cls"].to_numpy()
-        p = np.frombuffer(b"".join(rows["point"].to_pylist()), POINT)
-        bits = np.unpackbits(p["bits"], axis=1)
-        order = np.lexsort((c, k))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) != 0, [True]]))
-        todo = [(order[a:b], KEY_BITS) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+        e = np.concatenate([np.frombuffer(x, KEYED) for x in rows["keyed"].to_pylist()])
+        e = e[np.lexsort((e["cls"], e["key"]))]
+        c, p = e["cls"], e["point"]
+        start = np.flatnonzero(np.concatenate([[True], np.diff(e["key"]) != 0]))
+        length = np.diff([*start, len(e)])
         left, right = [], []
-        while todo:
+        for size in np.unique(length[(length > 1) & (length <= GROUP)]):
+            at = start[length == size]
+            i, j = np.triu_indices(size, 1)
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+        todo = [(np.arange(a, a + n), KEY_BITS) for a, n in zip(start[length > GROUP], length[length > GROUP], strict=True)]
+        while todo:  # refine by the table's next bits
             own, depth = todo.pop()
-            if len(own) > GROUP and depth < 256:  # refine by the table's next bits
-                at = key_bits()[int(k[own[0]] >> KEY_BITS)][depth : depth + 8]
-                code = bits[own][:, at] @ (1 << np.arange(len(at)))
-                by = np.argsort(code, kind="stable")
-                edge = np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0, [True]]))
-                todo += [(own[by[a:b]], depth + 8) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
+            if len(own) <= GROUP or depth >= 256:
+                i, j = np.triu_indices(len(own), 1) if len(own) <= GROUP else (np.arange(len(own) - 1), np.arange(1, len(own)))  # equal descriptors: a chain
+                left.append(own[i])
+                right.append(own[j])
                 continue
-            i, j = np.triu_indices(len(own), 1) if len(own) <= GROUP else (np.arange(len(own) - 1), np.arange(1, len(own)))  # equal descriptors: a chain
-            left.append(own[i])
-            right.append(own[j])
+            at = key_bits()[int(e["key"][own[0]] >> KEY_BITS)][depth : depth + 8]
+            code = np.unpackbits(p["bits"][own], axis=1)[:, at] @ (1 << np.arange(len(at)))
+            by = np.argsort(code, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0, [True]]))
+            todo += [(own[by[a:b]], depth + 8) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         swap = c[i] > c[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -271,8 +289,8 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
         i, j = i[ok], j[ok]
         return pa.table([pa.array(c[i], pa.int64()), pa.array(c[j], pa.int64()), pa.array([p[x].tobytes() + p[y].tobytes() for x, y in zip(i, j, strict=True)], pa.binary())], names=["a", "b", "both"])
 
-    split = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    matches = hashed.select("cls", "key", "point", split).groupBy("bucket").applyInArrow(match, "a long, b long, both binary")
+    parcels = one.mapInArrow(keys, "bucket long, keyed binary")
+    matches = parcels.groupBy("bucket").applyInArrow(match, "a long, b long, both binary")
     pairs = matches.groupBy("a", "b").agg(F.collect_set("both").alias("both")).where(F.size("both") >= min_inliers)
 
     def agree(batches):
