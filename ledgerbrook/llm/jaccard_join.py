@@ -44,8 +44,8 @@ BLOCK, RECURS, FREQUENT, MOST_FREQUENT = 1 << 22, 3, 48, 100_000
 #: Index entries that one task sorts.
 ENTRIES = 400_000
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("flag", "<u4")])
-#: Flags: a frequent shingle alone of a document with few of them; a prefix with any frequent shingle. Above them stands
-#: the number of rare shingles in the prefix: in a group of near copies it is least in the text the others come from.
+#: Flags: a frequent shingle alone of a document with few of them; any key of such a document. Above them stands the
+#: number of rare shingles in the prefix: in a group of near copies it is least in the text the others come from.
 LIGHT, MIXED, RANK = 1, 2, 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -173,8 +173,8 @@ def entries_of(texts: list[str | None], width: int, percent: int, frequent: np.n
     inside = place < length[doc]
     n_hot = np.bincount(doc[inside & (hot == 1)], minlength=len(own))
     n_rare = np.bincount(doc[inside & (hot == 0)], minlength=len(own))
-    base = (np.where(n_hot > 0, MIXED, 0) + RANK * n_rare).astype(np.uint32)
-    pick = np.flatnonzero(inside & ((hot == 0) | (n_hot[doc] > 1)))
+    base = (np.where((n_hot > 0) & (n_hot <= FEW), MIXED, 0) + RANK * n_rare).astype(np.uint32)
+    pick = np.flatnonzero(inside)
     out = np.zeros(len(pick), ENTRY)
     out["key"], out["cls"], out["n"] = take[pick], cls[doc[pick]], size[doc[pick]]
     out["flag"] = base[doc[pick]] | np.where((hot[pick] == 1) & (n_hot[doc[pick]] <= FEW), LIGHT, 0).astype(np.uint32)
