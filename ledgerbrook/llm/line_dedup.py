@@ -49,12 +49,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     )
     lost = join_checked(keyed, common, ["h1", "h2"], "inner", KEY_ROW_BYTES).where(F.col("id") != F.col("keeper"))
-    gone = shared(lost.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("h1").alias("gone_keys")))
-    joined = join_checked(docs.withColumn("gone_of", ident), gone, F.col("gone_of") == F.col("gone_id"), "left", DOC_ROW_BYTES)
+    gone = shared(lost.groupBy(F.col("id").alias("__gone_id")).agg(F.collect_set("h1").alias("__gone_keys")))
+    joined = join_checked(docs.withColumn("__gone_of", ident), gone, F.col("__gone_of") == F.col("__gone_id"), "left", DOC_ROW_BYTES)
     lines = lines_of(text)
-    kept = F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("gone_keys"), F.xxhash64(line_key(x))))
+    kept = F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("__gone_keys"), F.xxhash64(line_key(x))))
     out = joined.withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("kept_lines", F.when(F.col("gone_keys").isNotNull(), kept))
-    out = out.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("kept_lines"), F.lit(0)).cast("long"))
-    new_text = F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(text)
+    out = out.withColumn("__kept_lines", F.when(F.col("__gone_keys").isNotNull(), kept))
+    out = out.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept_lines"), F.lit(0)).cast("long"))
+    new_text = F.when(F.col("__kept_lines").isNotNull(), F.array_join("__kept_lines", "\n")).otherwise(text)
     return out.withColumn(text_col, new_text).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")

@@ -115,14 +115,14 @@ def mix(
         given[rng.permutation(quotas[i])] = np.repeat(np.arange(shards), dealt[:, i])
         rows.append((r.s, int(sizes[i]), float(goal[i]), passes[i], low[i], picks[i], given.tolist()))
     plan = docs.sparkSession.createDataFrame(
-        rows, "mix_name string, mix_source_size long, mix_target double, mix_passes int, mix_low long, mix_picks array<long>, mix_given array<int>"
+        rows, "`__mix_name` string, mix_source_size long, mix_target double, `__mix_passes` int, `__mix_low` long, `__mix_picks` array<long>, `__mix_given` array<int>"
     )
-    h = F.col("mix_h")
-    again = (h < F.col("mix_low")) | F.array_contains("mix_picks", h)
-    out = docs.withColumn("mix_h", place).withColumn("mix_size", word_count(text))
-    out = out.join(F.broadcast(plan), source.cast("string").eqNullSafe(F.col("mix_name")))  # a row per source, at most max_sources
-    out = out.withColumn("mix_copies", F.when(F.col("mix_size") == 0, 0).otherwise(F.col("mix_passes") + again.cast("int")))
-    turn = lambda k: F.element_at("mix_given", (k * blocks + F.shiftright(h, HASH_BITS - BLOCK_BITS) + 1).cast("int"))
+    h = F.col("__mix_h")
+    again = (h < F.col("__mix_low")) | F.array_contains("__mix_picks", h)
+    out = docs.withColumn("__mix_h", place).withColumn("mix_size", word_count(text))
+    out = out.join(F.broadcast(plan), source.cast("string").eqNullSafe(F.col("__mix_name")))  # a row per source, at most max_sources
+    out = out.withColumn("mix_copies", F.when(F.col("mix_size") == 0, 0).otherwise(F.col("__mix_passes") + again.cast("int")))
+    turn = lambda k: F.element_at("__mix_given", (k * blocks + F.shiftright(h, HASH_BITS - BLOCK_BITS) + 1).cast("int"))
     copies = F.sequence(F.lit(0), F.col("mix_copies") - 1)
     none = F.array().cast("array<int>")
     out = out.withColumn("mix_shards", F.when(F.col("mix_copies") > 0, F.transform(copies, turn)).otherwise(none))
@@ -197,7 +197,7 @@ def _cut(slim: DataFrame, block: Column, order: dict, rest: list[float], window:
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
     """One row per copy, dealt to its shard (column mix_shard) and in the shard's order."""
-    copy = F.explode(F.arrays_zip("mix_shards", "mix_order")).alias("mix_copy")
+    copy = F.explode(F.arrays_zip("mix_shards", "mix_order")).alias("__mix_copy")
     rows = plan.select([F.col(f"`{c}`") for c in plan.columns if c not in ADDED] + [copy])
-    rows = rows.withColumn("mix_shard", F.col("mix_copy.mix_shards")).withColumn("mix_order", F.col("mix_copy.mix_order")).drop("mix_copy")
+    rows = rows.withColumn("mix_shard", F.col("__mix_copy.mix_shards")).withColumn("mix_order", F.col("__mix_copy.mix_order")).drop("__mix_copy")
     return rows
