@@ -98,4 +98,26 @@ ORACLES = {
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos)
                                FILTER (WHERE c.keeper IS NULL OR c.keeper = k.doc_id), '')) AS kept_sha256
         FROM keyed k LEFT JOIN common c USING (line_key) GROUP BY k.doc_id""",
+    "op9_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        reach AS (
+            SELECT doc_id, doc_id AS root FROM documents
+            UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.doc_id)
+        SELECT d.doc_id, coalesce(z.n, 0)::bigint AS n_shingles, d.component_id
+        FROM (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) d LEFT JOIN sizes z USING (doc_id)""",
 }
