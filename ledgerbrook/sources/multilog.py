@@ -255,17 +255,38 @@ class Multilog:
         return f"{t.aggregate} {t.op} {typed_text(type_, value)}"
 
     def get_alerts(self, begin: int | None = None, end: int | None = None, trigger: str = "") -> DataFrame:
-        """(time_bucket, trigger_name, trigger_expr, value): buckets whose aggregate satisfies a trigger, once each."""
-        names = [trigger] if trigger else sorted(self.triggers)
-        found = []
-        for name in names:
-            t = self._known(self.triggers, "Trigger", name)
-            type_, value = self._threshold(t.aggregate, t.threshold)
-            buckets = self.aggregate_buckets(t.aggregate, begin, end)
-            hit = buckets.where(compare(t.op, F.col("value"), type_.lit(value) if type_.name != "ULONG" else F.lit(int(value)), type_.name == "DOUBLE"))
-            found.append(hit.select("time_bucket", F.lit(name).alias("trigger_name"), F.lit(self.trigger_text(name)).alias("trigger_expr"), F.col("value").cast("double").alias("value")))
-        if not found:
+        """(time_bucket, trigger_name, trigger_expr, value): buckets whose aggregate satisfies a trigger, once each.
+
+        Triggers on aggregates of one filter share one scan and one grouping.
+        """
+        chosen = [self._known(self.triggers, "Trigger", trigger)] if trigger else [self.triggers[n] for n in sorted(self.triggers)]
+        if not chosen:
             raise InvalidOperation("No trigger is installed.")
+        shared: dict[tuple, list[Trigger]] = {}
+        for t in chosen:
+            named = self.aggregates[t.aggregate]
+            fold = self._aggregate_parts(named.expression)[0].whole is None
+            shared.setdefault((named.filter, named.since, t.aggregate if fold else ""), []).append(t)
+        found = []
+        for (filter_name, since, fold), triggers in shared.items():
+            if fold:
+                buckets = self.aggregate_buckets(fold, begin, end, out=f"agg_{fold}")
+            else:
+                rows = self.query_filter(filter_name, begin, end, since=since).withColumn("time_bucket", self.time_bucket())
+                values = {}
+                for t in triggers:
+                    made, column = self._aggregate_parts(self.aggregates[t.aggregate].expression)
+                    values[t.aggregate] = made.whole(column).alias(f"agg_{t.aggregate}")
+                buckets = rows.groupBy("time_bucket").agg(*values.values())
+            hits = []
+            for t in triggers:
+                type_, bound = self._threshold(t.aggregate, t.threshold)
+                value = F.col(f"agg_{t.aggregate}")
+                hit = compare(t.op, value, type_.lit(bound) if type_.name != "ULONG" else F.lit(int(bound)), type_.name == "DOUBLE")
+                fields = F.struct(F.lit(t.name).alias("trigger_name"), F.lit(self.trigger_text(t.name)).alias("trigger_expr"), value.cast("double").alias("value"))
+                hits.append(F.when(hit, fields))
+            each = buckets.select("time_bucket", F.explode(F.array_compact(F.array(*hits))).alias("a"))
+            found.append(each.select("time_bucket", "a.trigger_name", "a.trigger_expr", "a.value"))
         return reduce(DataFrame.unionByName, found)
 
     def alert_texts(self, alerts: DataFrame) -> DataFrame:
