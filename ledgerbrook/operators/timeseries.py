@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbrook.sources.multilog import OFFSET, Multilog
+from ledgerbrook.sources.multilog import OFFSET, Multilog, time_literal
 
 
 class TimeSeries:
@@ -15,17 +15,11 @@ class TimeSeries:
     def _bounded(self, low: int | None, high: int | None) -> DataFrame:
         """Rows of nanoseconds ``low`` to ``high``, both included; bounds go to the stored column."""
         name = self.log.schema.time_column
-        column, kind = F.col(f"`{name}`"), self.log.rows.schema[name].dataType.typeName()
-        rows = self.log.rows
-        if kind == "long":
-            low_at, high_at = F.lit(low), F.lit(high)
-        else:
-            low_at = F.timestamp_micros(F.lit(None if low is None else -(-low // 1000))).cast(kind)
-            high_at = F.timestamp_micros(F.lit(None if high is None else high // 1000)).cast(kind)
+        column, rows = F.col(f"`{name}`"), self.log.rows
         if low is not None:
-            rows = rows.where(column >= low_at)
+            rows = rows.where(column >= time_literal(low, self.log.time_kind(), up=True))
         if high is not None:
-            rows = rows.where(column <= high_at)
+            rows = rows.where(column <= time_literal(high, self.log.time_kind(), up=False))
         return rows
 
     def get_range(self, begin: int, end: int) -> DataFrame:

@@ -5,6 +5,8 @@ The events table is read as a log whose record k stands at ``event_id * RECORD``
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ledgerbrook.operators import sketch
 from ledgerbrook.operators.lazy_stream import LazyStream
 from ledgerbrook.operators.timeseries import TimeSeries
 from ledgerbrook.sources.multilog import Multilog
+from ledgerbrook.streaming import continuous
 
 RECORD = 48
 HOUR = 3_600_000_000_000
@@ -380,3 +383,43 @@ def stream_flat_map(spark, d) -> DataFrame:
 @query("SELECT event_id FROM events ORDER BY event_id LIMIT 64")
 def stream_take(spark, d) -> DataFrame:
     return LazyStream(events(spark, d).rows, ["event_id"]).take(64).df.select("event_id")
+
+
+# --- continuous queries, run to the end of what is there ----------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """A stream's result so far, from a memory table."""
+    name = f"stream_{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    context = stream.sparkSession.sparkContext
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if shared:  # executors keep state there; a single machine's session may leave it to Spark
+        writer = writer.option("checkpointLocation", f"{shared}/{name}")
+    writer.start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def _event_stream(spark, d):
+    log = events(spark, d)
+    struct = spark.read.parquet(f"{d}/events.parquet").schema
+    return log, continuous.read_stream(spark, f"{d}/events.parquet", struct=struct)
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND value > 30")
+def streaming_filter(spark, d) -> DataFrame:
+    log, stream = _event_stream(spark, d)
+    return _drained(continuous.filtered(stream, log.schema, "event_type == error && value > 30").select("event_id"), "append")
+
+
+@query(f"SELECT epoch_ns(ts) // {HOUR} AS time_bucket, max(value) AS mx FROM events WHERE event_type = 'error' GROUP BY 1")
+def streaming_buckets(spark, d) -> DataFrame:
+    log, stream = _event_stream(spark, d)
+    return _drained(continuous.bucket_aggregates(stream, log.schema, ERROR, "MAX(value)", HOUR, late="30 days", out="mx"), "complete")
+
+
+@query(_ALERTS)
+def streaming_alerts(spark, d) -> DataFrame:
+    log, stream = _event_stream(spark, d)
+    buckets = continuous.bucket_aggregates(stream, log.schema, ERROR, "MAX(value)", HOUR, late="30 days")
+    return continuous.alerts(_drained(buckets, "complete"), "trig", "max_v > 100", REGISTRY.get("DOUBLE"))

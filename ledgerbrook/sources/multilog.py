@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,27 @@ def parse_trigger(text: str) -> tuple[str, str, str]:
     return m[1], m[2], m[3]
 
 
+def nanoseconds(column: Column, kind: str) -> Column:
+    """A time column as nanoseconds since 1970: a number of them, an instant, or a wall time taken as UTC."""
+    if kind == "long":
+        return column
+    instant = column.cast("timestamp")
+    if kind == "timestamp_ntz":  # the cast reads it in the session's zone
+        instant = F.from_utc_timestamp(instant, F.current_timezone())
+    return F.unix_micros(instant) * 1000
+
+
+def time_literal(ns: int, kind: str, up: bool) -> Column:
+    """A constant to compare a time column with, rounded up or down to what the column can hold."""
+    if kind == "long":
+        return F.lit(ns)
+    micros = -(-ns // 1000) if up else ns // 1000
+    if kind == "timestamp_ntz":
+        wall = datetime(1970, 1, 1) + timedelta(microseconds=micros)
+        return F.expr(f"TIMESTAMP_NTZ '{wall:%Y-%m-%d %H:%M:%S.%f}'")
+    return F.timestamp_micros(F.lit(micros))
+
+
 class Multilog:
     """``rows`` must hold the schema's columns and ``log_offset``; other columns pass through."""
 
@@ -113,9 +135,10 @@ class Multilog:
 
     def time_ns(self) -> Column:
         """The row's time in nanoseconds, from a nanosecond number or a Spark timestamp."""
-        column = F.col(f"`{self.schema.time_column}`")
-        kind = self.rows.schema[self.schema.time_column].dataType.typeName()
-        return column if kind == "long" else F.unix_micros(column.cast("timestamp")) * 1000
+        return nanoseconds(F.col(f"`{self.schema.time_column}`"), self.time_kind())
+
+    def time_kind(self) -> str:
+        return self.rows.schema[self.schema.time_column].dataType.typeName()
 
     def time_bucket(self) -> Column:
         return F.call_function("div", self.time_ns(), F.lit(self.time_resolution_ns).cast("long"))
@@ -125,16 +148,11 @@ class Multilog:
         if begin is None and end is None:
             return rows
         column = F.col(f"`{self.schema.time_column}`")
-        kind = self.rows.schema[self.schema.time_column].dataType.typeName()
-        res = self.time_resolution_ns
-        if kind == "long":
-            at = lambda ns: F.lit(ns)
-        else:
-            at = lambda ns: F.timestamp_micros(F.lit(-(-ns // 1000))).cast(kind)
+        kind, res = self.time_kind(), self.time_resolution_ns
         if begin is not None:
-            rows = rows.where(column >= at(begin * res))
+            rows = rows.where(column >= time_literal(begin * res, kind, up=True))
         if end is not None:
-            rows = rows.where(column < at((end + 1) * res))
+            rows = rows.where(column < time_literal((end + 1) * res, kind, up=True))
         return rows
 
     # --- ad hoc ---------------------------------------------------------------------------------------------------

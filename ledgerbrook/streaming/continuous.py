@@ -17,7 +17,7 @@ from ledgerbrook.functions.arith import compare
 from ledgerbrook.functions.types import typed_text
 from ledgerbrook.operators.predicate import compiled
 from ledgerbrook.operators.schema import LogSchema
-from ledgerbrook.sources.multilog import parse_trigger
+from ledgerbrook.sources.multilog import nanoseconds, parse_trigger
 
 
 def read_stream(spark: SparkSession, folder: str, schema: LogSchema | None = None, struct=None, files_per_batch: int = 64) -> DataFrame:
@@ -31,8 +31,9 @@ def filtered(stream: DataFrame, schema: LogSchema, expression: str) -> DataFrame
 
 
 def event_time(stream: DataFrame, time_column: str) -> Column:
-    column = F.col(f"`{time_column}`")
-    return F.timestamp_micros(F.call_function("div", column, F.lit(1000).cast("long"))) if stream.schema[time_column].dataType.typeName() == "long" else column.cast("timestamp")
+    """The time column as an instant, for watermarks and windows."""
+    ns = nanoseconds(F.col(f"`{time_column}`"), stream.schema[time_column].dataType.typeName())
+    return F.timestamp_micros(F.call_function("div", ns, F.lit(1000).cast("long")))
 
 
 def bucket_aggregates(stream: DataFrame, schema: LogSchema, expression: str, aggregate: str, resolution_ns: int, late: str = "10 seconds", out: str = "value") -> DataFrame:
