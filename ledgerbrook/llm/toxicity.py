@@ -5,11 +5,13 @@ has an embedding and a fixed weight (its inverse document frequency); the weight
 whole text are averaged and go through a linear softmax over the two classes; its log-odds are then calibrated. Misspelt and inflected words share n-grams
 with those seen in training. Since all is linear before the softmax, scoring needs only one number per bucket.
 
+Every training text also comes as a copy with misspelt words, so that weight spreads over n-grams that survive a slip.
+
 Training reads a bounded sample of labelled rows (``max_rows`` of either class, by hash of the id, texts of at most
 ``max_train_chars`` characters), a fifth of it held out to calibrate at the classes' true shares. Everything else covers whole
 texts.
 
-Defined results: null and empty texts, and texts without a letter, get the score of the bias alone; repeated rows get
+Defined results: null and empty texts, and texts without a word, get the share of toxic rows among the labelled; repeated rows get
 equal results; null ids are allowed in the scored table; labels that are null or not 0/1 don't count; an empty table
 gives an empty table, and without labels of both classes every score is 0. Other columns pass; columns named as the new
 ones are replaced.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import ngram_buckets, row_sums, without
+from ledgerbrook.llm.common import bounded_batches, lean, ngram_buckets, row_sums, without
 
 SIZES, BITS = (3, 4, 5), 18
 #: An average counts so many n-grams without meaning besides its own, so that a short text needs more than one hint.
@@ -34,20 +36,42 @@ LEAST_TEXTS = 6
 STEPS = 200
 
 
+#: Digits that stand for letters, fixed values.
+LOOKALIKES = {"o": "0", "i": "1", "s": "5", "a": "4", "e": "3", "t": "7"}
+
+
+def misspelt(text: str, rng: np.random.Generator, share: float = 0.5) -> str:
+    """A copy with about ``share`` of the longer words changed in one letter: swapped, doubled, dropped, a digit or a vowel."""
+    words = text.split(" ")
+    draws, ways, spots = rng.random(len(words)), rng.integers(0, 5, len(words)), rng.random(len(words))
+    vowels = rng.integers(0, 5, len(words))
+    for k, w in enumerate(words):
+        if len(w) >= 4 and draws[k] < share:
+            i = 1 + int(spots[k] * (len(w) - 3))
+            words[k] = w[:i] + (w[i + 1] + w[i] + w[i + 2 :], w[i] + w[i:], w[i + 1 :], LOOKALIKES.get(w[i], "x") + w[i + 1 :], "aeiou"[vowels[k]] + w[i + 1 :])[ways[k]]
+    return " ".join(words)
+
+
 class Model:
     def __init__(self, texts: list[str], toxic: list[int], shares: tuple[float, float], width: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.08, heat: float = 60.0, decay: float = 4e-3, seed: int = 7):
         """``shares``: of clean and toxic rows among all labelled rows."""
         self.slope, self.bias, self.stretch = np.zeros(1 << BITS, dtype=np.float32), -np.inf, 1.0
+        self.share = float(shares[1] / sum(shares))
         y = np.array(toxic, dtype=np.int64)
         if not (0 < y.sum() < len(y)):
             return
         rng = np.random.default_rng(seed)
+        texts, y = [*texts, *(misspelt(t, rng) for t in texts)], np.concatenate([y, y])
+        held = np.zeros(len(toxic), dtype=bool)
+        held[rng.permutation(len(toxic))[: len(toxic) // 5]] = True
+        held = np.concatenate([held, held])  # with their misspelt copies
+        held_texts = [texts[i] for i in np.flatnonzero(held)]
         bags = self.bags(texts)
         seen = np.zeros(1 << BITS, dtype=np.int64)
         for b, _ in bags:
             seen[b] += 1
         known = np.flatnonzero(seen >= LEAST_TEXTS)
-        place = np.full(1 << BITS, -1, dtype=np.int64)
+        place = np.full(1 << BITS, -1, dtype=np.int32)
         place[known] = np.arange(len(known))
         idf = np.log(len(texts) / np.maximum(seen[known], 1)).astype(np.float32) + 0.1
         sub = rng.normal(0, 1 / width, (len(known), width)).astype(np.float32)
@@ -56,8 +80,7 @@ class Model:
         g_sub, g_soft, g_off = (np.full(a.shape, 1e-8, dtype=np.float32) for a in (sub, soft, off))
         groups = []
         even = 0.5 / np.array([1 - y.mean(), y.mean()], dtype=np.float32)  # both classes weigh the same
-        order = rng.permutation(len(texts))
-        held, order = order[: len(order) // 5], order[len(order) // 5 :]
+        order = rng.permutation(np.flatnonzero(~held))
         for at in range(0, len(order), batch):  # fixed batches, so each is indexed once
             docs = order[at : at + batch]
             feats, weights, ptr = [], [], [0]
@@ -69,9 +92,9 @@ class Model:
                 weights.append(heat * n[ok] / (n.sum() + EMPTY) * idf[p[ok]])
                 ptr.append(ptr[-1] + int(ok.sum()))
             f, w = np.concatenate(feats), np.concatenate(weights).astype(np.float32)
-            by = np.argsort(f, kind="stable")
+            by = np.argsort(f, kind="stable").astype(np.int32)
             own, first = np.unique(f[by], return_index=True)
-            groups.append((docs, f, w, np.repeat(np.arange(len(docs)), np.diff(ptr)), by, own, first))
+            groups.append((docs, f, w, np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(ptr)), by, own, first))
         del bags
         for _ in range(max(epochs, -(-STEPS // len(groups)))):
             for k in rng.permutation(len(groups)):
@@ -93,7 +116,7 @@ class Model:
                     value -= rate * grad / np.sqrt(memory)
         self.slope[known] = heat * idf * (sub @ (soft[:, 1] - soft[:, 0]))
         self.bias, self.stretch = float(off[1] - off[0]), 1.0
-        self.calibrate([texts[i] for i in held], y[held], shares)
+        self.calibrate(held_texts, y[held], shares)
 
     def calibrate(self, texts: list[str], y: np.ndarray, shares: tuple[float, float]) -> None:
         """Stretch and shift the softmax's log-odds by rows it wasn't trained on, weighted to the classes' true shares."""
@@ -114,23 +137,24 @@ class Model:
     def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Distinct buckets and their counts of each text."""
         out = [[] for _ in texts]
-        for row, bucket in ngram_buckets(texts, SIZES, BITS):
+        for row, bucket in ngram_buckets(texts, SIZES, BITS, digits=True):
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
             for a, b in zip(first, [*first[1:], len(row)], strict=True):
-                out[row[a]].append(bucket[a:b])
-        return [np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True) for x in out]
+                out[row[a]].append(bucket[a:b].astype(np.int32))
+        return [tuple(a.astype(np.int32) for a in np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True)) for x in out]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         if not np.isfinite(self.bias):  # never trained
             return total
-        for row, bucket in ngram_buckets(texts, SIZES, BITS):
+        for row, bucket in ngram_buckets(texts, SIZES, BITS, digits=True):
             row_sums(row, self.slope[bucket].astype(np.float64), total)
             row_sums(row, np.ones(len(row)), count)
-        return 1 / (1 + np.exp(-np.clip(self.stretch * (total / (count + EMPTY) + self.bias), -700, 700)))
+        found = 1 / (1 + np.exp(-np.clip(self.stretch * (total / (count + EMPTY) + self.bias), -700, 700)))
+        return np.where(count > 0, found, self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2500, max_train_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, max_train_chars: int = 20_000) -> Model:
     """Train on at most about ``max_rows`` labelled rows of either class; ``labels`` has the rows to learn from only."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -148,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ["score", "predicted"])
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -160,4 +185,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 s = sent.value.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=schema.names)
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(lean(predict), schema)
