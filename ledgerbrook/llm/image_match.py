@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import shared
+from ledgerbrook.llm.common import bounded_batches, lean, shared
 from ledgerbrook.llm.components import components
 
 #: Largest side of the working copy, scales, corners per image, half width of a patch, tables and bits of their keys.
 SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 20
 #: Descriptors of one key that are all paired; a larger group is split by further bits.
 GROUP = 24
-POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("turn", "<f4"), ("scale", "<f4"), ("bits", "u1", 32)])
-KEYED = np.dtype([("key", "<i8"), ("cls", "<i8"), ("point", POINT)])
+#: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.
+POINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
+KEYED = np.dtype([("key", "<i4"), ("cls", "<i8"), ("point", POINT)])
 #: Keyed descriptors that one task sorts.
 ENTRIES = 250_000
 
@@ -135,13 +136,13 @@ def tests() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def describe(grey: np.ndarray) -> np.ndarray:
-    """Corners of an image with their descriptors, in coordinates of the image."""
+    """Corners of an image's working copy with their descriptors."""
     fit = min(1.0, SIDE / max(grey.shape))
     if fit < 1:
         grey = resize(blur(grey, 2), max(1, int(grey.shape[0] * fit)), max(1, int(grey.shape[1] * fit)))
     one, two, disc = tests()
     found = []
-    for scale in SCALES:
+    for level, scale in enumerate(SCALES):
         height, width = int(grey.shape[0] * scale), int(grey.shape[1] * scale)
         if min(height, width) < 2 * PATCH + 3:
             break
@@ -168,7 +169,7 @@ def describe(grey: np.ndarray) -> np.ndarray:
             return a[np.clip(py, 0, a.shape[0] - 1), np.clip(px, 0, a.shape[1] - 1)]
 
         out = np.zeros(len(x), POINT)
-        out["x"], out["y"], out["turn"], out["scale"] = x / (scale * fit), y / (scale * fit), turn, 1 / (scale * fit)
+        out["x"], out["y"], out["turn"], out["scale"] = np.rint(x / scale * 256), np.rint(y / scale * 256), np.rint(turn / (2 * np.pi) * 256).astype(int) & 255, level
         out["bits"] = np.packbits(at(one) < at(two), axis=1)
         found.append(out)
     return np.concatenate(found) if found else np.zeros(0, POINT)
@@ -186,8 +187,9 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) < 3:
         return 0
     best = 0
-    za, zb = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
-    turns = np.exp(1j * (b["turn"] - a["turn"]).astype(np.float64)) * (b["scale"] / a["scale"])
+    za, zb = (p["x"] / 256 + 1j * (p["y"] / 256) for p in (a, b))
+    grain = 1 / np.array(SCALES)
+    turns = np.exp(2j * np.pi / 256 * (b["turn"].astype(float) - a["turn"].astype(float))) * (grain[b["scale"]] / grain[a["scale"]])
     for i in range(len(a)):
         ratio = turns[i]
         if not 0.4 < abs(ratio) < 2.5:
@@ -201,6 +203,7 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
 
 def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data", max_bits: int = 32, min_inliers: int = 5) -> DataFrame:
     """Per image: its id, class_id (smallest id of equal pixels), n_points, n_links (of its class), group_id (smallest id reachable)."""
+    bounded_batches(images.sparkSession)
     source = images.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{data_col}`").alias("data"))
     listed = "id long, cls long, n_points int, points binary"
 
@@ -230,18 +233,22 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
                 n = [len(p) // POINT.itemsize if p else 0 for p in points]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(points, pa.binary())], names=["id", "cls", "n_points", "points"])
 
-    all_of = shared(source.mapInArrow(extract, listed))
-    # a first step per partition of ids keeps a class with very many images from one task
-    one = all_of.where("cls is not null and n_points > 0").groupBy("cls").agg(F.min_by("points", "id").alias("points"))
-
-    buckets = max(1, one.count() * CORNERS * TABLES // ENTRIES)
+    all_of = shared(source.mapInArrow(lean(extract), listed))
+    one = all_of.where("cls is not null and n_points > 0").select("cls", "points")
+    buckets = max(1, one.agg(F.approx_count_distinct("cls")).first()[0] * CORNERS * TABLES // ENTRIES)
 
     def keys(batches):
-        """Keyed descriptors in parcels, one for each bucket of keys."""
+        """Keyed descriptors in parcels, one for each bucket of keys; a class once a task, as far as it is remembered."""
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part, made = batch.slice(lo, 2000), []
                 for c, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if c in seen:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(c)
                     p = np.frombuffer(data, POINT)
                     bits = np.unpackbits(p["bits"], axis=1)
                     for t, order in enumerate(key_bits()):
@@ -249,19 +256,25 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
                         own["key"] = bits[:, order[:KEY_BITS]] @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (t << KEY_BITS)
                         own["cls"], own["point"] = c, p
                         made.append(own)
+                if not made:
+                    continue
                 every = np.concatenate(made)
-                bucket = every["key"] * 2654435761 % (1 << 32) * buckets >> 32
+                bucket = every["key"].astype(np.int64) * 2654435761 % (1 << 32) * buckets >> 32
                 order = np.argsort(bucket, kind="stable")
                 every, bucket = every[order], bucket[order]
                 ids, at = np.unique(bucket, return_index=True)
                 blobs = [every[a:b].tobytes() for a, b in zip(at, [*at[1:], len(every)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "keyed"])
 
-    def match(key, rows):
+    def match(_, rows):
         e = np.concatenate([np.frombuffer(x, KEYED) for x in rows["keyed"].to_pylist()])
-        e = e[np.lexsort((e["cls"], e["key"]))]
+        e = e[np.lexsort((e["point"]["y"], e["point"]["x"], e["cls"], e["key"]))]
+        new = np.ones(len(e), dtype=bool)
+        new[1:] = e[1:] != e[:-1]
+        e = e[new]  # copies of a class came from several tasks
         c, p = e["cls"], e["point"]
-        start = np.flatnonzero(np.concatenate([[True], np.diff(e["key"]) != 0]))
+        key = e["key"].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
         length = np.diff([*start, len(e)])
         left, right = [], []
         for size in np.unique(length[(length > 1) & (length <= GROUP)]):
@@ -277,7 +290,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
                 left.append(own[i])
                 right.append(own[j])
                 continue
-            at = key_bits()[int(e["key"][own[0]] >> KEY_BITS)][depth : depth + 8]
+            at = key_bits()[int(key[own[0]] >> KEY_BITS)][depth : depth + 8]
             code = np.unpackbits(p["bits"][own], axis=1)[:, at] @ (1 << np.arange(len(at)))
             by = np.argsort(code, kind="stable")
             edge = np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0, [True]]))
@@ -289,7 +302,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
         i, j = i[ok], j[ok]
         return pa.table([pa.array(c[i], pa.int64()), pa.array(c[j], pa.int64()), pa.array([p[x].tobytes() + p[y].tobytes() for x, y in zip(i, j, strict=True)], pa.binary())], names=["a", "b", "both"])
 
-    parcels = one.mapInArrow(keys, "bucket long, keyed binary")
+    parcels = one.mapInArrow(lean(keys), "bucket long, keyed binary")
     matches = parcels.groupBy("bucket").applyInArrow(match, "a long, b long, both binary")
     pairs = matches.groupBy("a", "b").agg(F.collect_set("both").alias("both")).where(F.size("both") >= min_inliers)
 
