@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in one batch of whole texts handed to Python are processed in slices of about this many characters.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def ensure_shared_dir(session: SparkSession) -> str:
@@ -37,6 +40,15 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(session: SparkSession, rows: int = 1000, octets: int = 8 << 20) -> None:
+    """Let the session hand whole texts to Python in small batches: by default 10,000 rows go at once, whatever their size."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", octets)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = session.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:  # not set, unlimited, larger, or spelt with a unit
+            session.conf.set(key, str(most))
+
+
 def fold(id_col: Column, folds: int = 4) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
@@ -46,11 +58,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(function):
+    """Wrap a function over Arrow batches: at its end the worker returns free memory to the system.
+
+    Workers live on from stage to stage, and what their allocators keep counts against the executor.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 @cache
-def letter_table() -> np.ndarray:
-    """Which code points are letters."""
+def letter_table(digits: bool = False) -> np.ndarray:
+    """Which code points are letters, or digits too."""
     out = np.zeros(0x110000, dtype=bool)
-    out[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+    out[[i for i in range(0x110000) if chr(i).isalpha() or (digits and chr(i).isdigit())]] = True
     return out
 
 
@@ -76,14 +105,14 @@ def slices(texts, limit: int = SLICE_CHARS):
         yield start, len(texts)
 
 
-def ngram_buckets(texts, sizes: tuple[int, ...], bits: int, seed: int = 0, piece: int = 4 * SLICE_CHARS):
+def ngram_buckets(texts, sizes: tuple[int, ...], bits: int, seed: int = 0, piece: int = 2 * SLICE_CHARS, digits: bool = False):
     """Yield (row, buckets) arrays: each character n-gram of each whole lower-cased text, hashed to ``bits`` bits.
 
-    Everything that is no letter is a boundary, and runs of boundaries count as one. An n-gram lies within one word;
+    Everything that is no letter (nor digit, if ``digits``) is a boundary, and runs of boundaries count as one. An n-gram lies within one word;
     its first or last character may be the boundary. Long texts come in several overlapping pieces, so memory is bound.
     ``row`` is an index into ``texts``; null texts give nothing.
     """
-    letters = letter_table()
+    letters = letter_table(digits)
     widest = max(sizes)
     for lo, hi in slices(texts):
         parts, owners = [], []

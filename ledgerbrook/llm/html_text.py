@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import slices, without
+from ledgerbrook.llm.common import bounded_batches, lean, slices, without
 
 #: Fixed values of HTML: elements whose content is no text, elements that end a block, elements without content.
 SILENT = "script style noscript template svg math head iframe object canvas audio video select textarea button datalist".split()
@@ -302,6 +302,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars (its code points)."""
+    bounded_batches(pages.sparkSession)
     rest = [c for c in without(pages, ["text", "n_chars"]).columns if c != html_col]
     sent = pages.select([f"`{c}`" for c in [*rest, html_col]])
     schema = T.StructType([*sent.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -316,4 +317,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                     own = part.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(lean(run), schema)

@@ -16,8 +16,8 @@ of documents, over all documents, the most frequent ``MOST_FREQUENT`` at most.
 Copies (equal sets) are one class from the start. Documents under one key are paired if they are at most ``PAIR_ALL``;
 in a longer run all meet the first one, and the run is kept. Candidates are verified against whole sets, recomputed from
 the texts. First each class meets the partner it shares most keys with; what these links join needs no more pairs. Then come all
-other candidates, and all pairs of kept runs, that lie in different components and share so many keys as similar sets of
-their sizes must. No similar pair is dropped, so the components are exact, but for collisions of 64-bit numbers.
+other candidates, and all pairs of kept runs, that lie in different components and may share so many keys as similar sets
+of their sizes must. No similar pair is dropped, so the components are exact, but for collisions of 64-bit numbers.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and link with nothing; fewer words than
 ``width`` make one shingle; repeated rows are copies; a null id is allowed (a component's id is its smallest known
@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import join_checked, shared, slices
+from ledgerbrook.llm.common import bounded_batches, join_checked, lean, shared, slices
 from ledgerbrook.llm.components import components
 
 FEW, PAIR_ALL = 8, 32
 #: A shingle is frequent if blocks of ``BLOCK`` shingles in which it recurs (``RECURS`` times) count it ``FREQUENT`` times.
-BLOCK, RECURS, FREQUENT, MOST_FREQUENT = 1 << 22, 3, 48, 100_000
+BLOCK, RECURS, FREQUENT, MOST_FREQUENT = 1 << 21, 3, 48, 100_000
 #: Index entries that one task sorts.
 ENTRIES = 400_000
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("flag", "<u4")])
@@ -52,7 +52,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -209,7 +209,7 @@ def _index(width: int, percent: int, frequent, buckets: int):
                 for a, b in slices(texts):
                     held.append(entries_of(texts[a:b], width, percent, frequent.value))
                     count += len(held[-1])
-                if count >= 1_000_000:
+                if count >= 500_000:
                     yield parcels()
                     held, count = [], 0
         if count:
@@ -270,32 +270,43 @@ def _pairs(percent: int):
     return run
 
 
-def _cross(percent: int):
-    """Pairs of one run that lie in different components and, by sizes and keys in kept runs, may be similar.
+def cross_pairs(key, cls, n, root, flag, more, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (a, b) of different components that may be similar by their sizes and by the kept runs they share.
 
-    A pair that shares no other key shares as many as the one of them with fewer keys in kept runs has, at most.
+    The rows are those of some kept runs. A pair's shared keys among them are counted; of the keys that it has in other
+    kept runs it shares as many as the one of the two with fewer has, at most. Pairs that share other keys too are
+    candidates already.
     """
+    runs, at_run = np.unique(key, return_inverse=True)
+    ids, first, at_doc = np.unique(cls, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, n[first]))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    ids, n, root, more = ids[order], n[first][order], root[first][order], more[first][order]
+    mixed = (flag[first][order] & MIXED) > 0
+    holds = np.zeros((len(ids), len(runs)), dtype=np.float32)
+    holds[place[at_doc], at_run] = 1
+    elsewhere = more - holds.sum(axis=1).astype(np.int64)
+    left, right = [], []
+    for lo in range(0, len(ids), 256):
+        end = int(np.searchsorted(n, n[min(lo + 255, len(n) - 1)] * 100 // percent, side="right"))
+        common = (holds[lo : lo + 256] @ holds[lo:end].T).astype(np.int64)
+        i, j = np.nonzero(common)
+        i, j, common = i + lo, j + lo, common[i, j]
+        ok = (i < j) & (root[i] != root[j]) & (n[j] * percent <= n[i] * 100)
+        i, j, common = i[ok], j[ok], common[ok]
+        most = common + np.minimum(elsewhere[i], elsewhere[j]) + FEW * (mixed[i] & mixed[j])
+        ok = most >= least_common(n[i], n[j], percent)
+        left.append(i[ok])
+        right.append(j[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
+
+def _cross(percent: int):
     def run(key, rows):
-        cls, n, root, flag, more = (rows[c].to_numpy() for c in ("cls", "n", "root", "flag", "more"))
-        order = np.lexsort((cls, n))
-        cls, n, root, flag, more = cls[order], n[order], root[order], flag[order], more[order]
-        left, right = [], []
-        for i in range(len(cls)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            j = j[(root[j] != root[i]) & ~((flag[j] & flag[i] & LIGHT) > 0)]
-            spare = FEW * ((flag[j] & flag[i] & MIXED) > 0)
-            j = j[np.minimum(more[j], more[i]) + spare >= least_common(n[i], n[j], percent)]
-            left.append(np.full(len(j), i))
-            right.append(j)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        mixed = ((flag[i] & flag[j] & MIXED) > 0).astype(np.int64)
-        need = least_common(n[i], n[j], percent)
-        rank = flag // RANK
-        swap = (rank[i] > rank[j]) | ((rank[i] == rank[j]) & (cls[i] > cls[j]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        cols = [cls[i], cls[j], np.ones(len(i), np.int64), mixed, need, np.ones(len(i), np.int64), np.zeros(len(i), np.int64)]
-        return pa.table([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n", "mixed", "need", "crossed", "more"])
+        a, b = cross_pairs(*(rows[c].to_numpy() for c in ("key", "cls", "n", "root", "flag", "more")), percent)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -330,18 +341,26 @@ def _verify(percent: int):
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per document: its id, n_shingles, and component_id (the smallest id reachable by links of ``percent`` or more)."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     kind = source.schema[0].dataType
     profile_schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType())])
     arrow_id = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
-    profile = shared(source.mapInArrow(_profile(width, arrow_id, profile_schema.names), profile_schema))
+    profile = shared(source.mapInArrow(lean(_profile(width, arrow_id, profile_schema.names)), profile_schema))
     listed = profile.where("kind = 0").select("id", "n", "cls")
-    often = profile.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = np.array([r.cls for r in often.orderBy(F.desc("n"), "cls").limit(MOST_FREQUENT).collect()], dtype=np.int64).view(np.uint64)
+    often = shared(profile.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
+    grade = F.floor(F.log2("n") * 16).alias("grade")  # some hundred grades; the upper ones are taken as far as there is room
+    room, least = MOST_FREQUENT, None
+    for r in sorted(often.groupBy(grade).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if r.k > room:
+            break
+        room, least = room - r.k, r.grade
+    kept = [] if least is None else often.where(F.floor(F.log2("n") * 16) >= least).select("cls").collect()
+    frequent = np.array([r.cls for r in kept], dtype=np.int64).view(np.uint64)
     total = listed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, total * (100 - percent) // 100 // ENTRIES)
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    parcels = source.select(text_col).mapInArrow(_index(width, percent, sent, buckets), "bucket long, entries binary")
+    parcels = source.select(text_col).mapInArrow(lean(_index(width, percent, sent, buckets)), "bucket long, entries binary")
     found = shared(parcels.groupBy("bucket").applyInArrow(_pairs(percent), PAIR_SCHEMA))
     merged = [F.sum("n").alias("n"), F.max("mixed").alias("mixed"), F.max("need").alias("need")]
     pairs = found.where("kind = 0").withColumnRenamed("flag", "mixed").groupBy("a", "b").agg(*merged)
@@ -352,9 +371,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         needed = chosen.select(F.col("a").alias("cls")).union(chosen.select(F.col("b").alias("cls"))).distinct()
         ids = shared(needed.join(heads, "cls").select("head").distinct())
         texts = join_checked(source, ids, F.col(f"`{id_col}`") == F.col("head"), "left_semi", 32)
-        sets = texts.select(text_col).mapInArrow(_sets(width), "cls long, tokens binary")
+        sets = texts.select(text_col).mapInArrow(lean(_sets(width)), "cls long, tokens binary")
         one, two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-        return shared(chosen.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "u long, v long").distinct())
+        return shared(chosen.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(lean(_verify(percent)), "u long, v long").distinct())
 
     in_runs = shared(runs.groupBy("cls").agg(F.count(F.lit(1)).alias("more")))  # keys that pairs don't count
     more_of = lambda side: in_runs.select(F.col("cls").alias(side), F.col("more").alias(f"{side}_more"))
@@ -369,14 +388,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = shared(components(links))
     here = roots.select(F.col("node").alias("cls"), "root")
     of = lambda side: here.select(F.col("cls").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n", "mixed", "need", F.lit(0).cast("long").alias("crossed"), "more")
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     placed = runs.join(here, "cls", "left").join(in_runs, "cls").select("key", "cls", "n", "flag", "more", F.coalesce("root", "cls").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    crossed = placed.join(split, "key", "left_semi").groupBy("key").applyInArrow(_cross(percent), "a long, b long, n long, mixed long, need long, crossed long, more long")
-    rest = rest.union(crossed).groupBy("a", "b").agg(*merged, F.max("crossed").alias("crossed"), F.max("more").alias("more"))
-    rest = rest.withColumn("more", F.when(F.col("crossed") == 1, 0).otherwise(F.col("more"))).where(enough)  # crossed: all counted
-    rest = shared(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
+    # runs of one group of near copies mostly hold members of one component: those meet in one task, where pairs are counted
+    held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count(F.lit(1)).alias("roots"))
+    split = shared(held.where("roots > 1").select("key", "family"))
+    crossed = placed.join(split, "key").groupBy("family").applyInArrow(_cross(percent), "a long, b long")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = shared(rest.union(crossed).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(verified(rest))
         roots = shared(components(links))

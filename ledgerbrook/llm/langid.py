@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import has_letter, ngram_buckets, row_sums, slices, without
+from ledgerbrook.llm.common import bounded_batches, has_letter, lean, ngram_buckets, row_sums, slices, without
 
 SIZES, BITS = (1, 2, 3), 13
 UNKNOWN = "und"
@@ -141,6 +141,7 @@ def fit(labelled: DataFrame, text: Column, lang: Column, key: Column, rows_per_l
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ["lang_pred", "score"])
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -156,4 +157,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names
                 )
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(lean(predict), schema)

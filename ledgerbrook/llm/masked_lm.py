@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import shared, slices
+from ledgerbrook.llm.common import bounded_batches, lean, shared, slices
 from ledgerbrook.llm.jaccard_join import WORDS
 
 #: Words with outputs of their own, buckets for the others; neighbours on either side; width of the hidden layer.
@@ -32,7 +32,7 @@ EDGE = OUTPUTS
 #: One word of so many is masked for training.
 MASKED = 16
 #: Words counted at once in a task.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -154,8 +154,9 @@ def surroundings(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str = "text", warm_rows: int = 300, warm_chars: int = 20_000, rate: float = 0.05) -> tuple[Vocabulary, Network]:
-    """Count all words, train on all documents. ``warm_rows`` texts of at most ``warm_chars`` start the network off."""
+    """Count all words, train on all documents. About ``warm_rows`` texts of at most ``warm_chars`` start the network off."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.col(f"`{text_col}`")
     counts = shared(count_words(docs, text_col))
     top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
@@ -163,7 +164,10 @@ def fit(docs: DataFrame, text_col: str = "text", warm_rows: int = 300, warm_char
     bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
     types = {r.b: r["n"] for r in rest.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     vocabulary, network = Vocabulary(top, types), Network()
-    warm = docs.select(text.alias("t")).where(F.char_length("t").between(1, warm_chars)).orderBy(F.xxhash64("t"), "t").limit(warm_rows).collect()
+    rate = min(1.0, warm_rows / max(1, docs.count()))
+    spread = F.pmod(F.xxhash64(F.lit(23), "t"), F.lit(1 << 40)) / float(1 << 40)
+    warm = docs.select(text.alias("t")).where(F.char_length("t").between(1, warm_chars) & (spread < rate)).limit(4 * warm_rows).collect()
+    warm = sorted(warm, key=lambda r: r.t)[: 2 * warm_rows]
     if not warm:
         return vocabulary, network
     words, count = hashed([r.t for r in warm])
@@ -195,7 +199,7 @@ def fit(docs: DataFrame, text_col: str = "text", warm_rows: int = 300, warm_char
         return pa.table([pa.array([0], pa.int32()), pa.array([int(seen.sum())], pa.int64()), pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["g", "seen", "flat"])
 
     schema = "g int, seen long, flat binary"
-    copies = docs.select(text).mapInArrow(train, schema)
+    copies = docs.select(text).mapInArrow(lean(train), schema)
     found = copies.groupBy("g").applyInArrow(average, schema).groupBy("g").applyInArrow(average, schema).collect()
     return vocabulary, network.load(np.frombuffer(found[0].flat, np.float32)) if found else network
 
@@ -224,4 +228,4 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str
                     mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a worker remembers.
-WORDS_KEPT = 900_000
+from ledgerbrook.llm.common import bounded_batches, lean
+
 #: Control characters that Python's split() takes for white space and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -66,7 +66,7 @@ def encode_into(known: dict[str, bytes], words: list[str], model) -> None:
         known.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
 
-def ids_of(texts: list[str | None], path: str) -> list[bytes]:
+def ids_of(texts: list[str | None], path: str, words_kept: int = 900_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so each word is encoded once and remembered; new words
@@ -74,7 +74,7 @@ def ids_of(texts: list[str | None], path: str) -> list[bytes]:
     """
     whole, plain, known, stems = tokenizer(path)
     split = [[] if not t else BLANKS.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-    if len(known) > WORDS_KEPT:
+    if len(known) > words_kept:
         known.clear()
         stems.clear()
     new = [(w, *stem(w)) if w else ("", "", "", True) for w in set().union(*split).difference(known)]
@@ -116,11 +116,12 @@ def best_fit(needs: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     return where, bins
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, with_ids: bool = True, words_kept: int = 900_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids): each document's ids, cut only where it is longer than ``size``.
 
     ``ids`` (little-endian unsigned 32-bit numbers) is null unless asked for.
     """
+    bounded_batches(docs.sparkSession)
     kind = T._parse_datatype_string("struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *kind.fields])
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -132,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             column = batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, data in enumerate(ids_of(column.slice(at, 256).to_pylist(), vocabulary)):
+                for k, data in enumerate(ids_of(column.slice(at, 256).to_pylist(), vocabulary, words_kept)):
                     data += end
                     for j, b in enumerate(range(0, len(data), 4 * size)):
                         part = data[b : b + 4 * size]
@@ -147,7 +148,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     names=schema.names,
                 )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(cut), schema)
 
 
 def pack(
@@ -163,16 +164,18 @@ def pack(
     group_pieces: int = 8192,
     end_id: int = 1,
     with_ids: bool = False,
+    words_kept: int = 900_000,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     ``max_docs`` bounds the pieces in a sequence and ``max_attention`` the sum of squared lengths; None: as many as fit.
-    A single piece may always stand alone. ``group_pieces`` is the number of pieces packed together.
+    A single piece may always stand alone. ``group_pieces`` is the number of pieces packed together, ``words_kept``
+    the words whose ids each worker remembers, some 300 bytes each.
     """
     docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     count, octets = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()
     groups = max(1, math.ceil((count + octets / (4 * size)) / group_pieces))
-    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id, with_ids)
+    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id, with_ids, words_kept)
     light = cut.select(
         F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)).alias("pack_group"), id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])
     )

@@ -140,12 +140,12 @@ def nearest(
     entries = shared(ids.groupBy("v", "p").agg(merged.alias("ids")).groupBy("v").agg(merged.alias("ids")).withColumn("entry", F.xxhash64("v", F.col("ids")[0])))
     total = entries.count()
     spread_of = F.pmod(F.xxhash64(F.lit(17), "entry"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = entries.where(spread_of < min(1.0, sample_rows / total)).select("entry", "v").limit(2 * sample_rows).collect()
-    if not drawn:
-        drawn = entries.select("entry", "v").limit(100).collect()
-    drawn.sort(key=lambda r: r.entry)
-    sample = np.array([r.v for r in drawn])
-    sample /= np.sqrt((sample * sample).sum(axis=1, keepdims=True))
+    drawn = entries.where(spread_of < min(1.0, sample_rows / total)).select("entry", "v").limit(2 * sample_rows).toArrow()
+    if not drawn.num_rows:
+        drawn = entries.select("entry", "v").limit(100).toArrow()
+    drawn = drawn.sort_by("entry")
+    sample = _matrix(drawn["v"], width)
+    sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
     lists = int(min(max_lists, max(1, total // list_size), max(1, len(sample) // 4)))
     model = spark.sparkContext.broadcast(Centroids(sample, lists))
 
