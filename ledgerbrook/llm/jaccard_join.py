@@ -394,7 +394,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # runs of one group of near copies mostly hold members of one component: those meet in one task, where pairs are counted
     held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count(F.lit(1)).alias("roots"))
     split = shared(held.where("roots > 1").select("key", "family"))
-    crossed = placed.join(split, "key").groupBy("family").applyInArrow(_cross(percent), "a long, b long")
+    inside = shared(placed.drop("more").join(split, "key"))
+    own = inside.groupBy("cls").agg(F.count(F.lit(1)).alias("more"))  # different components share none but these runs
+    crossed = inside.join(own, "cls").groupBy("family").applyInArrow(_cross(percent), "a long, b long")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = shared(rest.union(crossed).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
