@@ -8,7 +8,7 @@ Of those two shared shingles either one is rare, or both are frequent. Hence the
 * every rare shingle of the prefix on its own;
 * every pair of frequent shingles of the prefix, for documents with few of them (at most ``FEW``);
 * every frequent shingle alone for documents with many of them (near copies in large groups), which the others also
-  carry so that the two kinds meet; two documents with few don't meet there.
+  carry so that the two kinds meet.
 
 Which shingles count as frequent changes the cost only, never the result: they are those that recur often within blocks
 of documents, over all documents, the most frequent ``MOST_FREQUENT`` at most.
@@ -246,7 +246,7 @@ def pairs_of_runs(e: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     i, j = np.concatenate(left), np.concatenate(right)
     a, b = e[i], e[j]
     low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
-    ok = (low * 100 >= high * percent) & ~((a["flag"] & b["flag"] & LIGHT) > 0)
+    ok = low * 100 >= high * percent
     mixed = ((a["flag"] & b["flag"] & MIXED) > 0)[ok]
     need = least_common(low[ok], high[ok], percent)
     both = np.stack([a["cls"][ok], b["cls"][ok]], axis=1)
@@ -283,7 +283,6 @@ def cross_pairs(key, cls, n, root, flag, more, percent: int) -> tuple[np.ndarray
     place = np.empty(len(ids), dtype=np.int64)
     place[order] = np.arange(len(ids))
     ids, n, root, more = ids[order], n[first][order], root[first][order], more[first][order]
-    mixed = (flag[first][order] & MIXED) > 0
     holds = np.zeros((len(ids), len(runs)), dtype=np.float32)
     holds[place[at_doc], at_run] = 1
     elsewhere = more - holds.sum(axis=1).astype(np.int64)
@@ -295,7 +294,7 @@ def cross_pairs(key, cls, n, root, flag, more, percent: int) -> tuple[np.ndarray
         i, j, common = i + lo, j + lo, common[i, j]
         ok = (i < j) & (root[i] != root[j]) & (n[j] * percent <= n[i] * 100)
         i, j, common = i[ok], j[ok], common[ok]
-        most = common + np.minimum(elsewhere[i], elsewhere[j]) + FEW * (mixed[i] & mixed[j])
+        most = common + np.minimum(elsewhere[i], elsewhere[j])
         ok = most >= least_common(n[i], n[j], percent)
         left.append(i[ok])
         right.append(j[ok])
@@ -379,8 +378,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more_of = lambda side: in_runs.select(F.col("cls").alias(side), F.col("more").alias(f"{side}_more"))
     pairs = pairs.join(more_of("a"), "a", "left").join(more_of("b"), "b", "left")
     pairs = pairs.select("a", "b", "n", "mixed", "need", F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0))).alias("more"))
-    # a pair shares the keys counted, kept runs beside, and uncounted frequent shingles if both have few of them
-    enough = F.col("n") + F.col("more") + FEW * F.col("mixed") >= F.col("need")
+    enough = F.col("n") + F.col("more") >= F.col("need")  # a pair shares the keys counted, and kept runs beside
     pairs = shared(pairs.where(enough))
     best = F.max_by(F.struct("a", "b"), F.struct("n", F.col("a") * -1)).alias("best")
     first = shared(pairs.groupBy("b").agg(best).select("best.*"))
