@@ -164,9 +164,9 @@ def fit(docs: DataFrame, text_col: str = "text", warm_rows: int = 300, warm_char
     bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
     types = {r.b: r["n"] for r in rest.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     vocabulary, network = Vocabulary(top, types), Network()
-    rate = min(1.0, warm_rows / max(1, docs.count()))
+    share = min(1.0, warm_rows / max(1, docs.count()))
     spread = F.pmod(F.xxhash64(F.lit(23), "t"), F.lit(1 << 40)) / float(1 << 40)
-    warm = docs.select(text.alias("t")).where(F.char_length("t").between(1, warm_chars) & (spread < rate)).limit(4 * warm_rows).collect()
+    warm = docs.select(text.alias("t")).where(F.char_length("t").between(1, warm_chars) & (spread < share)).limit(4 * warm_rows).collect()
     warm = sorted(warm, key=lambda r: r.t)[: 2 * warm_rows]
     if not warm:
         return vocabulary, network

@@ -340,6 +340,28 @@ def test_masked_model_is_a_distribution_and_learns(spark):
     assert usual > -1.5 and out[302].mean_log_prob < usual - 1
 
 
+def test_masked_model_learns_from_context_at_every_size(spark):
+    rng = random.Random(21)
+    chains = [rng.sample([f"w{k}" for k in range(60)], 60) for _ in range(2)]
+    follow = [dict(zip(c, c[1:] + c[:1], strict=True)) for c in chains]
+
+    def text():
+        word, out = f"w{rng.randrange(60)}", []
+        for _ in range(40):
+            out.append(word)
+            word = follow[rng.random() < 0.1][word]
+        return " ".join(out)
+
+    held = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    moved, likely = [], []
+    for n in (1000, 10_000):
+        vocab, net = masked_lm.fit(spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string"))
+        moved.append(np.abs(net.near - masked_lm.Network().near).mean())
+        likely.append(np.mean([r.mean_log_prob for r in masked_lm.score(held, vocab, net).collect()]))
+    assert moved[1] >= moved[0] and likely[1] >= likely[0], (moved, likely)
+    assert likely[1] > -np.log(60) + 0.5  # the words around a token tell more than its frequency
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(9)
     pictures = [image_match.paint(rng.normal(size=64)) for _ in range(12)]
