@@ -4,9 +4,12 @@ Centroids come from balanced k-means on a bounded sample, one per ``list_size``
 draws too many sample vectors gets a handicap. A k-nearest-neighbour graph links the centroids; it is held in memory
 and searched greedily with a beam, by all vectors of a batch at once. Every vector is posted to its nearest centroid,
 and a boundary vector also to others whose distance is within ``spread`` times the nearest (``copies`` lists at most).
-A query searches the graph and scans the lists whose centroid distance is within ``prune`` times the nearest, ``probes``
-lists at most. Lists longer than ``part_rows`` are cut into parts, so no task gets an unbounded list, and its queries go
-to every part.
+A query ranks all centroids and scans every list whose centroid distance is within a ratio of the nearest, however many
+these are. The ratio is ``prune`` or what ``trials`` of the queries need, whichever is more: their nearest are found by a
+scan of the whole table, and the ratio is such that a share ``recall`` of these stands in lists within it. So recall
+doesn't fall as lists become more. Lists longer than ``part_rows`` are cut into parts, so no task gets an unbounded list,
+and its queries go to every part. Parts are dealt to groups, and a query goes once to each group that holds some of its
+lists.
 
 Equal vectors are one entry: its smallest ids are all that a result of k can need, so thousands of copies cost no more
 than one. Candidates are scored in double precision on the original vectors, ties to the smaller id.
@@ -26,6 +29,11 @@ from pyspark.sql import functions as F
 
 from ledgerbrook.llm.common import shared
 
+#: Posts of one group, about; parts of following lists go to groups so far apart.
+GROUP_ROWS, STEP = 8192, 7919
+#: Ratios are taken to this distance where a centroid is nearer.
+LEAST_FAR = 1e-3
+
 
 class Centroids:
     """Unit centroids and their neighbour graph."""
@@ -55,6 +63,10 @@ class Centroids:
                 self.links[i : i + 1024] = np.argsort(-near, axis=1, kind="stable")[:, :degree]
         self.entries = np.sort(rng.permutation(count)[: min(count, 24)])
 
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """The distance of each row to every centroid."""
+        return np.sqrt(np.maximum(2 - 2 * (x.astype(np.float32) @ self.center.T), 0))
+
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids found of each row, and their squared distances, nearest first."""
         n, count = len(x), len(self.center)
@@ -101,6 +113,41 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _needed(posts: DataFrame, trial: np.ndarray, centroids: Centroids, k: int, recall: float) -> float:
+    """The ratio within which a share ``recall`` of the trial vectors' ``k`` nearest stand, by a scan of all posts."""
+    width, most = trial.shape[1], 3 * (k + 1)
+
+    def run(batches):
+        q, held = _unit(trial), None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                own = batch.slice(lo, 2048)
+                v = _matrix(own.column(2), width)
+                sims = q @ _unit(v).T
+                top = np.argpartition(-sims, min(most, len(v) - 1), axis=1)[:, : most + 1]
+                found = np.take_along_axis(sims, top, 1)
+                found[(v[top] == trial[:, None]).all(axis=2)] = -np.inf  # the vector itself
+                new = [found, own.column(0).to_numpy()[top], own.column(1).to_numpy()[top]]
+                held = new if held is None else [np.concatenate(x, axis=1) for x in zip(held, new, strict=True)]
+                best = np.argsort(-held[0], axis=1, kind="stable")[:, :most]
+                held = [np.take_along_axis(x, best, 1) for x in held]
+        if held is not None:
+            at, slot = np.nonzero(np.isfinite(held[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x[at, slot]) for x in held)], names=["q", "sim", "list", "entry"])
+
+    tops = posts.select("list", "entry", "v").mapInArrow(run, "q long, sim double, list long, entry long")
+    tops = tops.groupBy("q", "entry").agg(F.max("sim").alias("sim"), F.collect_set("list").alias("lists"))
+    best = tops.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "entry", "lists")), asc=False), 1, k).alias("best")).collect()
+    far = centroids.distances(_unit(trial))
+    far /= np.maximum(far.min(axis=1, keepdims=True), LEAST_FAR)
+    ratios = [far[r.q, e.lists].min() for r in best for e in r.best]
+    return float(np.quantile(ratios, recall, method="higher")) if ratios else 1.0
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -112,8 +159,9 @@ def nearest(
     sample_rows: int = 40_000,
     copies: int = 3,
     spread: float = 1.15,
-    probes: int = 128,
     prune: float = 1.22,
+    recall: float = 0.97,
+    trials: int = 256,
     part_rows: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of every row that ``queries`` marks, itself left out.
@@ -146,53 +194,87 @@ def nearest(
     drawn = drawn.sort_by("entry")
     sample = _matrix(drawn["v"], width)
     sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-    lists = int(min(max_lists, max(1, total // list_size), max(1, len(sample) // 4)))
-    model = spark.sparkContext.broadcast(Centroids(sample, lists))
-
-    def post(limit: int, ratio: float, beam: int, column: int):
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    own = batch.slice(lo, 512)
-                    x = _matrix(own.column(column), width)
-                    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    found, far = model.value.search(x, beam)
-                    ok = np.sqrt(far) <= ratio * np.sqrt(far[:, :1]) + 1e-6
-                    ok[:, limit:] = False
-                    row, slot = np.nonzero(ok)
-                    taken = own.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[row, slot], pa.int64()), *taken.columns], names=["list", *own.schema.names])
-
-        return run
-
-    posts = entries.select("entry", "v", "ids").mapInArrow(post(copies, spread, 8, 1), "list long, entry long, v array<double>, ids array<long>")
-    posts = shared(posts)
-    parts = shared(posts.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / part_rows)).cast("int").alias("parts")))  # a row per list
-    renamed = parts.select(F.col("list").alias("own_list"), F.col("parts").alias("own_parts"))
+    model = spark.sparkContext.broadcast(Centroids(sample, int(min(max_lists, max(1, total // list_size), max(1, len(sample) // 4)))))
+    lists = len(model.value.center)
+
+    def post(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                own = batch.slice(lo, 512)
+                found, far = model.value.search(_unit(_matrix(own.column(1), width)), 8)
+                ok = np.sqrt(far) <= spread * np.sqrt(far[:, :1]) + 1e-6
+                ok[:, copies:] = False
+                row, slot = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(found[row, slot], pa.int64()), *own.take(pa.array(row)).columns], names=["list", *own.schema.names])
+
+    posts = shared(entries.select("entry", "v", "ids").mapInArrow(post, "list long, entry long, v array<double>, ids array<long>"))
+    lengths = np.zeros(lists, dtype=np.int64)
+    for r in posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per list
+        lengths[r.list] = r["n"]
+    parts = -(-lengths // part_rows)
+    groups = int(max(min(lists, 64), lengths.sum() // GROUP_ROWS))
     asked = rows.where("asks").groupBy("v").agg(F.min("id").alias("any"))  # distinct query vectors, joined to their ids below
-    scans = asked.select(F.xxhash64("v", "any").alias("ask"), "v").mapInArrow(post(probes, prune, probes, 1), "list long, ask long, v array<double>")
-    scans = scans.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))  # at most max_lists rows
-    posts = posts.join(F.broadcast(renamed), F.col("list") == F.col("own_list")).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("own_parts")).cast("int"))
+    drawn = asked.select("v", F.xxhash64(F.lit(29), "v").alias("h")).orderBy("h").limit(trials).toArrow()
+    if not drawn.num_rows:
+        return empty
+    ratio = max(prune, _needed(posts, _matrix(drawn["v"], width), model.value, k, recall))
+
+    def ask(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                own = batch.slice(lo, 64)
+                far = model.value.distances(_unit(_matrix(own.column(1), width)))
+                row, at = np.nonzero((far <= ratio * np.maximum(far.min(axis=1, keepdims=True), LEAST_FAR)) & (parts > 0))
+                n = parts[at]
+                row, at, first = np.repeat(row, n), np.repeat(at, n), np.repeat(np.cumsum(n) - n, n)
+                group = (at * STEP + np.arange(len(at)) - first) % groups
+                code = np.unique((row * groups + group) * lists + at)  # several parts of a list in a group are one
+                near, at = code // lists, code % lists
+                start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])) if len(near) else np.zeros(0, np.int64)
+                wanted = pa.ListArray.from_arrays(pa.array([*start, len(at)], pa.int32()), pa.array(at, pa.int64()))
+                taken = own.take(pa.array(near[start] // groups))
+                yield pa.RecordBatch.from_arrays([pa.array(near[start] % groups, pa.int64()), *taken.columns, wanted], names=["grp", "ask", "v", "lists"])
+
+    scans = asked.select(F.xxhash64("v", "any").alias("ask"), "v").mapInArrow(ask, "grp long, ask long, v array<double>, lists array<long>")
+    several = spark.createDataFrame([(int(i), int(parts[i])) for i in np.flatnonzero(parts > 1)], "long_list long, parts int")  # at most max_lists rows
+    posts = posts.join(F.broadcast(several), F.col("list") == F.col("long_list"), "left")
+    posts = posts.withColumn("grp", F.pmod(F.col("list") * STEP + F.pmod(F.xxhash64("entry"), F.coalesce("parts", F.lit(1))), F.lit(groups)))
+    posts = posts.select("grp", "list", "entry", "v", "ids")
 
     def scan(key, left, right):
-        out_ask, out_entry = [], []
+        out_ask, out_entry = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
-            q, v = _matrix(left["v"], width), _matrix(right["v"], width)
-            q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
-            v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-            for lo in range(0, len(q), 256):
-                sims = q[lo : lo + 256] @ v.T
-                # entries as near as the (k + 1)th nearest, but for rounding: the query's own may be one of them
-                top = np.partition(-sims, min(k, sims.shape[1] - 1), axis=1)[:, min(k, sims.shape[1] - 1)]
-                r, c = np.nonzero(-sims <= top[:, None] + 1e-12)
-                out_ask.append(r + lo)
-                out_entry.append(c)
-        r, c = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (out_ask, out_entry))
+            q, v = _unit(_matrix(left["v"], width)), _unit(_matrix(right["v"], width))
+            wanted = left["lists"].combine_chunks()
+            asker = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+            asks_for, stands_in = wanted.flatten().to_numpy(), right["list"].to_numpy()
+            by_ask, by_list = np.argsort(asks_for, kind="stable"), np.argsort(stands_in, kind="stable")
+            for own in np.unique(stands_in):
+                who = asker[by_ask[np.searchsorted(asks_for, own, "left", by_ask) : np.searchsorted(asks_for, own, "right", by_ask)]]
+                what = by_list[np.searchsorted(stands_in, own, "left", by_list) : np.searchsorted(stands_in, own, "right", by_list)]
+                for lo in range(0, len(who), 256):
+                    sims = q[who[lo : lo + 256]] @ v[what].T
+                    # entries as near as the (k + 1)th nearest, but for rounding: the query's own may be one of them
+                    top = np.partition(-sims, min(k, len(what) - 1), axis=1)[:, min(k, len(what) - 1)]
+                    r, c = np.nonzero(-sims <= top[:, None] + 1e-12)
+                    out_ask.append(who[lo + r])
+                    out_entry.append(what[c])
+        r, c = np.concatenate(out_ask), np.concatenate(out_entry)
+        if len(r):  # an entry of several lists once, and of a query's the k + 1 nearest with their equals
+            _, once = np.unique(np.stack([r, right["entry"].to_numpy()[c]]), axis=1, return_index=True)
+            r, c = r[once], c[once]
+            sims = (q[r] * v[c]).sum(axis=1)
+            order = np.lexsort((-sims, r))
+            r, c, sims = r[order], c[order], sims[order]
+            start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            n = np.diff([*start, len(r)])
+            keep = sims >= np.repeat(sims[start + np.minimum(n - 1, k)], n) - 1e-12
+            r, c = r[keep], c[keep]
         a, b = left.take(pa.array(r)), right.take(pa.array(c))
         score = cosine(_matrix(a["v"], width), _matrix(b["v"], width)) if len(r) else np.zeros(0)
         return pa.table([a["ask"], b["ids"], pa.array(score, pa.float64())], names=["ask", "ids", "score"])
 
-    near = scans.groupBy("list", "part").cogroup(posts.groupBy("list", "part")).applyInArrow(scan, "ask long, ids array<long>, score double")
+    near = scans.groupBy("grp").cogroup(posts.groupBy("grp")).applyInArrow(scan, "ask long, ids array<long>, score double")
     near = near.distinct()  # a boundary vector stands in several lists
     # of each query vector the nearest entries; each holds k + 1 ids, so k + 1 entries are enough whatever a query leaves out
     listed = near.groupBy("ask").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids"))), 1, 4 * k + 8).alias("found"))

@@ -280,6 +280,22 @@ def test_vector_search_finds_what_brute_force_finds(spark):
     assert hits / total >= 0.9
 
 
+def test_vector_search_keeps_its_recall_with_many_lists(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(24_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in posting_ann.nearest(df, F.col("vec_id") % 240 == 0, list_size=32).collect():  # 750 lists
+        got[r.query_id].add(r.vec_id)
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 24_000, 240):
+        sims = d @ d[q]
+        sims[q] = -2
+        hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
+    assert hits / 500 >= 0.93, hits / 500
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (51, [2.0, 0.0]), (52, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in posting_ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(50, 1, 51), (50, 2, 52)]
