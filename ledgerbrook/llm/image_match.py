@@ -2,8 +2,8 @@
 
 Each image is decoded (PNG, PGM or PPM), greyed and searched for corners on several scales. A corner's patch is turned by
 its intensity centroid and described by 256 binary tests. Descriptors meet through Hamming tables: a table's key is a
-sample of descriptor bits, and descriptors of one key are candidates; a key that many images share is refined by further
-bits until its group is small. Candidates whose descriptors differ in at most ``max_bits`` bits are matches. For each
+sample of descriptor bits, and descriptors of one key are candidates, however many these are: the members of a long key
+are compared in blocks. Only a long run of equal descriptors is linked as a chain. Candidates whose descriptors differ in at most ``max_bits`` bits are matches. For each
 pair of images the matches vote for a similarity transform; a pair with enough matches that agree is a copy.
 
 Images of equal pixels are one class from the start, so thousands of exact copies cost no more than one.
@@ -31,8 +31,8 @@ from ledgerbrook.llm.components import components
 
 #: Largest side of the working copy, scales, corners per image, half width of a patch, tables and bits of their keys.
 SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 20
-#: Descriptors of one key that are all paired; a larger group is split by further bits.
-GROUP = 24
+#: Descriptors of one key that are paired outright; more are compared in blocks of so many pairs, and so many equal ones as a chain.
+GROUP, BLOCK = 24, 1 << 21
 #: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.
 POINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
 KEYED = np.dtype([("key", "<i4"), ("cls", "<i8"), ("point", POINT)])
@@ -177,11 +177,32 @@ def describe(grey: np.ndarray) -> np.ndarray:
 
 @cache
 def key_bits() -> list[np.ndarray]:
-    """For each table an order of the 256 bits; its key takes the first ``KEY_BITS``, refinements the next ones."""
+    """For each table an order of the 256 bits; its key takes the first ``KEY_BITS``."""
     rng = np.random.default_rng(2)
     return [rng.permutation(256) for _ in range(TABLES)]
 
 
+def close(bits: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows that differ in at most ``max_bits`` bits; of more than ``GROUP`` equal rows only a chain."""
+    words = np.ascontiguousarray(bits).view(np.uint64)
+    _, run, size = np.unique(words, axis=0, return_inverse=True, return_counts=True)
+    run = run.ravel()
+    order = np.argsort(run, kind="stable")
+    words, run = words[order], run[order]
+    long = size[run] > GROUP
+    chain = np.flatnonzero(long[1:] & (run[1:] == run[:-1]))
+    left, right = [chain], [chain + 1]
+    step = max(1, BLOCK // len(words))
+    for lo in range(0, len(words), step):
+        far = sum(np.bitwise_count(words[lo : lo + step, None, k] ^ words[None, lo:, k]).astype(np.uint16) for k in range(words.shape[1]))
+        i, j = np.nonzero(far <= max_bits)
+        i, j = i + lo, j + lo
+        ok = (i < j) & ~(long[i] & (run[i] == run[j]))
+        left.append(i[ok])
+        right.append(j[ok])
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
     """The most matched points (a[i] with b[i]) that one similarity transform explains, each place counted once."""
     if len(a) < 3:
@@ -282,19 +303,10 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
             i, j = np.triu_indices(size, 1)
             left.append((at[:, None] + i).ravel())
             right.append((at[:, None] + j).ravel())
-        todo = [(np.arange(a, a + n), KEY_BITS) for a, n in zip(start[length > GROUP], length[length > GROUP], strict=True)]
-        while todo:  # refine by the table's next bits
-            own, depth = todo.pop()
-            if len(own) <= GROUP or depth >= 256:
-                i, j = np.triu_indices(len(own), 1) if len(own) <= GROUP else (np.arange(len(own) - 1), np.arange(1, len(own)))  # equal descriptors: a chain
-                left.append(own[i])
-                right.append(own[j])
-                continue
-            at = key_bits()[int(key[own[0]] >> KEY_BITS)][depth : depth + 8]
-            code = np.unpackbits(p["bits"][own], axis=1)[:, at] @ (1 << np.arange(len(at)))
-            by = np.argsort(code, kind="stable")
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0, [True]]))
-            todo += [(own[by[a:b]], depth + 8) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
+        for a, n in zip(start[length > GROUP], length[length > GROUP], strict=True):
+            i, j = close(p["bits"][a : a + n], max_bits)
+            left.append(a + i)
+            right.append(a + j)
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         swap = c[i] > c[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)

@@ -394,6 +394,24 @@ def test_image_copies(spark):
     assert {r.group_id // 4 * 4 for k, r in out.items() if k < 48} == {4 * i for i in range(12)}  # no two pictures merge
 
 
+def test_images_of_one_long_key_are_all_compared(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pictures = [image_match.paint(rng.normal(size=64)) for _ in range(10)]
+    pictures += [np.clip(p * 0.8 + 20 + rng.normal(0, 18, p.shape), 0, 255) for p in pictures]
+    rows = [(i, image_match.encode_png(p)) for i, p in enumerate(pictures)]
+    points = [image_match.describe(image_match.decode(data)) for _, data in rows]
+    links = Counter()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        i, j = np.nonzero(np.bitwise_count(points[a]["bits"][:, None] ^ points[b]["bits"][None]).sum(axis=2, dtype=int) <= 32)
+        if image_match.consensus(points[a][i], points[b][j]) >= 24:
+            links.update((a, b))
+    assert len(links) >= 10
+    monkeypatch.setattr(image_match, "KEY_BITS", 0)  # every descriptor of a table has the same key
+    monkeypatch.setattr(image_match, "GROUP", 2)  # far more descriptors than may be paired outright, as in a large table
+    out = image_match.similar_images(spark.createDataFrame(rows, "id long, data binary"), min_inliers=24).collect()
+    assert {r.id: r.n_links for r in out} == {i: links[i] for i in range(len(rows))}
+
+
 def test_png_round_trip():
     grey = np.random.default_rng(1).integers(0, 256, (13, 7)).astype(np.float32)
     assert (image_match.decode_png(image_match.encode_png(grey)) == grey).all()
