@@ -32,7 +32,7 @@ from ledgerbrook.llm.components import components
 #: Largest side of the working copy, scales, corners per image, half width of a patch, tables and bits of their keys.
 SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 20
 #: Descriptors of one key that are paired outright; more are compared in blocks of so many pairs, and so many equal ones as a chain.
-GROUP, BLOCK = 24, 1 << 21
+GROUP, BLOCK = 24, 1 << 18
 #: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.
 POINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
 KEYED = np.dtype([("key", "<i4"), ("cls", "<i8"), ("point", POINT)])
@@ -305,14 +305,19 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
             right.append((at[:, None] + j).ravel())
         for a, n in zip(start[length > GROUP], length[length > GROUP], strict=True):
             i, j = close(p["bits"][a : a + n], max_bits)
-            left.append(a + i)
-            right.append(a + j)
+            ok = c[a + i] != c[a + j]
+            left.append((a + i[ok]).astype(np.int32))
+            right.append((a + j[ok]).astype(np.int32))
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         swap = c[i] > c[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         ok = (c[i] != c[j]) & (np.bitwise_count(p["bits"][i] ^ p["bits"][j]).sum(axis=1) <= max_bits)
         i, j = i[ok], j[ok]
-        return pa.table([pa.array(c[i], pa.int64()), pa.array(c[j], pa.int64()), pa.array([p[x].tobytes() + p[y].tobytes() for x, y in zip(i, j, strict=True)], pa.binary())], names=["a", "b", "both"])
+        both = pa.py_buffer(np.stack([p[i], p[j]], axis=1))
+        chunks = [(lo, min(len(i), lo + (1 << 20))) for lo in range(0, len(i), 1 << 20)]
+        wide = 2 * POINT.itemsize
+        made = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * np.int32(wide)), both.slice(lo * wide, (hi - lo) * wide)]) for lo, hi in chunks]
+        return pa.table([pa.array(c[i], pa.int64()), pa.array(c[j], pa.int64()), pa.chunked_array(made, pa.binary())], names=["a", "b", "both"])
 
     parcels = one.mapInArrow(lean(keys), "bucket long, keyed binary")
     matches = parcels.groupBy("bucket").applyInArrow(match, "a long, b long, both binary")
