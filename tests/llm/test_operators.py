@@ -107,6 +107,55 @@ def test_jaccard_join(spark, seed):
     assert sorted(map(tuple, out.collect())) == brute_components(rows)
 
 
+def test_jaccard_join_links_through_a_text_without_id(spark):
+    """Two documents whose only link is a near copy with a null id."""
+    rng = random.Random(11)
+    w = prose(rng, 60).split()
+    one, two = [*w], [*w]
+    for k in range(2):
+        one[20 + k] = f"one{k}"
+        two[40 + k] = f"two{k}"
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (4, None), (5, " ".join(w[:30]))]
+    apart = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    joined = jaccard_join.similar_documents(spark.createDataFrame([*rows, (None, " ".join(w)), (None, " ".join(w))], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in apart.collect()} == {1: 1, 2: 2, 4: 4, 5: 5}
+    assert sorted((str(r.doc_id), r.component_id) for r in joined.collect()) == [("1", 1), ("2", 1), ("4", 4), ("5", 5), ("None", 1), ("None", 1)]
+
+
+def test_jaccard_join_of_a_large_family_in_small_blocks(spark, monkeypatch):
+    """5,000 near copies, their sizes too, with blocks and parts so small that many of them meet."""
+    for name, value in (("BLOCK_CLASSES", 300), ("PART_ROWS", 400), ("BLOCK", 1 << 16), ("ENTRIES", 20_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(13)
+    base = prose(rng, 60)
+    texts = near_copies(rng, base, 3600, 6) + near_copies(rng, " ".join(base.split()[:40]), 900, 5) + near_copies(rng, base + " " + prose(rng, 40), 500, 7)
+    rows = list(enumerate(texts))
+    out = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = sorted(map(tuple, out.collect()))
+    vocab, sets = {}, []
+    for t in texts:
+        w = t.split()
+        sets.append(np.array([vocab.setdefault(tuple(w[k : k + 5]), len(vocab)) for k in range(len(w) - 4)]))
+    held = Counter(x for s in sets for x in set(s.tolist()))
+    column = {x: k for k, x in enumerate(x for x, n in held.items() if n > 1)}
+    matrix = np.zeros((len(sets), len(column)), dtype=np.float32)
+    size = np.array([len(set(s.tolist())) for s in sets])
+    for i, s in enumerate(sets):
+        matrix[i, [column[x] for x in set(s.tolist()) if x in column]] = 1
+    common = matrix @ matrix.T
+    near = 100 * common >= 75 * (size[:, None] + size[None] - common)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(sets))
+    while True:
+        least = np.array([label[row].min() for row in near])
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            break
+        label = least
+    assert got == [(i, int(size[i]), int(label[i])) for i in range(len(sets))]
+    assert 10 < len(set(label.tolist())) < 4000
+
+
 def test_prefix_pairs_lose_nothing():
     """Index entries with every shingle rare, frequent or mixed: all similar pairs meet and pass the count."""
     rng = random.Random(5)
@@ -122,11 +171,11 @@ def test_prefix_pairs_lose_nothing():
             want.add((a, b))
     assert want
     for frequent in (every[:0], every, every[::2], every[::9]):
-        a, b, n, mixed, need, runs = jaccard_join.pairs_of_runs(jaccard_join.entries_of(texts, 5, 75, frequent), 75)
+        a, b, n, need, runs = jaccard_join.pairs_of_runs(jaccard_join.entries_of(texts, 5, 75, frequent)[0], 75)
         more = Counter(runs["cls"].tolist())
         got = set()
-        for p, q, k, m, least in zip(a.tolist(), b.tolist(), n, mixed, need, strict=True):
-            if k + min(more[p], more[q]) + jaccard_join.FEW * m >= least:
+        for p, q, k, least in zip(a.tolist(), b.tolist(), n, need, strict=True):
+            if k + min(more[p], more[q]) >= least:
                 got.add((min(p, q), max(p, q)))
         in_run = {tuple(sorted(x)) for key in np.unique(runs["key"]) for x in itertools.combinations(runs["cls"][runs["key"] == key].tolist(), 2)}
         assert want <= got | in_run
