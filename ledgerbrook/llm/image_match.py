@@ -1,20 +1,29 @@
 """Find cropped and edited copies among images by local descriptors.
 
 Each image is decoded (PNG, PGM or PPM), greyed and searched for corners on several scales. A corner's patch is turned by
-its intensity centroid and described by 256 binary tests. Descriptors meet through Hamming tables: a table's key is a
-sample of descriptor bits, and descriptors of one key are candidates, however many these are: the members of a long key
-are compared in blocks. Only a long run of equal descriptors is linked as a chain. Candidates whose descriptors differ in at most ``max_bits`` bits are matches. For each
-pair of images the matches vote for a similarity transform; a pair with enough matches that agree is a copy.
+its intensity centroid and described by 256 binary tests. Every local maximum of a neighbourhood is a corner, so a crop
+keeps the corners of what it shows.
+
+Hamming tables hold pairs of corners: a corner with each of its ``NEAR`` nearest beyond its own patch. The key samples
+bits of both descriptors and the coarse place and turn of one corner seen from the other; so a structure that many
+pictures have in common rarely makes a key that they share. Beside the key stand further bits of both; entries of one key
+whose bits differ little are a match. Up to ``PAIR_ALL`` entries of a key are compared outright; in a longer run all meet
+the first one, and the run is kept. Two images that share ``LEAST`` matches are candidates. For each the matched descriptors of both images (at most ``max_bits`` of 256 bits apart) vote for a similarity transform; a pair with
+``min_inliers`` matches that agree is a link. Kept runs whose members fall to several components are compared block by
+block: first their keys, which tells the images with enough matches, then these images' descriptors, in place; only links
+that join components leave a task. So one group of thousands of copies costs a link for each.
 
 Images of equal pixels are one class from the start, so thousands of exact copies cost no more than one.
 
-Defined results: images that are null or can't be decoded, and images without a corner, match only images of equal
-pixels, or (undecodable) of equal bytes; repeated rows are copies; null ids take no part; an empty table gives an empty
-table. Other columns are ignored.
+Defined results: images that are null or can't be decoded (JPEG among them), and images without a corner, match only
+images of equal pixels, or (undecodable) of equal bytes; pictures of more than ``PIXELS`` pixels are averaged down while
+they are read; repeated rows are copies; null ids take no part; an empty table gives an empty table. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from functools import cache
@@ -28,20 +37,66 @@ from pyspark.sql import types as T
 
 from ledgerbrook.llm.common import bounded_batches, lean, shared
 from ledgerbrook.llm.components import components
-
-#: Largest side of the working copy, scales, corners per image, half width of a patch, tables and bits of their keys.
-SIDE, SCALES, CORNERS, PATCH, TABLES, KEY_BITS = 128, (1.0, 0.71, 0.5), 48, 10, 4, 20
-#: Descriptors of one key that are paired outright; more are compared in blocks of so many pairs, and so many equal ones as a chain.
-GROUP, BLOCK = 24, 1 << 18
+from ledgerbrook.llm.jaccard_join import meetings
+
+#: Largest side of the working copy, scales, half width of a patch, half width of the neighbourhood that a corner tops.
+SIDE, SCALES, PATCH, TOPS = 128, (1.0, 0.71, 0.5), 10, 3
+#: Neighbours of a corner in the tables, bits of either descriptor in a key and beside it, how many of these may differ.
+NEAR, KEY_BITS, CHECK_BITS, CHECK_OFF = 3, 20, 32, 4
+#: Steps of a circle that a key tells apart, and pixels of a step of distance.
+TURNS, FAR = 8, 6
+#: Matches of a candidate; entries of a key that are compared outright.
+LEAST, PAIR_ALL = 2, 32
+#: A larger picture is averaged down while it is read.
+PIXELS = 1 << 24
 #: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.
 POINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
-KEYED = np.dtype([("key", "<i4"), ("cls", "<i8"), ("point", POINT)])
-#: Keyed descriptors that one task sorts.
-ENTRIES = 250_000
-
-
-def decode_png(data: bytes) -> np.ndarray:
-    """8-bit grey, RGB, palette or alpha PNG without interlacing, as (height, width) grey values."""
+ENTRY = np.dtype([("key", "<i8"), ("cls", "<i8"), ("check", "<u8")])
+KEYED, KEYED_TEXT = np.dtype([("key", "<i8"), ("check", "<u8")]), np.dtype([("key", ">i8"), ("check", ">u8")])
+#: Entries that one task sorts.
+ENTRIES = 400_000
+
+
+def unfiltered(data: bytes, height: int, octets: int, step: int):
+    """A PNG's rows of bytes, one after another, from its filtered rows; ``step`` is the bytes of a pixel."""
+    up = bytearray(octets)
+    for i in range(height):
+        at = i * (octets + 1)
+        kind, line = data[at], data[at + 1 : at + 1 + octets]
+        if len(line) < octets or kind > 4:
+            raise ValueError("PNG is cut short")
+        if kind == 0:
+            own = bytearray(line)
+        elif kind == 1:
+            wide = np.zeros(-(-octets // step) * step, np.uint8)
+            wide[:octets] = np.frombuffer(line, np.uint8)
+            own = bytearray(np.add.accumulate(wide.reshape(-1, step), axis=0, dtype=np.uint8).tobytes()[:octets])
+        elif kind == 2:
+            own = bytearray((np.frombuffer(line, np.uint8) + np.frombuffer(bytes(up), np.uint8)).tobytes())
+        else:
+            own = bytearray(line)
+            for j in range(min(step, octets)):
+                own[j] = (own[j] + (up[j] >> 1 if kind == 3 else up[j])) & 255
+            if kind == 3:
+                for j in range(step, octets):
+                    own[j] = (own[j] + ((own[j - step] + up[j]) >> 1)) & 255
+            else:
+                for j in range(step, octets):
+                    a, b, c = own[j - step], up[j], up[j - step]
+                    x, y = b - c, a - c
+                    z = abs(x + y)
+                    x, y = abs(x), abs(y)
+                    own[j] = (own[j] + (a if x <= y and x <= z else b if y <= z else c)) & 255
+        yield bytes(own)
+        up = own
+
+
+#: Adam7: first column and row, and steps, of each pass; fixed values of the format.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def png_rows(data: bytes):
+    """(height, width) of a PNG and its rows of grey values."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
     at, body, palette = 8, [], None
@@ -51,38 +106,65 @@ def decode_png(data: bytes) -> np.ndarray:
         if kind == b"IHDR":
             width, height, depth, color, _, _, lace = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3).mean(axis=1)
         elif kind == b"IDAT":
             body.append(chunk)
         at += 12 + n
     planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    if depth != 8 or lace or width * height > 1 << 26:
+    if depth not in (1, 2, 4, 8, 16) or not width or not height:
         raise ValueError("unsupported PNG")
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * planes)
-    out = np.zeros((height + 1, width * planes), np.uint8)
-    for i, (kind, line) in enumerate(zip(rows[:, 0], rows[:, 1:], strict=True)):
-        up = out[i]
-        if kind == 0:
-            out[i + 1] = line
-        elif kind == 2:
-            out[i + 1] = line + up
-        elif kind == 1:
-            out[i + 1] = np.add.accumulate(line.reshape(-1, planes), axis=0, dtype=np.uint8).ravel()
-        else:
-            own = out[i + 1]
-            for j, v in enumerate(line):
-                a, b, c = (int(own[j - planes]) if j >= planes else 0), int(up[j]), (int(up[j - planes]) if j >= planes else 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
-                own[j] = (int(v) + guess) & 255
-    pixels = out[1:].reshape(height, width, planes)
-    if palette is not None and color == 3:
-        pixels = palette[pixels[..., 0]]
-    grey = pixels[..., :3].mean(axis=2) if pixels.shape[2] >= 3 else pixels[..., 0]
-    return grey.astype(np.float32)
+    raw = zlib.decompress(b"".join(body))
+
+    def rows(data, height, width):
+        octets = (width * planes * depth + 7) // 8
+        for line in unfiltered(data, height, octets, max(1, planes * depth // 8)):
+            v = np.frombuffer(line, np.uint8)
+            if depth == 16:
+                v = v[::2]
+            elif depth < 8:
+                v = np.unpackbits(v).reshape(-1, depth)[: width * planes] @ (1 << np.arange(depth)[::-1])
+            v = v.reshape(width, planes)
+            if color == 3:
+                yield palette[v[:, 0]].astype(np.float32)
+                continue
+            grey = v[:, :3].mean(axis=1) if planes >= 3 else v[:, 0]
+            yield (grey * (255 / ((1 << depth) - 1)) if depth < 8 else grey).astype(np.float32)
+
+    if not lace:
+        return height, width, rows(raw, height, width)
+    out, at = np.zeros((height, width), np.float32), 0
+    for x, y, dx, dy in PASSES:
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w > 0 and h > 0:
+            for i, line in enumerate(rows(raw[at:], h, w)):
+                out[y + i * dy, x::dx] = line
+            at += h * (1 + (w * planes * depth + 7) // 8)
+    return height, width, iter(out)
+
+
+def pnm_rows(data: bytes):
+    """The same of a binary PGM or PPM of 8 bits."""
+    kind, width, height, _ = data.split(None, 4)[:4]
+    planes, width, height = (3 if kind == b"P6" else 1), int(width), int(height)
+    pixels = np.frombuffer(data[-width * height * planes :], np.uint8).reshape(height, width, planes)
+    return height, width, (row.mean(axis=1).astype(np.float32) for row in pixels)
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """Grey values of an image, of a large one averaged down, and one number for equal pixels."""
+    height, width, rows = (pnm_rows if data[:2] in (b"P5", b"P6") else png_rows)(data)
+    k = math.ceil(math.sqrt(height * width / PIXELS))
+    mark, held, out = xxhash.xxh3_64(seed=height), [], []
+    for row in rows:
+        mark.update(row.tobytes())
+        if k == 1:
+            out.append(row)
+            continue
+        held.append(row[: width // k * k].reshape(-1, k).mean(axis=1))
+        if len(held) == k:
+            out.append(np.mean(held, axis=0))
+            held = []
+    return np.stack(out), mark.intdigest() - (1 << 63)
 
 
 def encode_png(grey: np.ndarray) -> bytes:
@@ -97,15 +179,6 @@ def encode_png(grey: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
 
 
-def decode(data: bytes) -> np.ndarray:
-    if data[:2] in (b"P5", b"P6"):
-        kind, width, height, _ = data.split(None, 4)[:4]
-        planes = 3 if kind == b"P6" else 1
-        n = int(width) * int(height) * planes
-        return np.frombuffer(data[-n:], np.uint8).reshape(int(height), int(width), planes).mean(axis=2).astype(np.float32)
-    return decode_png(data)
-
-
 def resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
     y = np.clip((np.arange(height) + 0.5) * grey.shape[0] / height - 0.5, 0, grey.shape[0] - 1)
     x = np.clip((np.arange(width) + 0.5) * grey.shape[1] / width - 0.5, 0, grey.shape[1] - 1)
@@ -135,6 +208,13 @@ def tests() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs[:, :2], pairs[:, 2:], grid[(grid**2).sum(axis=1) <= (PATCH - 2) ** 2]
 
 
+def highest(a: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest value within ``reach`` rows and columns."""
+    p, n = np.pad(a, reach, constant_values=-np.inf), 2 * reach + 1
+    rows = np.max([p[i : i + a.shape[0]] for i in range(n)], axis=0)
+    return np.max([rows[:, j : j + a.shape[1]] for j in range(n)], axis=0)
+
+
 def describe(grey: np.ndarray) -> np.ndarray:
     """Corners of an image's working copy with their descriptors."""
     fit = min(1.0, SIDE / max(grey.shape))
@@ -152,13 +232,9 @@ def describe(grey: np.ndarray) -> np.ndarray:
         strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = np.full_like(strength, -np.inf)
         inner[PATCH:-PATCH, PATCH:-PATCH] = strength[PATCH:-PATCH, PATCH:-PATCH]
-        p = np.pad(inner, 1, constant_values=-np.inf)
-        around = np.max([p[i : i + height, j : j + width] for i in range(3) for j in range(3) if (i, j) != (1, 1)], axis=0)
-        y, x = np.nonzero((inner > around) & (inner > 1.0))
+        y, x = np.nonzero((inner == highest(inner, TOPS)) & (inner > 1.0))
         if not len(x):
             continue
-        best = np.argsort(-inner[y, x], kind="stable")[: CORNERS // len(SCALES)]
-        y, x = y[best], x[best]
         patch = a[y[:, None] + disc[:, 1], x[:, None] + disc[:, 0]]
         turn = np.arctan2((patch * disc[:, 1]).sum(axis=1), (patch * disc[:, 0]).sum(axis=1))
         c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
@@ -176,31 +252,50 @@ def describe(grey: np.ndarray) -> np.ndarray:
 
 
 @cache
-def key_bits() -> list[np.ndarray]:
-    """For each table an order of the 256 bits; its key takes the first ``KEY_BITS``."""
+def samples() -> tuple[np.ndarray, np.ndarray]:
+    """Orders of the 256 bits for a pair's first and second corner: those of the key, then those beside it."""
     rng = np.random.default_rng(2)
-    return [rng.permutation(256) for _ in range(TABLES)]
-
-
-def close(bits: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows that differ in at most ``max_bits`` bits; of more than ``GROUP`` equal rows only a chain."""
-    words = np.ascontiguousarray(bits).view(np.uint64)
-    _, run, size = np.unique(words, axis=0, return_inverse=True, return_counts=True)
-    run = run.ravel()
-    order = np.argsort(run, kind="stable")
-    words, run = words[order], run[order]
-    long = size[run] > GROUP
-    chain = np.flatnonzero(long[1:] & (run[1:] == run[:-1]))
-    left, right = [chain], [chain + 1]
-    step = max(1, BLOCK // len(words))
-    for lo in range(0, len(words), step):
-        far = sum(np.bitwise_count(words[lo : lo + step, None, k] ^ words[None, lo:, k]).astype(np.uint16) for k in range(words.shape[1]))
-        i, j = np.nonzero(far <= max_bits)
-        i, j = i + lo, j + lo
-        ok = (i < j) & ~(long[i] & (run[i] == run[j]))
-        left.append(i[ok])
-        right.append(j[ok])
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+    return rng.permutation(256), rng.permutation(256)
+
+
+def number(bits: np.ndarray) -> np.ndarray:
+    return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1], dtype=np.int64))
+
+
+def keys_of(points: np.ndarray) -> np.ndarray:
+    """Keys and further bits of an image's corner pairs, one for each key."""
+    bits, out = np.unpackbits(points["bits"], axis=1), [np.zeros(0, KEYED)]
+    one, two = samples()
+    upto = KEY_BITS + CHECK_BITS
+    parts = [number(bits[:, order[a:b]]) for order in (one, two) for a, b in ((0, KEY_BITS), (KEY_BITS, upto))]
+    for level, scale in enumerate(SCALES):
+        own = np.flatnonzero(points["scale"] == level)
+        if len(own) < 2:
+            continue
+        z = (points["x"][own] / 256 + 1j * (points["y"][own] / 256)) * scale
+        seen = z[None] - z[:, None]
+        far = np.abs(seen)
+        far[far < PATCH] = np.inf  # patches that overlap tell the same twice
+        near = np.argsort(far, axis=1, kind="stable")[:, :NEAR]
+        i, slot = np.nonzero(np.isfinite(np.take_along_axis(far, near, 1)))
+        j = near[i, slot]
+        turn = points["turn"][own] / 256
+        place = np.floor((np.angle(seen[i, j]) / (2 * np.pi) - turn[i]) % 1 * TURNS).astype(np.int64) % TURNS
+        turned = np.floor((turn[j] - turn[i]) % 1 * TURNS).astype(np.int64) % TURNS
+        step = np.minimum((far[i, j] - PATCH) // FAR, 3).astype(np.int64)
+        made = np.zeros(len(i), KEYED)
+        made["key"] = ((((parts[0][own[i]] << KEY_BITS | parts[2][own[j]]) * TURNS + place) * TURNS) + turned) * 4 + step
+        made["check"] = (parts[1][own[i]] | parts[3][own[j]] << CHECK_BITS).view(np.uint64)
+        out.append(made)
+    all_of = np.concatenate(out)
+    return all_of[np.unique(all_of["key"], return_index=True)[1]]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bits beside two keys differ little, in either corner's half."""
+    off = a ^ b
+    low = np.uint64((1 << CHECK_BITS) - 1)
+    return (np.bitwise_count(off & low) <= CHECK_OFF) & (np.bitwise_count(off >> np.uint64(CHECK_BITS)) <= CHECK_OFF)
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -222,125 +317,197 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data", max_bits: int = 32, min_inliers: int = 5) -> DataFrame:
-    """Per image: its id, class_id (smallest id of equal pixels), n_points, n_links (of its class), group_id (smallest id reachable)."""
+def agreeing(a: np.ndarray, b: np.ndarray, max_bits: int) -> int:
+    """``consensus`` of two images' corners whose descriptors differ in at most ``max_bits`` bits."""
+    x, y = (np.ascontiguousarray(p["bits"]).view(np.uint64) for p in (a, b))
+    far = sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint16) for k in range(4))
+    i, j = np.nonzero(far <= max_bits)
+    return consensus(a[i], b[j])
+
+
+def matches_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (a, b) with a < b among entries of whole keys, and which entries, sorted and each once, are in kept runs."""
+    e = e[np.lexsort((e["cls"], e["key"]))]
+    new = np.ones(len(e), dtype=bool)
+    new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
+    e = e[new]  # copies of a class came from several tasks
+    start = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.zeros(0, np.int64)
+    length = np.diff([*start, len(e)])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(length[(length > 1) & (length <= PAIR_ALL)]):
+        at = start[length == size]
+        i, j = np.triu_indices(size, 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    for a, n in zip(start[length > PAIR_ALL], length[length > PAIR_ALL], strict=True):
+        left.append(np.full(n - 1, a))
+        right.append(np.arange(a + 1, a + n))
+    i, j = np.concatenate(left), np.concatenate(right)
+    ok = alike(e["check"][i], e["check"][j])
+    return e["cls"][i[ok]], e["cls"][j[ok]], e[np.repeat(length > PAIR_ALL, length)]
+
+
+def _both(rows: pa.Table, kind: np.dtype):
+    """The two sides of a meeting: classes, roots and blobs; a block that meets itself stands on both."""
+    side, cls, root = (rows[c].to_numpy() for c in ("side", "cls", "root"))
+    blobs = [np.frombuffer(x.as_buffer(), kind) for x in rows["data"]]
+    for k in (0, 1):
+        own = np.flatnonzero((side == k) | (side == 2))
+        own = own[np.unique(cls[own], return_index=True)[1]]
+        yield cls[own], root[own], [blobs[i] for i in own]
+
+
+def match_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right): in how many keys that two images share the bits beside them differ little."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    of_x, of_y = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.repeat(np.arange(len(right)), [len(v) for v in right])
+    count = np.zeros((len(left), len(right)), dtype=np.uint16)
+    both = np.intersect1d(x["key"], y["key"])
+    (x, of_x), (y, of_y) = ((v[order], of[order]) for v, of in ((x, of_x), (y, of_y)) for order in (np.argsort(v["key"], kind="stable"),))
+    ends = [np.searchsorted(v["key"], both, side) for v in (x, y) for side in ("left", "right")]
+    for a, b, c, d in zip(*ends, strict=True):  # an image holds a key once
+        count[np.ix_(of_x[a:b], of_y[c:d])] += alike(x["check"][a:b, None], y["check"][None, c:d])
+    return count
+
+
+def promising(rows: pa.Table) -> np.ndarray:
+    """The classes of a meeting with enough matches in the family's kept runs with one of another component."""
+    (a, root_a, left), (b, root_b, right) = _both(rows, KEYED_TEXT)
+    left, right = ([v.astype(KEYED) for v in side] for side in (left, right))
+    i, j = np.nonzero((match_counts(left, right) >= LEAST) & (root_a[:, None] != root_b[None]))
+    return np.union1d(a[i], b[j])
+
+
+def joining(rows: pa.Table, max_bits: int, min_inliers: int) -> tuple[list[int], list[int]]:
+    """Links of a meeting's candidates, those with most matches first, no more than it takes to join components."""
+    (a, root_a, left), (b, root_b, right) = _both(rows, POINT)
+    count = match_counts([keys_of(p) for p in left], [keys_of(p) for p in right])
+    i, j = np.nonzero((count >= LEAST) & (root_a[:, None] != root_b[None]))
+    above, u, v = {int(r): int(r) for r in np.union1d(root_a, root_b)}, [], []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for k in np.argsort(-count[i, j].astype(np.int64), kind="stable"):
+        p, q = top(int(root_a[i[k]])), top(int(root_b[j[k]]))
+        if p != q and agreeing(left[i[k]], right[j[k]], max_bits) >= min_inliers:
+            above[p] = q
+            u.append(int(a[i[k]]))
+            v.append(int(b[j[k]]))
+    return u, v
+
+
+def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data", max_bits: int = 24, min_inliers: int = 5) -> DataFrame:
+    """Per image: its id, class_id (smallest id of equal pixels), n_points (corners) and group_id (smallest id reachable)."""
     bounded_batches(images.sparkSession)
     source = images.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{data_col}`").alias("data"))
-    listed = "id long, cls long, n_points int, points binary"
 
     def extract(batches):
-        seen: dict[int, np.ndarray] = {}
+        """A class's corners stand with the first of its images only, as far as a task remembers."""
+        seen: dict[int, int] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                cls, points = [], []
+                cls, n, points = [], [], []
                 for data in part.column(1).to_pylist():
-                    if data is None:
-                        cls.append(None)
-                        points.append(None)
-                        continue
-                    try:
-                        grey = decode(data)
-                        c = xxhash.xxh3_64_intdigest(grey.tobytes(), seed=grey.shape[0]) - (1 << 63)
-                        if c not in seen:
-                            if len(seen) > 2000:
-                                seen.clear()
-                            seen[c] = describe(grey)
-                        points.append(seen[c].tobytes())
-                    except (ValueError, KeyError, IndexError, zlib.error, struct.error, UnboundLocalError):
-                        c = xxhash.xxh3_64_intdigest(data, seed=1 << 40) - (1 << 63)
-                        points.append(None)
-                    cls.append(c)
-                n = [len(p) // POINT.itemsize if p else 0 for p in points]
+                    own, count, blob = None, 0, None
+                    if data is not None:
+                        try:
+                            grey, own = decode(data)
+                            if own in seen:
+                                count = seen[own]
+                            else:
+                                found = describe(grey)
+                                count, blob = len(found), found.tobytes() or None
+                                if len(seen) > 100_000:
+                                    seen.clear()
+                                seen[own] = count
+                        except (ValueError, KeyError, IndexError, TypeError, zlib.error, struct.error, UnboundLocalError):
+                            own = xxhash.xxh3_64_intdigest(data, seed=1 << 40) - (1 << 63)
+                    cls.append(own)
+                    n.append(count)
+                    points.append(blob)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(points, pa.binary())], names=["id", "cls", "n_points", "points"])
 
-    all_of = shared(source.mapInArrow(lean(extract), listed))
-    one = all_of.where("cls is not null and n_points > 0").select("cls", "points")
-    buckets = max(1, one.agg(F.approx_count_distinct("cls")).first()[0] * CORNERS * TABLES // ENTRIES)
+    all_of = shared(source.mapInArrow(lean(extract), "id long, cls long, n_points int, points binary"))
+    one = all_of.where("points is not null").select("cls", "points")
+    corners = one.agg(F.coalesce(F.sum(F.octet_length("points")), F.lit(0))).first()[0] // POINT.itemsize
+    buckets = max(1, corners * NEAR // ENTRIES)
 
-    def keys(batches):
-        """Keyed descriptors in parcels, one for each bucket of keys; a class once a task, as far as it is remembered."""
+    def parcels(batches):
+        """Entries in parcels, one for each bucket of keys."""
         seen: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part, made = batch.slice(lo, 2000), []
-                for c, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for lo in range(0, batch.num_rows, 1000):
+                part, made = batch.slice(lo, 1000), []
+                for c, data in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     if c in seen:
                         continue
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(c)
-                    p = np.frombuffer(data, POINT)
-                    bits = np.unpackbits(p["bits"], axis=1)
-                    for t, order in enumerate(key_bits()):
-                        own = np.zeros(len(p), KEYED)
-                        own["key"] = bits[:, order[:KEY_BITS]] @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (t << KEY_BITS)
-                        own["cls"], own["point"] = c, p
-                        made.append(own)
+                    keyed = keys_of(np.frombuffer(data.as_buffer(), POINT))
+                    own = np.zeros(len(keyed), ENTRY)
+                    own["key"], own["cls"], own["check"] = keyed["key"], c, keyed["check"]
+                    made.append(own)
                 if not made:
                     continue
                 every = np.concatenate(made)
-                bucket = every["key"].astype(np.int64) * 2654435761 % (1 << 32) * buckets >> 32
+                bucket = (every["key"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 every, bucket = every[order], bucket[order]
                 ids, at = np.unique(bucket, return_index=True)
                 blobs = [every[a:b].tobytes() for a, b in zip(at, [*at[1:], len(every)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "keyed"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
     def match(_, rows):
-        e = np.concatenate([np.frombuffer(x, KEYED) for x in rows["keyed"].to_pylist()])
-        e = e[np.lexsort((e["point"]["y"], e["point"]["x"], e["cls"], e["key"]))]
-        new = np.ones(len(e), dtype=bool)
-        new[1:] = e[1:] != e[:-1]
-        e = e[new]  # copies of a class came from several tasks
-        c, p = e["cls"], e["point"]
-        key = e["key"].astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
-        length = np.diff([*start, len(e)])
-        left, right = [], []
-        for size in np.unique(length[(length > 1) & (length <= GROUP)]):
-            at = start[length == size]
-            i, j = np.triu_indices(size, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-        for a, n in zip(start[length > GROUP], length[length > GROUP], strict=True):
-            i, j = close(p["bits"][a : a + n], max_bits)
-            ok = c[a + i] != c[a + j]
-            left.append((a + i[ok]).astype(np.int32))
-            right.append((a + j[ok]).astype(np.int32))
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        swap = c[i] > c[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        ok = (c[i] != c[j]) & (np.bitwise_count(p["bits"][i] ^ p["bits"][j]).sum(axis=1) <= max_bits)
-        i, j = i[ok], j[ok]
-        both = pa.py_buffer(np.stack([p[i], p[j]], axis=1))
-        chunks = [(lo, min(len(i), lo + (1 << 20))) for lo in range(0, len(i), 1 << 20)]
-        wide = 2 * POINT.itemsize
-        made = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * np.int32(wide)), both.slice(lo * wide, (hi - lo) * wide)]) for lo, hi in chunks]
-        return pa.table([pa.array(c[i], pa.int64()), pa.array(c[j], pa.int64()), pa.chunked_array(made, pa.binary())], names=["a", "b", "both"])
-
-    parcels = one.mapInArrow(lean(keys), "bucket long, keyed binary")
-    matches = parcels.groupBy("bucket").applyInArrow(match, "a long, b long, both binary")
-    pairs = matches.groupBy("a", "b").agg(F.collect_set("both").alias("both")).where(F.size("both") >= min_inliers)
+        a, b, runs = matches_of(np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()]))
+        both, count = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True)
+        kind = np.repeat([0, 1], [len(both), len(runs)]).astype(np.int32)
+        cols = [kind, np.concatenate([both[:, 0], runs["key"]]), np.concatenate([both[:, 1], runs["cls"]]), np.concatenate([count.astype(np.int64), runs["check"].view(np.int64)])]
+        return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n"])
+
+    found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(match, "kind int, a long, b long, n long"))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("n").alias("check"))
+    points = one.dropDuplicates(["cls"])
 
     def agree(batches):
         for batch in batches:
-            good = []
-            for both in batch.column(2).to_pylist():
-                x = np.frombuffer(b"".join(sorted(both)), POINT).reshape(-1, 2)
-                good.append(consensus(x[:, 0], x[:, 1]) >= min_inliers)
+            good = [agreeing(*(np.frombuffer(x.as_buffer(), POINT) for x in both), max_bits) >= min_inliers for both in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    links = shared(pairs.mapInArrow(agree, "u long, v long"))
-    ends = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
+    pa_, pb = points.select(F.col("cls").alias("a"), F.col("points").alias("at_a")), points.select(F.col("cls").alias("b"), F.col("points").alias("at_b"))
+    links = shared(pairs.select("a", "b").join(pa_, "a").join(pb, "b").select("a", "b", "at_a", "at_b").mapInArrow(lean(agree), "u long, v long"))
+    roots = shared(components(links))
+    placed = runs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count(F.lit(1)).alias("roots"))
+    hexed = F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
+    inside = shared(placed.join(held.where("roots > 1").select("key", "family"), "key").groupBy("family", "cls").agg(F.first("root").alias("root"), F.collect_set(hexed).alias("keys")))
+    if not inside.isEmpty():
+        as_member = lambda df, data: df.select("family", "cls", F.lit(1).cast("long").alias("n"), "root", F.lit(0).cast("long").alias("more"), data.alias("data"))
+        met = meetings(as_member(inside, F.unhex(F.array_join("keys", ""))), 75)
+
+        def look(key, rows):
+            cls = promising(rows)
+            return pa.table([pa.array(np.full(len(cls), rows["family"][0].as_py()), pa.int64()), pa.array(cls, pa.int64())], names=["family", "cls"])
+
+        def join(key, rows):
+            u, v = joining(rows, max_bits, min_inliers)
+            return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        chances = shared(met.groupBy("meet").applyInArrow(look, "family long, cls long").distinct())
+        whole = inside.select("family", "cls", "root").join(chances, ["family", "cls"]).join(points, "cls")
+        later = meetings(as_member(whole, F.col("points")), 75).groupBy("meet").applyInArrow(join, "u long, v long")
+        roots = shared(components(links.union(shared(later.distinct()))))
     heads = all_of.where("cls is not null").groupBy("cls").agg(F.min("id").alias("class_id"))
-    rooted = heads.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = heads.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     groups = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    classes = rooted.join(groups, "root").join(ends, "cls", "left").select("cls", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = rooted.join(groups, "root").select("cls", "class_id", "group_id")
     out = all_of.select("id", "cls", "n_points").join(classes, "cls", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), "n_points", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "id").alias("group_id")
-    )
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), "n_points", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def paint(vector: np.ndarray, size: int = 96) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,27 +444,99 @@ def test_image_copies(spark):
     assert {r.group_id // 4 * 4 for k, r in out.items() if k < 48} == {4 * i for i in range(12)}  # no two pictures merge
 
 
-def test_images_of_one_long_key_are_all_compared(spark, monkeypatch):
+def brute_groups(data):
+    """Smallest index reachable by pairs that all-pairs matching of descriptors links."""
+    points = [image_match.describe(image_match.decode(d)[0]) for d in data]
+    label = list(range(len(data)))
+    for a, b in itertools.combinations(range(len(data)), 2):
+        if label[a] != label[b] and image_match.agreeing(points[a], points[b], 24) >= 5:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("pair_all", [2, 32])
+def test_families_of_images_are_whole(spark, monkeypatch, pair_all):
+    """60 pictures with the same content, edits of edits, and strangers; with short runs kept, so blocks meet."""
+    monkeypatch.setattr(image_match, "PAIR_ALL", pair_all)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 16)
     rng = np.random.default_rng(12)
-    pictures = [image_match.paint(rng.normal(size=64)) for _ in range(10)]
-    pictures += [np.clip(p * 0.8 + 20 + rng.normal(0, 18, p.shape), 0, 255) for p in pictures]
-    rows = [(i, image_match.encode_png(p)) for i, p in enumerate(pictures)]
-    points = [image_match.describe(image_match.decode(data)) for _, data in rows]
-    links = Counter()
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        i, j = np.nonzero(np.bitwise_count(points[a]["bits"][:, None] ^ points[b]["bits"][None]).sum(axis=2, dtype=int) <= 32)
-        if image_match.consensus(points[a][i], points[b][j]) >= 24:
-            links.update((a, b))
-    assert len(links) >= 10
-    monkeypatch.setattr(image_match, "KEY_BITS", 0)  # every descriptor of a table has the same key
-    monkeypatch.setattr(image_match, "GROUP", 2)  # far more descriptors than may be paired outright, as in a large table
-    out = image_match.similar_images(spark.createDataFrame(rows, "id long, data binary"), min_inliers=24).collect()
-    assert {r.id: r.n_links for r in out} == {i: links[i] for i in range(len(rows))}
+    base, pictures = image_match.paint(rng.normal(size=64)), []
+    for k in range(60):
+        p = base.copy()
+        p[5 + k : 9 + k, 40:44] = 255 * (k % 2)
+        pictures.append(p)
+    for _ in range(6):
+        p = image_match.paint(rng.normal(size=64))
+        pictures += [p, np.clip(p * 0.8 + 20 + rng.normal(0, 6, p.shape), 0, 255), p[24:-24, 24:-24], p[:60, :60], p[36:, 36:]]
+    data = [image_match.encode_png(p) for p in pictures]
+    out = image_match.similar_images(spark.createDataFrame(list(enumerate(data)), "id long, data binary").repartition(3))
+    got = {r.id: r.group_id for r in out.collect()}
+    assert [got[i] for i in range(len(data))] == brute_groups(data)
+    assert {got[i] for i in range(60)} == {0}
+
+
+@pytest.mark.parametrize("strangers", [40, 400])
+def test_recall_of_crops_at_two_sizes(spark, strangers):
+    """Crops of several sizes, turned, scaled and noisy copies are found as often among many pictures as among few."""
+    rng = np.random.default_rng(5)
+    ways = {
+        "three quarters": lambda p: p[4:80, 10:84], "middle half": lambda p: p[24:-24, 24:-24], "corner": lambda p: p[:56, :56], "turned": lambda p: p.T[::-1],
+        "scaled": lambda p: image_match.resize(image_match.blur(p), 144, 144), "noisy": lambda p: np.clip(p * 0.85 + 14 + rng.normal(0, 4, p.shape), 0, 255),
+    }
+    pictures = [image_match.paint(rng.normal(size=64)) for _ in range(20)]
+    rows = [(i * 100, image_match.encode_png(p)) for i, p in enumerate(pictures)]
+    rows += [(i * 100 + k, image_match.encode_png(way(p))) for i, p in enumerate(pictures) for k, way in enumerate(ways.values(), 1)]
+    rows += [(10_000 + i, image_match.encode_png(image_match.paint(rng.normal(size=64)))) for i in range(strangers)]
+    got = {r.id: r.group_id for r in image_match.similar_images(spark.createDataFrame(rows, "id long, data binary")).collect()}
+    for k, name in enumerate(ways, 1):
+        assert np.mean([got[i * 100 + k] == i * 100 for i in range(20)]) >= 0.9, name
+    assert all(got[10_000 + i] == 10_000 + i for i in range(strangers))
+
+
+def filtered_png(grey, kind, depth=8, lace=False):
+    """A PNG whose rows all have one filter, written by the format's own rules, byte by byte."""
+
+    def lines(rows):
+        up, out = None, []
+        for row in rows:
+            v = [int(x) for x in row]
+            if depth == 16:
+                v = [y for x in v for y in (x, 7)]
+            elif depth == 1:
+                v = np.packbits([x > 127 for x in v]).tolist()
+            step, up = 2 if depth == 16 else 1, up or [0] * len(v)
+            a = [0] * step + v[:-step]
+            c = [0] * step + up[:-step]
+            near = lambda p, q, r: min((abs(q - r), 0, p), (abs(p - r), 1, q), (abs(p + q - 2 * r), 2, r))[2]
+            guess = [[0, x, y, (x + y) // 2, near(x, y, z)][kind] for x, y, z in zip(a, up, c, strict=True)]
+            out.append(bytes([kind, *((x - g) % 256 for x, g in zip(v, guess, strict=True))]))
+            up = v
+        return b"".join(out)
+
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if lace else [(0, 0, 1, 1)]
+    raw = b"".join(lines(grey[y::dy, x::dx]) for x, y, dx, dy in passes if grey[y::dy, x::dx].size)
+    chunk = lambda n, body: struct.pack(">I", len(body)) + n + body + struct.pack(">I", zlib.crc32(n + body))
+    head = struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], depth, 0, 0, 0, int(lace))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_filters_depths_and_interlacing(monkeypatch):
+    grey = np.random.default_rng(1).integers(0, 256, (13, 19)).astype(np.float32)
+    for kind, depth, lace in [(k, d, x) for k in range(5) for d in (8, 16) for x in (False, True)]:
+        assert (image_match.decode(filtered_png(grey, kind, depth, lace))[0] == grey).all(), (kind, depth, lace)
+    assert (image_match.decode(filtered_png(grey, 4, 1))[0] == 255 * (grey > 127)).all()
+    one, two = filtered_png(grey, 0), filtered_png(grey, 4)
+    assert one != two and image_match.decode(one)[1] == image_match.decode(two)[1]
+    with pytest.raises((ValueError, zlib.error)):
+        image_match.decode(one[:60])
+    monkeypatch.setattr(image_match, "PIXELS", 60)  # 13 x 19 is over four times that
+    assert image_match.decode(one)[0].shape == (4, 6)
 
 
 def test_png_round_trip():
     grey = np.random.default_rng(1).integers(0, 256, (13, 7)).astype(np.float32)
-    assert (image_match.decode_png(image_match.encode_png(grey)) == grey).all()
+    assert (image_match.decode(image_match.encode_png(grey))[0] == grey).all()
 
 
 def test_registered_names():
