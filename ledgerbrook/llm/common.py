@@ -40,7 +40,7 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(session: SparkSession, rows: int = 1000, octets: int = 8 << 20) -> None:
+def bounded_batches(session: SparkSession, rows: int = 1000, octets: int = 4 << 20) -> None:
     """Let the session hand whole texts to Python in small batches: by default 10,000 rows go at once, whatever their size."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", octets)):
         key = f"spark.sql.execution.arrow.{name}"

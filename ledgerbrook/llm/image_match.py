@@ -46,7 +46,7 @@ NEAR, KEY_BITS, CHECK_BITS, CHECK_OFF = 3, 20, 32, 4
 #: Steps of a circle that a key tells apart, and pixels of a step of distance.
 TURNS, FAR = 8, 6
 #: Matches of a candidate; entries of a key that are compared outright.
-LEAST, PAIR_ALL = 2, 32
+LEAST, PAIR_ALL = 2, 128
 #: A larger picture is averaged down while it is read.
 PIXELS = 1 << 24
 #: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.

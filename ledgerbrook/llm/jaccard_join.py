@@ -47,7 +47,7 @@ FEW, PAIR_ALL = 8, 32
 #: A shingle is frequent if blocks of ``BLOCK`` shingles in which it recurs (``RECURS`` times) count it ``FREQUENT`` times.
 BLOCK, RECURS, FREQUENT, MOST_FREQUENT = 1 << 21, 3, 48, 100_000
 #: Index entries that one task sorts.
-ENTRIES = 400_000
+ENTRIES = 300_000
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("flag", "<u4")])
 #: Flags: the key's entries are dealt to several tasks. Above it stands the number of rare shingles in the prefix: in a
 #: group of near copies it is least in the text the others come from.
@@ -101,6 +101,18 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return h[first], np.concatenate([[0], np.cumsum(first)])[ends]
 
 
+def forgetful(function):
+    """``lean``, and the words that the task remembered go too."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            WORDS.clear()
+
+    return lean(run)
+
+
 def class_of(tokens: np.ndarray) -> int:
     """One number for equal sets."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
@@ -223,7 +235,7 @@ def _index(width: int, percent: int, frequent, buckets: int):
                 for a, b in slices(texts):
                     held.append(entries_of(texts[a:b], width, percent, *frequent.value))
                     count += len(held[-1][0])
-                if count >= 500_000:
+                if count >= 250_000:
                     yield parcels()
                     held, count = [], 0
         if count:
@@ -449,7 +461,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = source.schema[0].dataType
     profile_schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType())])
     arrow_id = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
-    profile = shared(source.mapInArrow(lean(_profile(width, arrow_id, profile_schema.names)), profile_schema))
+    profile = shared(source.mapInArrow(forgetful(_profile(width, arrow_id, profile_schema.names)), profile_schema))
     listed = profile.where("kind = 0").select("id", "n", "cls")
     often = shared(profile.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     grade = F.floor(F.log2("n") * 16).alias("grade")  # some hundred grades; the upper ones are taken as far as there is room
@@ -465,7 +477,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = listed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, total * (100 - percent) // 100 // ENTRIES)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
-    parcels = source.select(text_col).mapInArrow(lean(_index(width, percent, sent, buckets)), "bucket long, entries binary")
+    parcels = source.select(text_col).mapInArrow(forgetful(_index(width, percent, sent, buckets)), "bucket long, entries binary")
     found = shared(parcels.groupBy("bucket").applyInArrow(_pairs(percent), "kind int, a long, b long, n long, need long"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n")
@@ -475,7 +487,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """The whole sets of the classes ``needed`` (cls), from a text of each."""
         ids = shared(needed.distinct().join(heads, "cls").select("head").distinct())
         texts = join_checked(source, ids, F.col(f"`{id_col}`").eqNullSafe(F.col("head")), "left_semi", 32)  # only null ids: null
-        return texts.select(text_col).mapInArrow(lean(_sets(width)), "cls long, tokens binary").dropDuplicates(["cls"])
+        return texts.select(text_col).mapInArrow(forgetful(_sets(width)), "cls long, tokens binary").dropDuplicates(["cls"])
 
     def verified(chosen: DataFrame) -> DataFrame:
         sets = sets_of(chosen.select(F.col("a").alias("cls")).union(chosen.select(F.col("b").alias("cls"))))

@@ -5,8 +5,9 @@ gives all its blocks q times, and of one more pass so many blocks, in hash order
 the last few documents are picked one by one. The tree starts with each source's number of block turns (its quota) and
 halves the shards again and again: the left half's quotas are drawn from a multivariate hypergeometric law, so each
 shard gets its exact share of all turns, in proportions that vary only by chance. Each source's turns are permuted and
-dealt out to the shards by those quotas, so no turn falls to two shards. Within a shard documents are in random order.
-All draws come from ``seed``, so reruns agree.
+dealt out to the shards by those quotas, so no turn falls to two shards. Within a shard documents are in random order:
+``mixed_rows`` shuffles each copy to its shard, cut into parts by order, and sorts there. All draws come from ``seed``, so
+reruns agree.
 
 Only counts and sums per source and block reach the driver: at most ``max_sources`` sources, else it is an error.
 
@@ -195,9 +196,16 @@ def _cut(slim: DataFrame, block: Column, order: dict, rest: list[float], window:
     return low, turns, picks
 
 
-def mixed_rows(plan: DataFrame) -> DataFrame:
-    """One row per copy, dealt to its shard (column mix_shard) and in the shard's order."""
+def mixed_rows(plan: DataFrame, parts: int = 1) -> DataFrame:
+    """One row per copy, where its shard is: columns mix_shard, mix_part and mix_order are added and sorted by.
+
+    Each shard is cut into ``parts`` ranges of the order, a task each, so that a shard may exceed what a task can hold;
+    its parts one after another are the shard in random order.
+    """
     copy = F.explode(F.arrays_zip("mix_shards", "mix_order")).alias("__mix_copy")
     rows = plan.select([F.col(f"`{c}`") for c in plan.columns if c not in ADDED] + [copy])
-    rows = rows.withColumn("mix_shard", F.col("__mix_copy.mix_shards")).withColumn("mix_order", F.col("__mix_copy.mix_order")).drop("__mix_copy")
-    return rows
+    rows = without(rows, ["mix_shard", "mix_part", "mix_order"])
+    order = F.col("__mix_copy.mix_order")
+    part = F.least(F.floor((order / float(1 << 64) + 0.5) * parts), F.lit(parts - 1)).cast("int")  # the order is a signed 64-bit hash
+    rows = rows.withColumn("mix_shard", F.col("__mix_copy.mix_shards")).withColumn("mix_part", part).withColumn("mix_order", order).drop("__mix_copy")
+    return rows.repartition("mix_shard", "mix_part").sortWithinPartitions("mix_shard", "mix_part", "mix_order")

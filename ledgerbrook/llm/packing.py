@@ -1,7 +1,7 @@
 """Tokenise documents with a public vocabulary and pack them into sequences by vector best fit.
 
 Every document's ids end with one separator id. Only documents longer than a sequence are cut. Pieces go to groups by a
-hash of their id; each group is packed on its own, so no task holds more than a group, and the loss is at most a part of
+hash of their id, their content and the partition they are made in, so that no repeated row makes a group large; each group is packed on its own, so no task holds more than a group, and the loss is at most a part of
 one sequence per group. In a group the pieces come longest first. Each goes to the open sequence where, under every
 capacity (tokens, documents, attention cost), the weighted norm of what stays free is least (``rule="norm"``) or the
 weighted dot product of need and free capacity is greatest (``rule="dot"``); if none has room a new one opens.
@@ -116,10 +116,11 @@ def best_fit(needs: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     return where, bins
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, with_ids: bool = True, words_kept: int = 900_000) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, with_ids: bool = True, words_kept: int = 900_000, forget: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids): each document's ids, cut only where it is longer than ``size``.
 
-    ``ids`` (little-endian unsigned 32-bit numbers) is null unless asked for.
+    ``ids`` (little-endian unsigned 32-bit numbers) is null unless asked for. With ``forget`` a worker keeps no words from
+    task to task.
     """
     bounded_batches(docs.sparkSession)
     kind = T._parse_datatype_string("struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>")
@@ -148,7 +149,14 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     names=schema.names,
                 )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(cut), schema)
+    def cut_and_forget(batches):
+        try:
+            yield from cut(batches)
+        finally:
+            for words in tokenizer(vocabulary)[2:]:
+                words.clear()
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(cut_and_forget if forget else cut), schema)
 
 
 def pack(
@@ -165,27 +173,28 @@ def pack(
     end_id: int = 1,
     with_ids: bool = False,
     words_kept: int = 900_000,
+    forget: bool = False,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     ``max_docs`` bounds the pieces in a sequence and ``max_attention`` the sum of squared lengths; None: as many as fit.
-    A single piece may always stand alone. ``group_pieces`` is the number of pieces packed together, ``words_kept``
-    the words whose ids each worker remembers, some 300 bytes each.
+    A single piece may always stand alone, whatever it costs. ``group_pieces`` is the number of pieces packed together, ``words_kept``
+    the words whose ids each worker remembers, some 300 bytes each, from task to task unless told to ``forget``.
     """
     docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     count, octets = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()
     groups = max(1, math.ceil((count + octets / (4 * size)) / group_pieces))
-    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id, with_ids, words_kept)
+    cut = pieces(docs, vocabulary, id_col, text_col, size, end_id, with_ids, words_kept, forget)
     light = cut.select(
-        F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)).alias("pack_group"), id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece", "length", "ids_crc32", F.spark_partition_id()), F.lit(groups)).alias("pack_group"), F.col(f"`{id_col}`"), "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])
     )
-    capacity = np.array([size, max_docs or size, max(max_attention or size * size, size * size)], dtype=float)
+    capacity = np.array([size, max_docs or size, max_attention or size * size], dtype=float)
     schema = T.StructType([f for f in light.schema.fields if f.name != "pack_group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fill(key, rows):
         rows = rows.drop_columns(["pack_group"]).sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         n = rows["length"].to_numpy().astype(float)
-        needs = np.stack([n, np.ones(len(n)), n * n], axis=1)
+        needs = np.minimum(np.stack([n, np.ones(len(n)), n * n], axis=1), capacity)  # a costlier piece leaves no room beside it
         where, bins = best_fit(needs, capacity, np.array(weights), rule)
         order = np.argsort(where, kind="stable")
         before = np.cumsum(n[order]) - n[order]

@@ -42,6 +42,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.size("mix_shards")).alias("taken"),
         F.col("source"),
+        F.col("mix_shards").alias("shards"),
+        F.col("mix_order").alias("orders"),
     )
 
 

@@ -228,6 +228,28 @@ def test_packing_round_trip(spark):
     assert len(places) <= sum(r.length for r in got) / 256 + 7
 
 
+def test_packing_keeps_an_attention_capacity(spark):
+    """The sum of squared lengths binds; a piece that exceeds it alone stands alone."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(1, 40))) for i in range(200)] + [(k, "word") for k in (500, None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    loose, tight = (packing.pack(df, vocabulary(), size=256, max_attention=m).collect() for m in (None, 4000))
+    assert len(loose) == len(tight) == 800
+    packed = defaultdict(list)
+    for r in tight:
+        packed[r.sequence_id].append(r.length)
+    assert all(sum(n * n for n in lengths) <= 4000 or len(lengths) == 1 for lengths in packed.values())
+    assert any(n * n > 4000 for lengths in packed.values() for n in lengths)
+    assert len(packed) > len({r.sequence_id for r in loose})
+
+
+def test_packing_splits_repeated_rows(spark):
+    """Copies of one row go to several groups."""
+    rows = spark.range(0, 4000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = packing.pack(rows, vocabulary(), size=64, group_pieces=500).collect()
+    assert len(got) == 4000 and max(Counter(r.sequence_id >> 32 for r in got).values()) <= 2000
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)
@@ -272,8 +294,26 @@ def test_mixing_contract(spark):
         assert abs(taken[s] - target[s]) <= max(45, 0.01 * target[s]), s
     key = lambda r: (r.doc_id, r.mix_copies, tuple(r.mix_shards), tuple(r.mix_order))
     assert sorted(map(key, mixing.mix(df.repartition(5), shards=8).collect())) == sorted(map(key, got))
-    dealt = mixing.mixed_rows(plan)
-    assert dealt.count() == sum(r.mix_copies for r in got) and dealt.columns == ["doc_id", "text", "source", "mix_shard", "mix_order"]
+    turns = Counter((r.source, s) for r in got for s in r.mix_shards)
+    for parts in (1, 3):
+        dealt = mixing.mixed_rows(plan, parts)
+        assert dealt.columns == ["doc_id", "text", "source", "mix_shard", "mix_part", "mix_order"]
+        rows = dealt.withColumn("at", F.spark_partition_id()).collect()
+        assert Counter((r.source, r.mix_shard) for r in rows) == turns  # shards hold what the tree deals them
+        where = defaultdict(set)
+        for r in rows:
+            where[r.mix_shard, r.mix_part].add(r.at)
+        assert len(where) == 8 * parts and all(len(x) == 1 for x in where.values())
+        for x, y in itertools.pairwise(rows):  # each part in order, and parts are ranges of it
+            if x.at == y.at:
+                assert (x.mix_shard, x.mix_part, x.mix_order) <= (y.mix_shard, y.mix_part, y.mix_order)
+        assert all(r.mix_part == min(parts - 1, int((r.mix_order / 2**64 + 0.5) * parts)) for r in rows)
+    share = {s: n / sum(r.mix_copies for r in got) for s, n in Counter(r.source for r in got for _ in r.mix_shards).items()}
+    for shard in range(8):  # every shard mixes the sources as the whole does
+        whole = sum(n for (_, k), n in turns.items() if k == shard)
+        assert abs(turns["a", shard] / whole - share["a"]) < 0.12
+    other = {r.doc_id: r for r in mixing.mix(df, shards=1).collect()}
+    assert all(set(r.mix_shards) <= {0} for r in other.values()) and len({s for _, s in turns}) == 8
 
 
 def test_split_tree_is_exact():
@@ -455,7 +495,7 @@ def brute_groups(data):
     return label
 
 
-@pytest.mark.parametrize("pair_all", [2, 32])
+@pytest.mark.parametrize("pair_all", [2, 128])
 def test_families_of_images_are_whole(spark, monkeypatch, pair_all):
     """60 pictures with the same content, edits of edits, and strangers; with short runs kept, so blocks meet."""
     monkeypatch.setattr(image_match, "PAIR_ALL", pair_all)
