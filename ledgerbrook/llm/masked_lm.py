@@ -1,12 +1,15 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-A document's score is the sum over its words of log P(word | the words around it). The most frequent words of the corpus
-are outputs of their own; all others fall into buckets by hash, and within a bucket all its words count alike. These
-counts, of every word of every document, come from the corpus itself.
+A document's score is the sum over its words of log P(word | the words around it). Outputs are the most frequent words of
+the corpus, each its own, and rests: all other words that end alike. P(word | rest) follows the words' counts in the whole
+corpus: exact for the ``KNOWN`` most frequent, for others the mean of the cell that they fall to by hash. Outputs that end
+alike form a group, and the network gives P(group | around) * P(output | group, around).
 
-The network (numpy): an embedding for each neighbour and offset, summed, a tanh layer, and a softmax. It is warmed up on
-a bounded sample, then every partition trains a copy on masked words of all its documents, and the copies are averaged,
-weighted by the words they saw.
+The network (numpy): an embedding for each neighbour and offset, summed, a tanh layer, two softmaxes. It starts from the
+corpus' own frequencies. Documents are dealt to shards by their content, a shard for each ``SHARD_WORDS`` words, and to
+``rounds``; in each round every shard trains a copy of the network on every word of its documents of that round, and the
+copies are averaged, weighted by the words they saw. So each word of the corpus is a training target once, the work of a
+task is bounded, and the result doesn't depend on how the table is partitioned.
 
 Defined results: a null or empty text has no word and log_prob 0; repeated rows get equal results; null ids are allowed;
 an empty table gives an empty table. Other columns are ignored.
@@ -18,31 +21,69 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerbrook.llm.common import bounded_batches, lean, shared, slices
-from ledgerbrook.llm.jaccard_join import WORDS
 
-#: Words with outputs of their own, buckets for the others; neighbours on either side; width of the hidden layer.
-OWN, BUCKETS, SIDE, WIDTH = 160, 32, 2, 16
-OUTPUTS = OWN + BUCKETS
-EDGE = OUTPUTS
-#: One word of so many is masked for training.
-MASKED = 16
-#: Words counted at once in a task.
-BLOCK = 1 << 21
+#: Words with outputs of their own, rests and groups of outputs; neighbours on either side; width of the hidden layer.
+OWN, RESTS, GROUPS, SIDE, WIDTH = 1536, 256, 32, 2, 32
+#: Words whose counts are known one by one, and cells for the counts of all others.
+KNOWN, CELLS = 1 << 17, 1 << 18
+#: What a word never seen counts.
+UNSEEN = 0.5
+#: Words that one task trains on in all rounds, about, and in one step; words counted at once in a task.
+SHARD_WORDS, STEP, BLOCK = 2_000_000, 1024, 1 << 20
+#: Copies of the network averaged in one task.
+FAN = 16
 
 
-def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit numbers of all lower-cased words, and the number of words of each text."""
+class WordNumbers(dict):
+    """64-bit numbers of words; the upper 8 bits tell the last three bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 250_000:
+            self.clear()
+        self[word] = h = (xxhash.xxh3_64_intdigest(word[-3:]) % RESTS) << 56 | xxhash.xxh3_64_intdigest(word) >> 8
+        return h
+
+
+NUMBERS = WordNumbers()
+
+
+def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all lower-cased words, and the number of words of each text."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     count = np.array([len(w) for w in words], dtype=np.int64)
-    return np.fromiter(map(WORDS.__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(count.sum())), count
+    return np.fromiter(map(NUMBERS.__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(count.sum())), count
 
 
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, words) of all documents, written once: the texts as word numbers."""
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`"))
+    schema = T.StructType([source.schema[0], T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType())])
+
+    def run(batches):
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    texts = part.column(1).to_pylist()
+                    for a, b in slices(texts):
+                        w, n = numbered(texts[a:b])
+                        ends = np.concatenate([[0], np.cumsum(n)])
+                        blobs = [w[x:y].tobytes() for x, y in itertools.pairwise(ends)]
+                        yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names)
+        finally:
+            NUMBERS.clear()
+
+    return shared(source.mapInArrow(lean(run), schema))
+
+
+def count_words(ready: DataFrame) -> DataFrame:
     """(word, n) of all documents; blocks are counted where they are."""
 
     def run(batches):
@@ -53,50 +94,77 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(lo, 256).to_pylist()
-                for a, b in slices(texts):
-                    held.append(hashed(texts[a:b])[0])
-                    size += len(held[-1])
-                if size >= BLOCK:
-                    yield counted()
-                    held, size = [], 0
+            for blob in batch.column(0):
+                held.append(np.frombuffer(blob.as_buffer(), np.uint64))
+                size += len(held[-1])
+            if size >= BLOCK:
+                yield counted()
+                held, size = [], 0
         if size:
             yield counted()
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return ready.where("n_words > 0").select("words").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Output numbers of words, and log P(word | output)."""
-
-    def __init__(self, top: list[int], types: dict[int, int]):
-        own = np.array(top, dtype=np.int64).view(np.uint64)
-        order = np.argsort(own)
-        self.own, self.number = own[order], order
-        self.within = np.zeros(OUTPUTS)
-        for b in range(BUCKETS):
-            self.within[OWN + b] = -np.log(types.get(b, 0) + 1)
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        out = OWN + (words >> np.uint64(40)).astype(np.int64) % BUCKETS
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
-            hit = self.own[at] == words
-            out[hit] = self.number[at[hit]]
-        return out
+    """Output numbers of words, their groups, and log P(word | output)."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, cells: np.ndarray, types: np.ndarray):
+        """``words`` (sorted) with their counts; sums of counts and numbers of words in the cells of all others.
+
+        ``cells`` and ``types`` are (RESTS, CELLS / RESTS): a word's cell is within its rest.
+        """
+        self.words = words
+        top = np.lexsort((words, -counts))[:OWN]
+        rest = (words >> np.uint64(56)).astype(np.int64)
+        member = np.concatenate([np.arange(RESTS), rest[top]])  # rests first, then own words
+        order = np.argsort(member % GROUPS, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.rest_output = place[:RESTS]
+        self.output = self.rest_output[rest]
+        self.output[top] = place[RESTS:]
+        self.group = (member % GROUPS)[order]
+        self.start = np.searchsorted(self.group, np.arange(GROUPS + 1))
+        apart = np.ones(len(words), dtype=bool)
+        apart[top] = False
+        total = np.bincount(rest[apart], weights=counts[apart] + UNSEEN, minlength=RESTS) + (cells + UNSEEN * types).sum(axis=1) + UNSEEN
+        self.within = np.log(counts + UNSEEN) - np.log(total)[rest]
+        self.within[top] = 0
+        mean = np.where(types > 0, cells / np.maximum(types, 1), 0) + UNSEEN
+        self.cell = (np.log(mean) - np.log(total)[:, None]).astype(np.float32)
+        self.count = np.bincount(self.output, weights=counts, minlength=len(order)).astype(np.float64)
+        self.count[self.rest_output] += cells.sum(axis=1)
+
+    def __len__(self) -> int:
+        return len(self.group)
+
+    def ids(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's output, and log P(word | output)."""
+        rest = (words >> np.uint64(56)).astype(np.int64)
+        out, within = self.rest_output[rest], self.cell[rest, (words % np.uint64(CELLS // RESTS)).astype(np.int64)].astype(np.float64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            hit = self.words[at] == words
+            out[hit], within[hit] = self.output[at[hit]], self.within[at[hit]]
+        return out, within
 
 
 class Network:
-    def __init__(self, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.near = rng.normal(0, 0.1, (2 * SIDE, OUTPUTS + 1, WIDTH)).astype(np.float32)
+    def __init__(self, vocabulary: Vocabulary, seed: int = 3):
+        self.start, self.group = vocabulary.start, vocabulary.group
+        n, rng = len(vocabulary), np.random.default_rng(seed)
+        self.near = rng.normal(0, 0.1, (2 * SIDE, n + 1, WIDTH)).astype(np.float32)  # the last row: beyond a text's end
         self.bend = np.zeros(WIDTH, dtype=np.float32)
-        self.out = rng.normal(0, 0.1, (WIDTH, OUTPUTS)).astype(np.float32)
-        self.base = np.zeros(OUTPUTS, dtype=np.float32)
+        self.top = np.zeros((WIDTH, GROUPS), dtype=np.float32)
+        self.out = np.zeros((n, WIDTH), dtype=np.float32)
+        count = vocabulary.count + 1.0
+        in_group = np.bincount(self.group, weights=count, minlength=GROUPS)
+        self.top_base = np.log(np.maximum(in_group, 1e-9) / count.sum()).astype(np.float32)
+        self.out_base = np.log(count / in_group[self.group]).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.near, self.bend, self.out, self.base]
+        return [self.near, self.bend, self.top, self.out, self.top_base, self.out_base]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -109,123 +177,203 @@ class Network:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.near[k][around[:, k]] for k in range(2 * SIDE)) + self.bend)
+        h = self.near[0][around[0]]
+        for k in range(1, 2 * SIDE):
+            h += self.near[k][around[k]]
+        h += self.bend
+        return np.tanh(h, out=h)
+
+    def _members(self, h: np.ndarray, group: np.ndarray):
+        """For each group of targets: its rows, its outputs and their shares."""
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            rows = order[ends[g] : ends[g + 1]]
+            if len(rows):
+                own = slice(self.start[g], self.start[g + 1])
+                yield rows, own, softmax(h[rows] @ self.out[own].T + self.out_base[own])
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
-        logit = h @ self.out
-        logit += self.base
-        picked = logit[np.arange(len(target)), target].copy()
-        np.clip(logit, -80, 80, out=logit)
-        np.exp(logit, out=logit)
-        return picked - np.log(logit.sum(axis=1))
-
-    def train(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float, batch: int = 256) -> None:
-        for lo in range(0, len(target), batch):
-            a, t = around[lo : lo + batch], target[lo : lo + batch]
-            h = self.hidden(a)
-            p = h @ self.out + self.base
-            p = np.exp(p - p.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            p /= len(t)
-            back = (p @ self.out.T) * (1 - h * h)
-            near = np.zeros_like(self.near)
-            for k in range(2 * SIDE):
-                np.add.at(near[k], a[:, k], back)
-            for value, grad, mem in zip(self.parts(), [near, back.sum(axis=0), h.T @ p, p.sum(axis=0)], memory, strict=True):
-                mem += grad * grad
-                value -= rate * grad / np.sqrt(mem)
+        h, group = self.hidden(around), self.group[target]
+        found = np.log(softmax(h @ self.top + self.top_base)[np.arange(len(target)), group])
+        for rows, own, p in self._members(h, group):
+            found[rows] += np.log(p[np.arange(len(rows)), target[rows] - own.start])
+        return found
+
+    def train(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
+        """A step over all of ``target``."""
+        n = len(target)
+        h, group = self.hidden(around), self.group[target]
+        p = softmax(h @ self.top + self.top_base)
+        p[np.arange(n), group] -= 1
+        p /= n
+        back = p @ self.top.T
+        out, out_base = np.zeros_like(self.out), np.zeros_like(self.out_base)
+        for rows, own, q in self._members(h, group):
+            q[np.arange(len(rows)), target[rows] - own.start] -= 1
+            q /= n
+            back[rows] += q @ self.out[own]
+            out[own], out_base[own] = q.T @ h[rows], q.sum(axis=0)
+        back *= 1 - h * h
+        grads = [back.sum(axis=0), h.T @ p, out, p.sum(axis=0), out_base]
+        for value, grad, mem in zip(self.parts()[1:], grads, memory[1:], strict=True):
+            mem += grad * grad
+            value -= rate * grad / np.sqrt(mem)
+        for k in range(2 * SIDE):  # of the embeddings only the rows in use
+            order = np.argsort(around[k], kind="stable")
+            ids = around[k][order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            grad, own = np.add.reduceat(back[order], first, axis=0), ids[first]
+            mem = memory[0][k][own] + grad * grad
+            memory[0][k][own] = mem
+            self.near[k][own] -= rate * grad / np.sqrt(mem)
 
     def blank_memory(self) -> list[np.ndarray]:
         return [np.full(p.shape, 1e-6, dtype=np.float32) for p in self.parts()]
 
 
-def surroundings(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(words, 2 * SIDE): each word's neighbours, EDGE beyond a text's ends."""
+def softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def surroundings(ids: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
+    """(2 * SIDE, words): each word's neighbours, ``edge`` beyond a text's ends."""
     owner = np.repeat(np.arange(len(count)), count)
-    out = np.full((len(ids), 2 * SIDE), EDGE, dtype=np.int64)
+    out = np.full((2 * SIDE, len(ids)), edge, dtype=np.int64)
     for k in range(1, SIDE + 1):
         if len(ids) > k:
             same = owner[k:] == owner[:-k]
-            out[k:, SIDE - k][same] = ids[:-k][same]
-            out[:-k, SIDE + k - 1][same] = ids[k:][same]
+            out[SIDE - k, k:][same] = ids[:-k][same]
+            out[SIDE + k - 1, :-k][same] = ids[k:][same]
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", warm_rows: int = 300, warm_chars: int = 20_000, rate: float = 0.05) -> tuple[Vocabulary, Network]:
-    """Count all words, train on all documents. About ``warm_rows`` texts of at most ``warm_chars`` start the network off."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    text = F.col(f"`{text_col}`")
-    counts = shared(count_words(docs, text_col))
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    rest = counts.where(~F.col("word").isin(top)) if top else counts
-    bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
-    types = {r.b: r["n"] for r in rest.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocabulary, network = Vocabulary(top, types), Network()
-    share = min(1.0, warm_rows / max(1, docs.count()))
-    spread = F.pmod(F.xxhash64(F.lit(23), "t"), F.lit(1 << 40)) / float(1 << 40)
-    warm = docs.select(text.alias("t")).where(F.char_length("t").between(1, warm_chars) & (spread < share)).limit(4 * warm_rows).collect()
-    warm = sorted(warm, key=lambda r: r.t)[: 2 * warm_rows]
-    if not warm:
+def learn_words(ready: DataFrame) -> Vocabulary:
+    counts = shared(count_words(ready))
+    grade = F.floor(F.log2("n") * 16)  # counts in some hundred grades; the upper ones are known as far as there is room
+    room, least = KNOWN, None
+    for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if r.k > room:
+            break
+        room, least = room - r.k, r.grade
+    known = counts.where(grade >= least) if least is not None else counts.limit(0)
+    got = known.toArrow().sort_by("word")  # at most KNOWN rows
+    words = got["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    rest = F.shiftrightunsigned("word", 56).cast("int")
+    cell = F.pmod("word", F.lit(CELLS // RESTS)).cast("int")  # a power of two: the same for signed numbers
+    others = counts.where(grade < least) if least is not None else counts
+    summed = others.groupBy(rest.alias("rest"), cell.alias("cell")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toArrow()  # at most CELLS rows
+    cells, types = np.zeros((RESTS, CELLS // RESTS)), np.zeros((RESTS, CELLS // RESTS))
+    at = summed["rest"].to_numpy(), summed["cell"].to_numpy()
+    cells[at], types[at] = summed["n"].to_numpy(), summed["types"].to_numpy()
+    return Vocabulary(words[order], got["n"].to_numpy()[order].astype(np.float64), cells, types)
+
+
+def fit(ready: DataFrame, rate: float = 0.15, rounds: int = 2) -> tuple[Vocabulary, Network]:
+    """Count and train on all words of ``ready`` (see ``prepared``)."""
+    vocabulary = learn_words(ready)
+    network = Network(vocabulary)
+    total = int(vocabulary.count.sum())
+    if not total:
         return vocabulary, network
-    words, count = hashed([r.t for r in warm])
-    ids = vocabulary.ids(words)
-    network.base[:] = np.log(np.bincount(ids, minlength=OUTPUTS) + 1.0) - np.log(len(ids) + OUTPUTS)
-    network.train(surroundings(ids, count), ids, network.blank_memory(), rate)
-    sent = spark.sparkContext.broadcast((vocabulary, network.flat()))
-
-    def train(batches):
-        vocab, flat = sent.value
-        own, seen = Network().load(flat), 0
-        memory = [m + 1e-3 for m in own.blank_memory()]
+    context = ready.sparkSession.sparkContext
+    shards = -(-total // SHARD_WORDS)
+    vocab_sent = context.broadcast(vocabulary)
+
+    def as_outputs(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(lo, 256).to_pylist()
-                for a, b in slices(texts):
-                    w, n = hashed(texts[a:b])
-                    at = np.flatnonzero((w + np.arange(len(w), dtype=np.uint64)) % np.uint64(MASKED) == 0)
-                    if len(at):
-                        numbers = vocab.ids(w)
-                        own.train(surroundings(numbers, n)[at], numbers[at], memory, rate)
-                        seen += len(at)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 16], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["g", "seen", "flat"])
+                part = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0).slice(lo, 256)]
+                out, _ = vocab_sent.value.ids(np.concatenate(part))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+                mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in part], dtype=np.uint64)
+                blobs = [out[a:b].astype(np.uint16).tobytes() for a, b in itertools.pairwise(ends)]
+                cols = [mark % np.uint64(shards), mark // np.uint64(shards) % np.uint64(rounds), mark]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64), pa.int64()) for c in cols), pa.array(blobs, pa.binary())], names=["shard", "round", "mark", "outputs"])
+
+    dealt = shared(ready.where("n_words > 0").select("words").mapInArrow(lean(as_outputs), "shard long, round long, mark long, outputs binary"))
+    schema = "shard long, seen long, flat binary"
 
     def average(key, rows):
+        rows = rows.sort_by("shard")
         seen = rows["seen"].to_numpy()
-        total = sum(n * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for n, x in zip(seen, rows["flat"], strict=True))
-        return pa.table([pa.array([0], pa.int32()), pa.array([int(seen.sum())], pa.int64()), pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["g", "seen", "flat"])
+        flat = np.zeros(len(rows["flat"][0].as_buffer()) // 4)
+        for n, x in zip(seen, rows["flat"], strict=True):
+            flat += n * np.frombuffer(x.as_buffer(), np.float32)
+        return pa.table([pa.array([int(rows["shard"][0].as_py()) // FAN], pa.int64()), pa.array([int(seen.sum())], pa.int64()), pa.array([(flat / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["shard", "seen", "flat"])
+
+    for at in range(rounds):
+        flat_sent = context.broadcast(network.flat())
+
+        def train(key, rows, flat_sent=flat_sent):
+            own, edge = Network(vocab_sent.value).load(flat_sent.value), len(vocab_sent.value)
+            memory, seen = [m + 1e-4 for m in own.blank_memory()], 0
+            order = np.argsort(rows["mark"].to_numpy(), kind="stable")
+            blobs = rows["outputs"].combine_chunks() if rows["outputs"].num_chunks != 1 else rows["outputs"].chunk(0)
+            held, size = [], 0
+            for k, i in enumerate(order):
+                held.append(np.frombuffer(blobs[int(i)].as_buffer(), np.uint16))
+                size += len(held[-1])
+                if size >= 32 * STEP or k + 1 == len(order):
+                    ids = np.concatenate(held).astype(np.int64)
+                    around = surroundings(ids, np.array([len(x) for x in held]), edge)
+                    mixed = np.random.default_rng(k).permutation(len(ids))  # neighbours in a step are alike
+                    for lo in range(0, len(ids), STEP):
+                        pick = mixed[lo : lo + STEP]
+                        own.train(around[:, pick], ids[pick], memory, rate)
+                    seen += len(ids)
+                    held, size = [], 0
+            return pa.table([pa.array([int(key[0].as_py())], pa.int64()), pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["shard", "seen", "flat"])
+
+        copies = dealt.where(F.col("round") == at).select("shard", "mark", "outputs").groupBy("shard").applyInArrow(lean_group(train), schema)
+        left = shards
+        while left > 1:  # FAN copies meet in a task, again and again
+            copies = copies.groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(average, schema)
+            left = -(-left // FAN)
+        found = copies.collect()
+        if found:
+            network.load(np.frombuffer(found[0].flat, np.float32))
+        flat_sent.unpersist()
+    return vocabulary, network
+
+
+def lean_group(function):
+    """``lean`` for a function over groups."""
+
+    def run(key, rows):
+        return next(lean(lambda _: iter([function(key, rows)]))(None))
 
-    schema = "g int, seen long, flat binary"
-    copies = docs.select(text).mapInArrow(lean(train), schema)
-    found = copies.groupBy("g").applyInArrow(average, schema).groupBy("g").applyInArrow(average, schema).collect()
-    return vocabulary, network.load(np.frombuffer(found[0].flat, np.float32)) if found else network
+    return run
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(ready: DataFrame, vocabulary: Vocabulary, network: Network, id_name: str = "doc_id") -> DataFrame:
     """Per document: its id, n_words, log_prob (the sum) and mean_log_prob (null without words)."""
-    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    schema = T.StructType([source.schema[0], T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
+    schema = T.StructType([T.StructField(id_name, ready.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
+    sent = ready.sparkSession.sparkContext.broadcast((vocabulary, network))
 
     def run(batches):
         vocab, net = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = part.column(1).to_pylist()
-                for a, b in slices(texts, 1 << 18):
-                    w, n = hashed(texts[a:b])
-                    ids = vocab.ids(w)
-                    around = surroundings(ids, n)
-                    each = np.concatenate([net.log_probs(around[i : i + 8192], ids[i : i + 8192]) for i in range(0, len(ids), 8192)] or [np.zeros(0)])
-                    each = each.astype(np.float64) + vocab.within[ids]
-                    ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])]
-                    total = np.diff(ends)
-                    total[n == 0] = 0.0
-                    mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=schema.names)
-
-    return source.mapInArrow(lean(run), schema)
+                n = part.column(1).to_numpy()
+                begin, total = 0, np.zeros(len(n))
+                while begin < len(n):  # some documents at once
+                    end = begin + max(1, int(np.searchsorted(np.cumsum(n[begin:]), 1 << 16)))
+                    words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2).slice(begin, end - begin)])
+                    ids, each = vocab.ids(words)
+                    own = n[begin:end]
+                    around = surroundings(ids, own, len(vocab))
+                    for i in range(0, len(ids), 8192):
+                        each[i : i + 8192] += net.log_probs(around[:, i : i + 8192], ids[i : i + 8192])
+                    ends = np.concatenate([[0], np.cumsum(own)])
+                    total[begin:end] = [each[a:b].sum() for a, b in itertools.pairwise(ends)]  # each text's own sum, whatever stands beside it
+                    begin = end
+                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=schema.names)
+
+    return ready.select("id", "n_words", "words").mapInArrow(lean(run), schema)

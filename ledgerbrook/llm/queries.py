@@ -72,8 +72,8 @@ def op7_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.fit(docs))
+    ready = masked_lm.prepared(table(spark, sf_dir, "documents"))
+    return masked_lm.score(ready, *masked_lm.fit(ready))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,11 @@ def models(spark):
     return langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id")), toxicity.fit(docs, labels)
 
 
+def scored(docs):
+    ready = masked_lm.prepared(docs)
+    return masked_lm.score(ready, *masked_lm.fit(ready))
+
+
 OPERATORS = {
     "toxicity": lambda d, m: toxicity.score(d, m[1]),
     "packing": lambda d, m: packing.pack(d, vocabulary()),
@@ -28,7 +33,7 @@ OPERATORS = {
     "lines": lambda d, m: line_dedup.dedup_lines(d),
     "language": lambda d, m: langid.identify(d, m[0]),
     "jaccard": lambda d, m: jaccard_join.similar_documents(d),
-    "model": lambda d, m: masked_lm.score(d, *masked_lm.fit(d)),
+    "model": lambda d, m: scored(d),
 }
 
 
