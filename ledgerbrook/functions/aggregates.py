@@ -68,14 +68,25 @@ def parse_aggregate(text: str) -> tuple[str, str]:
     return m[1].upper(), m[2]
 
 
-def aggregate(df: DataFrame, made: Aggregate, column: Column, out: str, by: list[str] | None = None, spread: int = 64) -> DataFrame:
-    """``df`` aggregated, by columns or as a whole. Folds run in two steps, so that no task folds all rows of a key."""
+#: Values that a fold gathers in one list, at most, while they are in one partition.
+FOLDED = 8192
+
+
+def aggregate(df: DataFrame, made: Aggregate, column: Column, out: str, by: list[str] | None = None, spread: int = 1024) -> DataFrame:
+    """``df`` aggregated, by columns or as a whole.
+
+    A fold goes up in three steps: runs of ``FOLDED`` rows of a partition, whose lists Spark makes before it shuffles; then
+    ``spread`` parts of those runs' results; then the whole. ``join`` must not care for the order of its arguments.
+    """
     by = by or []
     if made.whole is not None:
         value = made.whole(column).alias(out)
         return df.groupBy(*by).agg(value) if by else df.agg(value)
-    part = F.pmod(F.xxhash64(column, F.monotonically_increasing_id()), F.lit(spread))
-    rows = df.select(*by, part.alias("fold_part"), column.alias("fold_value"))
-    once = rows.groupBy(*by, "fold_part").agg(F.aggregate(F.collect_list("fold_value"), made.zero(), made.step).alias("fold_value"))
-    twice = F.aggregate(F.collect_list("fold_value"), made.zero(), made.join).alias(out)
-    return once.groupBy(*by).agg(twice) if by else once.agg(twice)
+    at = F.monotonically_increasing_id()  # the partition's number, then the row's place in it
+    run = F.floor(at / FOLDED).alias("fold_run")
+    rows = df.select(*by, run, column.alias("fold_value"))
+    once = rows.groupBy(*by, "fold_run").agg(F.aggregate(F.collect_list("fold_value"), made.zero(), made.step).alias("fold_value"))
+    parted = once.groupBy(*by, F.pmod(F.xxhash64("fold_run"), F.lit(spread)).alias("fold_part"))
+    twice = parted.agg(F.aggregate(F.collect_list("fold_value"), made.zero(), made.join).alias("fold_value"))
+    whole = F.aggregate(F.collect_list("fold_value"), made.zero(), made.join).alias(out)
+    return twice.groupBy(*by).agg(whole) if by else twice.agg(whole)

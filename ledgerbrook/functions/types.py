@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -76,6 +77,14 @@ class LogType:
     def lit(self, value: Any) -> Column:
         return F.lit(Decimal(value) if isinstance(self.spark, T.DecimalType) else value).cast(self.spark)
 
+    def pack(self, value: Any) -> bytes:
+        """A value as the bytes of a record."""
+        if isinstance(value, bool) or self.integral or isinstance(self.spark, T.DecimalType):
+            return int(value).to_bytes(self.width, "little", signed=int(value) < 0)
+        if isinstance(value, float):
+            return struct.pack("<f" if self.width == 4 else "<d", value)
+        return str(value).encode("utf-8")[: self.width].ljust(self.width, b"\0")
+
     def spelled(self) -> str:
         return f"{self.name}({self.width})" if self.name == "STRING" else self.name
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerbrook.functions.aggregates import FOLDED
+
 
 class LazyStream:
     """``order``: columns that put the rows in sequence, for take, head and tail."""
@@ -54,9 +56,25 @@ class LazyStream:
         return LazyStream(self._ordered().limit(n), self.order)
 
     def fold_left(self, start: Column, step: Callable[[Column, Column], Column], column: str) -> Column | object:
-        """Fold values in sequence; an ordered fold gathers its values, so it is for bounded streams."""
-        items = F.transform(F.array_sort(F.collect_list(F.struct(*self.order, F.col(column).alias("fold_value")))), lambda r: r["fold_value"])
-        return self.df.agg(F.aggregate(items, start, step).alias("value")).first()[0]
+        """Fold values in sequence.
+
+        An ordered fold can't be split, so it goes from partition to partition of the sorted rows: each step folds one run
+        of at most ``FOLDED`` rows, and only a run's values are in memory.
+        """
+        spark, kind = self.df.sparkSession, self.df.select(column).schema[0].dataType
+        state = spark.range(1).select(start.alias("value")).first()[0]
+        out = spark.range(1).select(start.alias("value")).schema[0].dataType
+        one = T.StructType([T.StructField("state", out), T.StructField("items", T.ArrayType(kind))])
+
+        def folded(items: list):
+            return spark.createDataFrame([(state, items)], one).select(F.aggregate("items", F.col("state"), step).alias("value")).first()[0]
+
+        held: list = []
+        for row in self._ordered().select(column).toLocalIterator():
+            held.append(row[0])
+            if len(held) == FOLDED:
+                state, held = folded(held), []
+        return folded(held) if held else state
 
     def for_each(self, function: Callable[[Row], None]) -> None:
         for row in self._ordered().toLocalIterator():

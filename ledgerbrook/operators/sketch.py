@@ -11,7 +11,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def _cell(key: Column, row: Column, width: int) -> Column:
@@ -22,26 +21,37 @@ def _sign(key: Column, row: Column) -> Column:
     return F.when(F.pmod(F.xxhash64(row + 1000, key), F.lit(2)) == 0, 1).otherwise(-1)
 
 
+def _rows(depth: int) -> Column:
+    return F.explode(F.array(*[F.lit(i) for i in range(depth)]))
+
+
 class CountMin:
-    """Over-estimates frequencies by at most ``eps`` of the total, with probability 1 - ``gamma``."""
+    """Over-estimates frequencies by at most ``eps`` of the total, with probability 1 - ``gamma``.
+
+    Rows go straight to cells, so a task holds ``depth * width`` counters, whatever the number of keys, and no key is
+    shuffled.
+    """
 
     def __init__(self, eps: float = 0.01, gamma: float = 0.05):
         self.width, self.depth = math.ceil(math.e / eps), math.ceil(math.log(1 / gamma))
 
     def build(self, df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
-        """(row, cell, n); counts per key are made first, so a frequent key costs one row a task."""
-        counts = df.groupBy(F.col(key).alias("key")).agg((F.sum(weight) if weight is not None else F.count(F.lit(1))).alias("n"))
-        rows = counts.select("key", "n", F.explode(F.array(*[F.lit(i) for i in range(self.depth)])).alias("row"))
-        return rows.groupBy("row", _cell(F.col("key"), F.col("row"), self.width).alias("cell")).agg(F.sum("n").alias("n"))
+        """(row, cell, n)"""
+        each = df.select(F.col(key).alias("key"), (weight if weight is not None else F.lit(1).cast("long")).alias("n"), _rows(self.depth).alias("row"))
+        return each.groupBy("row", _cell(F.col("key"), F.col("row"), self.width).alias("cell")).agg(F.sum("n").alias("n"))
 
     def estimate(self, sketch: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         """(key, estimate) for the distinct keys asked about."""
-        asked = keys.select(F.col(key).alias("key")).distinct().select("key", F.explode(F.array(*[F.lit(i) for i in range(self.depth)])).alias("row"))
+        asked = keys.select(F.col(key).alias("key")).distinct().select("key", _rows(self.depth).alias("row"))
         asked = asked.withColumn("cell", _cell(F.col("key"), F.col("row"), self.width))
         # the sketch has depth * width counters at most
         found = asked.join(F.broadcast(sketch), ["row", "cell"], "left").groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
         return found.withColumnRenamed("key", key)
 
+    def update_and_estimate(self, sketch: DataFrame, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The sketch with the rows of ``df`` added, and the estimates of their keys from before."""
+        return self.merge(sketch, self.build(df, key)), self.estimate(sketch, df, key)
+
     @staticmethod
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.unionByName(b).groupBy("row", "cell").agg(F.sum("n").alias("n"))
@@ -53,18 +63,21 @@ class CountSketch:
     def __init__(self, eps: float = 0.05, gamma: float = 0.05):
         self.width, self.depth = math.ceil(math.e / eps**2), math.ceil(math.log(1 / gamma))
 
-    def build(self, df: DataFrame, key: str) -> DataFrame:
-        counts = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        rows = counts.select("key", "n", F.explode(F.array(*[F.lit(i) for i in range(self.depth)])).alias("row"))
+    def build(self, df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+        """(row, cell, n), for each value of ``by``."""
+        by = by or []
+        each = df.select(*by, F.col(key).alias("key"), _rows(self.depth).alias("row"))
         k, r = F.col("key"), F.col("row")
-        return rows.groupBy("row", _cell(k, r, self.width).alias("cell")).agg(F.sum(F.col("n") * _sign(k, r)).alias("n"))
+        return each.groupBy(*by, "row", _cell(k, r, self.width).alias("cell")).agg(F.sum(_sign(k, r).cast("long")).alias("n"))
 
-    def estimate(self, sketch: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-        asked = keys.select(F.col(key).alias("key")).distinct().select("key", F.explode(F.array(*[F.lit(i) for i in range(self.depth)])).alias("row"))
+    def estimate(self, sketch: DataFrame, keys: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+        by = by or []
+        asked = keys.select(*by, F.col(key).alias("key")).distinct().select(*by, "key", _rows(self.depth).alias("row"))
         asked = asked.withColumn("cell", _cell(F.col("key"), F.col("row"), self.width))
-        joined = asked.join(F.broadcast(sketch), ["row", "cell"], "left")
+        # depth * width counters at most for each value of ``by``
+        joined = asked.join(F.broadcast(sketch), [*by, "row", "cell"], "left")
         values = F.sort_array(F.collect_list(F.coalesce("n", F.lit(0)) * _sign(F.col("key"), F.col("row"))))
-        found = joined.groupBy("key").agg(values.alias("all")).select("key", F.col("all")[(self.depth - 1) // 2].alias("estimate"))
+        found = joined.groupBy(*by, "key").agg(values.alias("all")).select(*by, "key", F.col("all")[(self.depth - 1) // 2].alias("estimate"))
         return found.withColumnRenamed("key", key)
 
     merge = staticmethod(CountMin.merge)
@@ -97,36 +110,53 @@ def g_sums(df: DataFrame, key: str, names: list[str] | None = None) -> DataFrame
 
 
 class UniversalSketch:
-    """Layered substreams: a key is in layer j if its hash has j ones in front. Each layer keeps its ``k`` heaviest keys.
+    """Layered substreams: a key is in layer j if its hash has j ones in front.
 
-    From the deepest layer up, an estimate of the sum over a layer is twice that of the next layer, corrected by the
-    layer's own heavy keys.
+    Each layer has a count-sketch and at most ``k`` heavy keys, which Spark's bounded summary of frequent items proposes and
+    the count-sketch weighs; so no step holds or shuffles all keys. From the deepest layer up, an estimate of the sum
+    over a layer is twice that of the next layer, corrected by the layer's own heavy keys.
     """
 
-    def __init__(self, k: int = 64, layers: int = 32):
-        self.k, self.layers = k, layers
+    def __init__(self, k: int = 64, layers: int = 32, eps: float = 0.02, gamma: float = 0.05):
+        self.k, self.layers, self.counts = k, layers, CountSketch(eps, gamma)
+
+    def depth(self, key: Column) -> Column:
+        """The deepest layer of a key."""
+        ones = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64(F.lit(77), key)), 64, "0"), "^(1*)", 1))
+        return F.least(F.lit(self.layers - 1), ones)
+
+    def layered(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, depth, layer): each row once for every layer that its key is in, two on average."""
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), self.depth(F.col(key)).alias("depth"))
+        return rows.select("key", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("layer"))
 
     def build(self, df: DataFrame, key: str) -> DataFrame:
         """(layer, key, f, next): the heavy keys of each layer, and whether a key is in the next layer too."""
-        counts = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("f"))
-        h = F.xxhash64(F.lit(77), "key")
-        depth = F.least(F.lit(self.layers - 1), F.length(F.regexp_extract(F.lpad(F.bin(h), 64, "0"), "^(1*)", 1)))
-        spread = counts.withColumn("depth", depth).select("key", "f", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("layer"))
-        w = Window.partitionBy("layer").orderBy(F.desc("f"), "key")  # Spark keeps k rows a task before it shuffles
-        kept = spread.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
-        return kept.select("layer", "key", "f", (F.col("depth") > F.col("layer")).alias("next"))
+        rows = self.layered(df, key)
+        counters = self.counts.build(rows, "key", ["layer"])
+        heavy = rows.groupBy("layer").agg(F.expr(f"approx_top_k(key, {self.k}, {max(1000, 8 * self.k)})").alias("top"))
+        heavy = heavy.select("layer", F.explode("top.item").alias("key"))
+        found = self.counts.estimate(counters, heavy, "key", ["layer"]).where("estimate > 0")
+        return found.select("layer", "key", F.col("estimate").alias("f"), (self.depth(F.col("key")) > F.col("layer")).alias("next"))
+
+    def heavy_hitters(self, sketch: DataFrame, k: int, layers: int = 1) -> DataFrame:
+        """(key, freq): the ``k`` heaviest keys of the first ``layers`` layers, by their estimates."""
+        return sketch.where(F.col("layer") < layers).groupBy("key").agg(F.max("f").alias("freq")).orderBy(F.desc("freq"), "key").limit(k)
 
     def evaluate(self, sketch: DataFrame, name: str) -> float:
         """The estimated sum of a function over all keys' frequencies; reads ``k`` rows a layer at most."""
-        g = {"l2": lambda f: f * f, "entropy": lambda f: f * math.log(f), "cardinality": lambda f: 1.0, "total": float}[name]
-        by: dict[int, list] = {}
-        for r in sketch.collect():
-            by.setdefault(r.layer, []).append(r)
-        last = max(by, default=-1)
-        total = sum(g(r.f) for r in by.get(last, []))
-        for layer in range(last - 1, -1, -1):
-            total = 2 * total + sum((1 - 2 * r.next) * g(r.f) for r in by.get(layer, []))
-        return float(total)
+        return self.evaluate_all(sketch, [name])[name]
+
+    def evaluate_all(self, sketch: DataFrame, names: list[str]) -> dict[str, float]:
+        sums = [F.sum(G_FUNCTIONS[n](F.col("f")) * (1 - 2 * F.col("next").cast("int"))).alias(n) for n in names]
+        layers = {r.layer: r for r in sketch.groupBy("layer").agg(*sums).collect()}  # a row per layer; the deepest has no next
+        out = {}
+        for n in names:
+            total = 0.0
+            for layer in range(max(layers, default=-1), -1, -1):
+                total = 2 * total + (float(layers[layer][n]) if layer in layers else 0.0)
+            out[n] = total
+        return out
 
 
 def index_of(values: list, kind: T.DataType, spark) -> DataFrame:

@@ -33,7 +33,7 @@ class TimeSeries:
 
     def compute_diff(self, begin: int, end: int) -> DataFrame:
         """Rows appended from version ``begin`` up to version ``end``."""
-        return self.log.rows.where((F.col(OFFSET) >= begin) & (F.col(OFFSET) < end))
+        return self.log.placed(self.log.rows, begin, end)
 
     def get_version(self) -> int:
         return self.log.version()

@@ -5,17 +5,23 @@ The events table is read as a log whose record k stands at ``event_id * RECORD``
 
 from __future__ import annotations
 
+import struct
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerbrook.errors import InvalidOperation
 from ledgerbrook.functions import arith
-from ledgerbrook.functions.types import REGISTRY
+from ledgerbrook.functions.aggregates import AGGREGATES, Aggregate
+from ledgerbrook.functions.types import REGISTRY, TypeRegistry
 from ledgerbrook.operators import sketch
 from ledgerbrook.operators.lazy_stream import LazyStream
 from ledgerbrook.operators.timeseries import TimeSeries
-from ledgerbrook.sources.multilog import Multilog
+from ledgerbrook.sources.multilog import Multilog, nanoseconds
+from ledgerbrook.sources.store import Store, StoredLog
 from ledgerbrook.streaming import continuous
 
 RECORD = 48
@@ -40,7 +46,7 @@ def query(sql: str | None):
 
 def events(spark: SparkSession, sf_dir: str) -> Multilog:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return Multilog.from_dataframe(rows, "ts", F.col("event_id") * RECORD, RECORD, name="events", time_resolution_ns=HOUR)
+    return Multilog.from_dataframe(rows, "ts", "event_id", RECORD, name="events", time_resolution_ns=HOUR)
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> Multilog:
@@ -223,6 +229,22 @@ def alert_texts(spark, d) -> DataFrame:
     return log.alert_texts(log.get_alerts(trigger="trig")).select("time_bucket", "alert")
 
 
+_PERIOD, _WINDOW = 7_200_000, 300_000
+
+
+@query(f"""SELECT epoch_ns(ts) // {HOUR} AS time_bucket, 'slow' AS trigger_name, 'max_v > double(100.000000)' AS trigger_expr, max(value) AS "value" FROM events
+WHERE event_type = 'error' AND epoch_ns(ts) // 1000000 + user_id * 60000 <= (((epoch_ns(ts) // {HOUR} + 1) * 3600000 - 1 + {_PERIOD} - 1) // {_PERIOD}) * {_PERIOD} + {_WINDOW} GROUP BY 1, 2 HAVING max(value) > 100""")
+def alerts_of_a_period(spark, d) -> DataFrame:
+    """Buckets checked every two hours and five minutes on; rows that arrive later (by a minute per user number) raise none."""
+    log = events(spark, d)
+    log.monitor_window_ms = _WINDOW
+    log.add_filter("errors", ERROR)
+    log.add_aggregate("max_v", "errors", "MAX(value)")
+    log.install_trigger("slow", "max_v > 100", periodicity_ms=_PERIOD)
+    whole_ms = F.call_function("div", log.time_ns(), F.lit(1_000_000).cast("long")) * 1_000_000
+    return log.get_alerts(arrival=whole_ms + F.col("user_id") * 60_000_000_000)
+
+
 # --- places, versions, time -------------------------------------------------------------------------------------------
 
 
@@ -264,7 +286,7 @@ def nearest_before(spark, d) -> DataFrame:
 @query("SELECT count(*) AS n, 48 AS record_size FROM events")
 def num_records(spark, d) -> DataFrame:
     log = events(spark, d)
-    return log.rows.agg(F.count(F.lit(1)).alias("n"), F.lit(log.record_size).alias("record_size"))
+    return spark.createDataFrame([(log.num_records(), log.record_size)], "n long, record_size int")
 
 
 # --- indexes ----------------------------------------------------------------------------------------------------------
@@ -289,8 +311,7 @@ def index_histogram_whole(spark, d) -> DataFrame:
 def index_scan_text(spark, d) -> DataFrame:
     log = events(spark, d)
     log.add_index("event_type")
-    key = log.index_bucket("event_type")
-    return log.rows.where(key.between("click", "error")).select("event_id")
+    return log.index_scan("event_type", "click", "error").select("event_id")
 
 
 # --- frequencies ------------------------------------------------------------------------------------------------------
@@ -322,16 +343,43 @@ def count_sketch_wide(spark, d) -> DataFrame:
     return made.estimate(made.build(rows, "user_id"), rows, "user_id")
 
 
-@query(None)
+@query("SELECT count(DISTINCT user_id) AS n_keys, 0::bigint AS n_under, 0::bigint AS n_beyond, count(*) AS total FROM events")
 def count_min_estimates(spark, d) -> DataFrame:
-    made = sketch.CountMin(eps=0.02, gamma=0.05)
+    """A narrow sketch's estimates: none is under the true frequency, none over it by more than eps of the total."""
+    made = sketch.CountMin(eps=0.02, gamma=0.001)
     rows = events(spark, d).rows
-    return made.estimate(made.build(rows, "user_id"), rows, "user_id")
+    exact = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("f"))
+    both = made.estimate(made.build(rows, "user_id"), rows, "user_id").join(exact, "user_id").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+    off = F.col("estimate") - F.col("f")
+    count = lambda c: F.sum(c.cast("long"))
+    return both.agg(F.count(F.lit(1)).alias("n_keys"), count(off < 0).alias("n_under"), count(off > 0.02 * F.col("total")).alias("n_beyond"), F.max("total").alias("total"))
+
 
+@query("SELECT user_id, count(*) FILTER (WHERE event_id < 5000) AS before, count(*) AS after FROM events GROUP BY 1 HAVING max(event_id) >= 5000")
+def count_min_update(spark, d) -> DataFrame:
+    """Estimates before and after the second part of the log is added; so wide a sketch that they are exact here."""
+    made = sketch.CountMin(eps=0.00005, gamma=0.01)
+    rows = events(spark, d).rows
+    first, second = rows.where("event_id < 5000"), rows.where("event_id >= 5000")
+    merged, old = made.update_and_estimate(made.build(first, "user_id"), second, "user_id")
+    return old.withColumnRenamed("estimate", "before").join(made.estimate(merged, second, "user_id").withColumnRenamed("estimate", "after"), "user_id")
 
-@query(None)
+
+_UNIVERSAL = {"k": 4000, "eps": 0.01, "gamma": 0.01}
+
+
+@query("SELECT sum(f * f)::double AS l2, count(*)::double AS cardinality, round(sum(f * ln(f)), 4) AS entropy, sum(f)::double AS total FROM (SELECT user_id, count(*) AS f FROM events GROUP BY 1)")
 def universal_sketch(spark, d) -> DataFrame:
-    return sketch.UniversalSketch(k=64).build(events(spark, d).rows, "user_id")
+    """With room for every key of these tables the sums are exact."""
+    made = sketch.UniversalSketch(**_UNIVERSAL)
+    found = made.evaluate_all(made.build(events(spark, d).rows, "user_id"), ["l2", "cardinality", "entropy", "total"])
+    return spark.createDataFrame([(found["l2"], found["cardinality"], round(found["entropy"], 4), found["total"])], "l2 double, cardinality double, entropy double, total double")
+
+
+@query("SELECT user_id, count(*) AS freq FROM events GROUP BY 1 ORDER BY freq DESC, user_id LIMIT 10")
+def sketch_heavy_hitters(spark, d) -> DataFrame:
+    made = sketch.UniversalSketch(**_UNIVERSAL)
+    return made.heavy_hitters(made.build(events(spark, d).rows, "user_id"), 10).withColumnRenamed("key", "user_id")
 
 
 # --- numbers ----------------------------------------------------------------------------------------------------------
@@ -356,6 +404,215 @@ def arithmetic_ops(spark, d) -> DataFrame:
     )
 
 
+def _typed(spark, d) -> DataFrame:
+    """Events with columns of other types: FLOAT, ULONG beyond 2^63, USHORT as an int."""
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    big = F.lit(1 << 62).cast("decimal(20,0)") * 2 + F.col("event_id").cast("decimal(20,0)") * F.lit(100_003)
+    return rows.select("event_id", "ts", F.col("value").cast("float").alias("f"), big.cast("decimal(20,0)").alias("u"), (F.col("user_id") % 60).cast("int").alias("k"))
+
+
+@query("SELECT event_id FROM events WHERE value::FLOAT >= 0.10000000001::FLOAT AND value::FLOAT <= 50.1::FLOAT")
+def typed_float_filter(spark, d) -> DataFrame:
+    return Multilog.from_dataframe(_typed(spark, d), "ts").execute_filter("f >= 0.10000000001 && f <= 50.1").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE value::FLOAT = 10.51::FLOAT OR value::FLOAT = 12.25::FLOAT OR value::FLOAT = 0.01::FLOAT")
+def typed_float_equal(spark, d) -> DataFrame:
+    """Bounds that differ as doubles and are one float."""
+    log = Multilog.from_dataframe(_typed(spark, d), "ts")
+    return log.execute_filter("f >= 10.5100000000001 && f <= 10.51 || f == 12.25 || f > 0.009 && f == 0.01").select("event_id")
+
+
+_U = "(9223372036854775808::HUGEINT + event_id::HUGEINT * 100003)"
+
+
+@query(f"SELECT event_id FROM events WHERE {_U} > 9223372036954776808 AND {_U} <= 9223372037354790808")
+def typed_ulong_filter(spark, d) -> DataFrame:
+    return Multilog.from_dataframe(_typed(spark, d), "ts").execute_filter("u > 9223372036954776808 && u <= 9223372037354790808").select("event_id")
+
+
+@query(f"""SELECT event_id, ({_U} & 65535)::VARCHAR AS a, ({_U} | 12345)::VARCHAR AS o, xor({_U}, 987654321::HUGEINT)::VARCHAR AS x, (18446744073709551615 - {_U})::VARCHAR AS n,
+       (({_U} - 9223372036854775808) * 8 % 18446744073709551616)::VARCHAR AS l, ({_U} // 8)::VARCHAR AS r, ({_U} + 77)::VARCHAR AS p, ({_U} - 9223372036854775000)::VARCHAR AS m,
+       ({_U} // 3)::VARCHAR AS q, ({_U} % 1000)::VARCHAR AS w, ({_U} // 1000)::VARCHAR AS k FROM events""")
+def typed_ulong_ops(spark, d) -> DataFrame:
+    u, ulong = F.col("u"), REGISTRY.get("ULONG")
+    at = lambda op, n: arith.binary(op, u, ulong, ulong.lit(n), ulong)[0].cast("string")
+    moved = lambda op, n: arith.binary(op, u, ulong, F.lit(n), REGISTRY.get("INT"))[0].cast("string")
+    return _typed(spark, d).select(
+        "event_id", at("&", 65535).alias("a"), at("|", 12345).alias("o"), at("^", 987654321).alias("x"), arith.unary("~", u, ulong).cast("string").alias("n"), moved("<<", 3).alias("l"), moved(">>", 3).alias("r"),
+        at("+", 77).alias("p"), at("-", 9223372036854775000).alias("m"), at("/", 3).alias("q"), at("%", 1000).alias("w"), arith.bucket(u, ulong, 1000).cast("string").alias("k"),
+    )
+
+
+@query("SELECT event_id, trunc(value)::BIGINT + user_id AS p, value::FLOAT::DOUBLE AS f, (value > 100)::INT + 1 AS b, trunc(value)::bigint AS i FROM events WHERE value < 489")
+def promotion_and_casts(spark, d) -> DataFrame:
+    """Mixed operands take the type of greater number; BOOL counts as 0 or 1."""
+    rows = spark.read.parquet(f"{d}/events.parquet").where("value < 489")
+    t, v = REGISTRY.get, F.col("value")
+    whole = arith.binary("+", v.cast("int"), t("INT"), F.col("user_id"), t("LONG"))
+    assert whole[1].name == "LONG"
+    return rows.select(
+        "event_id", whole[0].alias("p"), arith.cast(arith.cast(v, t("DOUBLE"), t("FLOAT")), t("FLOAT"), t("DOUBLE")).alias("f"),
+        arith.binary("+", v > 100, t("BOOL"), F.lit(1), t("INT"))[0].alias("b"), arith.cast(v, t("DOUBLE"), t("LONG")).alias("i"),
+    )
+
+
+# --- orders, user types and aggregates ----------------------------------------------------------------------------------
+
+
+def _numbered(spark, ordered: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of an order, with their places in it."""
+    taken = LazyStream(ordered).take(n).df.select("event_id").collect()  # n rows
+    return spark.createDataFrame([(k, r.event_id) for k, r in enumerate(taken)], "place int, event_id long")
+
+
+@query("SELECT (row_number() OVER (ORDER BY event_id) - 1)::int AS place, event_id FROM events QUALIFY place < 200")
+def order_append(spark, d) -> DataFrame:
+    return _numbered(spark, events(spark, d).scan(), 200)
+
+
+@query("SELECT (row_number() OVER (ORDER BY trunc(value / 10)::bigint, event_id) - 1)::int AS place, event_id FROM events WHERE trunc(value / 10)::bigint BETWEEN 2 AND 9 QUALIFY place < 200")
+def order_index(spark, d) -> DataFrame:
+    return _numbered(spark, events(spark, d).index_scan("value", 2, 9, 10.0), 200)
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY epoch_ns(ts) // {HOUR}, event_id) - 1)::int AS place, event_id FROM events WHERE event_type = 'error' QUALIFY place < 200")
+def order_filter(spark, d) -> DataFrame:
+    log = events(spark, d)
+    log.add_filter("errors", ERROR)
+    return _numbered(spark, log.query_filter("errors").orderBy(log.time_bucket(), "log_offset"), 200)
+
+
+def _with_user_aggregates() -> None:
+    known = {"SPREAD", "SQUARES"} & set(AGGREGATES._known)
+    double = REGISTRY.get("DOUBLE")
+    if "SPREAD" not in known:
+        AGGREGATES.register(Aggregate("SPREAD", double, whole=lambda c: F.max(c) - F.min(c)))
+    if "SQUARES" not in known:
+        AGGREGATES.register(Aggregate("SQUARES", double, zero=lambda: F.lit(0.0), step=lambda a, v: a + v * v, join=lambda a, b: a + b))
+
+
+@query(f"SELECT epoch_ns(ts) // {HOUR} AS time_bucket, round(max(value) - min(value), 6) AS spread FROM events WHERE event_type = 'error' GROUP BY 1")
+def user_aggregate(spark, d) -> DataFrame:
+    _with_user_aggregates()
+    log = events(spark, d)
+    log.add_filter("errors", ERROR)
+    log.add_aggregate("spread", "errors", "spread(value)")
+    return log.aggregate_buckets("spread", out="spread").withColumn("spread", F.round("spread", 6))
+
+
+@query(f"SELECT epoch_ns(ts) // {HOUR} AS time_bucket, round(sum(value * value), 4) AS squares FROM events GROUP BY 1")
+def user_fold(spark, d) -> DataFrame:
+    _with_user_aggregates()
+    log = events(spark, d)
+    log.add_filter("all", "")
+    log.add_aggregate("squares", "all", "SQUARES(value)")
+    return log.aggregate_buckets("squares", out="squares").withColumn("squares", F.round("squares", 4))
+
+
+@query("SELECT sum(event_id * (event_id % 7))::bigint AS folded FROM events")
+def stream_fold(spark, d) -> DataFrame:
+    total = LazyStream(events(spark, d).rows.select("event_id"), ["event_id"]).fold_left(F.lit(0).cast("long"), lambda a, v: a + v * (v % 7), "event_id")
+    return spark.createDataFrame([(total,)], "folded long")
+
+
+# --- stored logs: a log is built from events and read back ----------------------------------------------------------------
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share; on one machine a temporary one serves."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise InvalidOperation("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/ledgerbrook-{uuid.uuid4().hex}"
+
+
+def _stored(spark, d, batches: int = 2, schema: str = "{ event_id: LONG, user_id: LONG, event_type: STRING(16), value: DOUBLE }", **options) -> StoredLog:
+    store = Store(spark, _shared_folder(spark))
+    log = store.create("events", schema, time_resolution_ns=HOUR, **options)
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    rows = rows.withColumn("TIMESTAMP", nanoseconds(F.col("ts"), rows.schema["ts"].dataType.typeName()))
+    for k in range(batches):
+        log.append(rows.where(F.col("event_id") % batches == k))
+    return log
+
+
+@query("SELECT event_id, user_id, event_type, value, epoch_ns(ts) AS time_ns FROM events")
+def store_round_trip(spark, d) -> DataFrame:
+    log = _stored(spark, d)
+    again = Store(spark, log._store.path).load("events")
+    return again.rows.select("event_id", "user_id", "event_type", "value", F.col("TIMESTAMP").alias("time_ns"))
+
+
+@query("SELECT count(*) AS n, count(*) AS places, 0::bigint AS least, (count(*) - 1)::bigint * 48 AS greatest, sum((event_id % 2 = 0)::int)::bigint AS in_first FROM events")
+def store_places(spark, d) -> DataFrame:
+    """Places are dense, and the first batch stands before the second."""
+    log = _stored(spark, d)
+    n = log.num_records()
+    first = (n + 1) // 2 * log.record_size
+    even = F.sum(((F.col("EVENT_ID") % 2 == 0) & (F.col("log_offset") < first)).cast("long"))
+    return log.rows.agg(F.lit(n).cast("long").alias("n"), F.count_distinct("log_offset").alias("places"), F.min("log_offset").alias("least"), F.max("log_offset").alias("greatest"), even.alias("in_first"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 0 AND value > 50")
+def store_snapshot(spark, d) -> DataFrame:
+    """The version after the first batch sees that batch only."""
+    log = _stored(spark, d)
+    version = (log.num_records() + 1) // 2 * log.record_size
+    return log.execute_filter("value > 50", version).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND event_id % 2 = 1")
+def store_filter_of_later_rows(spark, d) -> DataFrame:
+    """A filter counts what is appended after it was added."""
+    store = Store(spark, _shared_folder(spark))
+    log = store.create("events", "{ event_id: LONG, event_type: STRING(16) }", time_resolution_ns=HOUR)
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    rows = rows.withColumn("TIMESTAMP", nanoseconds(F.col("ts"), rows.schema["ts"].dataType.typeName()))
+    log.append(rows.where("event_id % 2 = 0"))
+    log.add_filter("errors", ERROR)
+    log.append(rows.where("event_id % 2 = 1"))
+    return store.load("events").query_filter("errors").select("event_id")
+
+
+@query("SELECT event_id, value FROM events")
+def store_archived(spark, d) -> DataFrame:
+    """Archived by itself after each batch and up to a place by hand: all rows are there as before."""
+    log = _stored(spark, d, batches=3, archive_every=48 * 1000)
+    log.archive(log.tail // 2, "LZ4")
+    log.vacuum()
+    return Store(spark, log._store.path).load("events").rows.select("event_id", "value")
+
+
+@query("SELECT event_id FROM events WHERE value > 100 AND user_id < 20")
+def store_user_type(spark, d) -> DataFrame:
+    """A user's type whose literals are spelt in hundredths."""
+    registry = TypeRegistry()
+    registry.register("CENTS", 8, T.LongType(), lambda text: round(float(text) * 100), lambda c: F.format_string("%.2f", c / 100))
+    log = Store(spark, _shared_folder(spark), registry).create("events", "{ event_id: LONG, user_id: LONG, paid: CENTS }", time_resolution_ns=HOUR)
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    rows = rows.withColumn("TIMESTAMP", nanoseconds(F.col("ts"), rows.schema["ts"].dataType.typeName())).withColumn("paid", F.round(F.col("value") * 100).cast("long"))
+    log.append(rows)
+    return log.execute_filter("paid > 100.00 && user_id < 20").select("event_id")
+
+
+@query("""SELECT event_id, true AS known, 24 AS n_bytes FROM events WHERE event_id IN (0, 7, 400)""")
+def store_raw_records(spark, d) -> DataFrame:
+    """Records as packed bytes, taken apart again; a version before a record doesn't see it."""
+    store = Store(spark, _shared_folder(spark))
+    log = store.create("events", "{ event_id: LONG, value: DOUBLE }", time_resolution_ns=HOUR)
+    rows = spark.read.parquet(f"{d}/events.parquet").where("event_id <= 400").orderBy("event_id")
+    log.append(rows.withColumn("TIMESTAMP", nanoseconds(F.col("ts"), rows.schema["ts"].dataType.typeName())))
+    places = {r.EVENT_ID: r.log_offset for r in log.rows.where(F.col("EVENT_ID").isin(0, 7, 400)).collect()}
+    out = []
+    for k, at in places.items():
+        raw = log.read_raw(at)
+        _, ident, _ = struct.unpack("<Qqd", raw)
+        out.append((ident, ident == k and log.read_raw(at, at) is None, len(raw)))
+    return spark.createDataFrame(out, "event_id long, known boolean, n_bytes int")
+
+
 # --- functional streams -----------------------------------------------------------------------------------------------
 
 
@@ -389,21 +646,29 @@ def stream_take(spark, d) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """A stream's result so far, from a memory table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    context = stream.sparkSession.sparkContext
-    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if shared:  # executors keep state there; a single machine's session may leave it to Spark
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """A stream's result when it has read all there is, from the shared folder.
+
+    Appended rows go to files; of a complete result each batch writes the whole, and the last one counts.
+    """
+    spark, folder = stream.sparkSession, _shared_folder(stream.sparkSession)
+    started = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    if mode == "append":
+        started.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    last = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        last.append(number)
+
+    started.foreachBatch(batch).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows-{last[-1]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def _event_stream(spark, d):
     log = events(spark, d)
-    struct = spark.read.parquet(f"{d}/events.parquet").schema
-    return log, continuous.read_stream(spark, f"{d}/events.parquet", struct=struct)
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    return log, continuous.read_stream(spark, f"{d}/events.parquet", struct=rows.schema)
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND value > 30")
@@ -423,3 +688,24 @@ def streaming_alerts(spark, d) -> DataFrame:
     log, stream = _event_stream(spark, d)
     buckets = continuous.bucket_aggregates(stream, log.schema, ERROR, "MAX(value)", HOUR, late="30 days")
     return continuous.alerts(_drained(buckets, "complete"), "trig", "max_v > 100", REGISTRY.get("DOUBLE"))
+
+
+_WAIT = 86_400_000_000  # a day in microseconds
+
+
+@query(f"""SELECT epoch_ns(ts) // {HOUR} AS time_bucket, count(*)::double AS n FROM events
+WHERE event_type = 'error' AND event_id % 10 <> 0 AND (epoch_ns(ts) // {HOUR} + 1) * {HOUR // 1000} <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'error' AND event_id % 10 <> 0) - {_WAIT} GROUP BY 1""")
+def streaming_late_rows(spark, d) -> DataFrame:
+    """Rows that come after the watermark has passed their bucket leave its aggregate alone; closed buckets are appended."""
+    folder = _shared_folder(spark)
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("one", F.lit(1.0)).where("event_type = 'error'")
+    log = Multilog.from_dataframe(rows, "ts")
+    on_time, late = rows.where("event_id % 10 <> 0"), rows.where(f"event_id % 10 = 0 AND ts < timestamp_ntz'2024-01-15'")
+    query, seen = None, f"{folder}/in"
+    for k, part in enumerate((on_time, late)):
+        part.coalesce(1).write.parquet(f"{seen}/{k}")
+        stream = continuous.read_stream(spark, seen, struct=rows.schema, files_per_batch=1)
+        buckets = continuous.bucket_aggregates(stream, log.schema, "", "SUM(one)", HOUR, late="1 day", out="n")
+        query = buckets.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/out")
+        query.start().awaitTermination()
+    return spark.read.schema(buckets.schema).parquet(f"{folder}/out")

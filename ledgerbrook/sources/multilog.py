@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerbrook.errors import InvalidOperation, ParseError
 from ledgerbrook.functions.aggregates import AGGREGATES, Aggregate, aggregate, parse_aggregate
-from ledgerbrook.functions.arith import bucket, compare
+from ledgerbrook.functions.arith import bucket, bucket_bounds, compare
 from ledgerbrook.functions.types import typed_text
 from ledgerbrook.operators.predicate import compiled
 from ledgerbrook.operators.schema import LogSchema, schema_of
@@ -91,11 +91,20 @@ class Multilog:
         self.aggregates: dict[str, NamedAggregate] = {}
         self.triggers: dict[str, Trigger] = {}
         self.indexes: dict[str, float] = {}
+        self.numbered_by: str | None = None
 
     @classmethod
-    def from_dataframe(cls, rows: DataFrame, time_column: str, offset: Column | None = None, record_size: int | None = None, **options) -> Multilog:
-        """A log over a table that exists. ``offset`` gives each row's place; without one only version-free reads work."""
+    def from_dataframe(cls, rows: DataFrame, time_column: str, offset: Column | str | None = None, record_size: int | None = None, **options) -> Multilog:
+        """A log over a table that exists. ``offset`` gives each row's place in bytes; without one only version-free reads work.
+
+        The name of a column that numbers the rows from 0 is best: versions and places become bounds of that column, which
+        scans skip files by.
+        """
         schema = schema_of(rows.schema, time_column, record_size)
+        if isinstance(offset, str):
+            log = cls(rows.withColumn(OFFSET, F.col(f"`{offset}`").cast("long") * schema.record_size), schema, **options)
+            log.numbered_by = offset
+            return log
         if offset is not None:
             rows = rows.withColumn(OFFSET, offset.cast("long"))
         return cls(rows, schema, **options)
@@ -113,19 +122,36 @@ class Multilog:
     def num_records(self) -> int:
         return self.rows.count()
 
+    def placed(self, rows: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+        """Rows from place ``low`` on and before place ``high``."""
+        column, size = (F.col(OFFSET), 1) if self.numbered_by is None else (F.col(f"`{self.numbered_by}`"), self.record_size)
+        if low is not None:
+            rows = rows.where(column >= F.lit(-(-low // size)))
+        return rows if high is None else rows.where(column < F.lit(-(-high // size)))
+
     def snapshot(self, version: int) -> DataFrame:
         """Rows visible at a version."""
-        return self.rows.where(F.col(OFFSET) <= F.lit(version - self.record_size))
+        return self.placed(self.rows, high=version - self.record_size + 1)
+
+    def read(self, offset: int, version: int | None = None) -> DataFrame:
+        """The row at a place, if there is one and it is visible at ``version``."""
+        if version is not None and offset + self.record_size > version:
+            return self.rows.limit(0)
+        return self.read_many([offset])
 
-    def read(self, offset: int) -> DataFrame:
-        return self.rows.where(F.col(OFFSET) == offset)
+    def read_raw(self, offset: int, version: int | None = None) -> bytes | None:
+        """The record at a place as its packed bytes (little-endian, strings padded with zeros); None if there is none."""
+        row = self.read(offset, version).first()
+        return None if row is None else b"".join(c.type.pack(row[c.name]) for c in self.schema.columns)
 
     def read_many(self, offsets: list[int]) -> DataFrame:
-        return self.rows.where(F.col(OFFSET).isin(offsets))
+        if self.numbered_by is None:
+            return self.rows.where(F.col(OFFSET).isin(offsets))
+        return self.rows.where(F.col(f"`{self.numbered_by}`").isin([o // self.record_size for o in offsets if o % self.record_size == 0]))
 
     def read_batch(self, offset: int, count: int) -> DataFrame:
         """``count`` rows from a place on, fewer at the end of the log."""
-        return self.rows.where(F.col(OFFSET).between(offset, offset + (count - 1) * self.record_size))
+        return self.placed(self.rows, offset, offset + (count - 1) * self.record_size + 1)
 
     def scan(self) -> DataFrame:
         """All rows in the order they were appended."""
@@ -246,7 +272,7 @@ class Multilog:
         rows = self.in_buckets(self.rows, begin, end)
         since = max(since, named.since)
         if since:
-            rows = rows.where(F.col(OFFSET) >= since)
+            rows = self.placed(rows, since)
         rows = rows.where(compiled(named.expression, self.schema))
         if named.function is not None:
             rows = rows.where(named.function(rows))
@@ -272,10 +298,18 @@ class Multilog:
         type_, value = self._threshold(t.aggregate, t.threshold)
         return f"{t.aggregate} {t.op} {typed_text(type_, value)}"
 
-    def get_alerts(self, begin: int | None = None, end: int | None = None, trigger: str = "") -> DataFrame:
+    def checked_at(self, time_bucket: Column, periodicity_ms: int) -> Column:
+        """When a bucket is checked, in milliseconds: at the first multiple of the periodicity that its end doesn't pass."""
+        ms = lambda ns: F.call_function("div", ns, F.lit(MILLISECOND).cast("long"))
+        last, by = ms((time_bucket + 1) * self.time_resolution_ns - 1), F.lit(periodicity_ms).cast("long")
+        return F.call_function("div", last + by - 1, by) * by
+
+    def get_alerts(self, begin: int | None = None, end: int | None = None, trigger: str = "", arrival: Column | None = None) -> DataFrame:
         """(time_bucket, trigger_name, trigger_expr, value): buckets whose aggregate satisfies a trigger, once each.
 
-        Triggers on aggregates of one filter share one scan and one grouping.
+        Each bucket is checked as it is now. With ``arrival`` (nanoseconds) it is checked as the monitor saw it: by the
+        trigger's periodicity, and again for the monitor's window; rows that arrived later raise no alert. Triggers on
+        aggregates of one filter share one scan and one grouping.
         """
         chosen = [self._known(self.triggers, "Trigger", trigger)] if trigger else [self.triggers[n] for n in sorted(self.triggers)]
         if not chosen:
@@ -284,13 +318,16 @@ class Multilog:
         for t in chosen:
             named = self.aggregates[t.aggregate]
             fold = self._aggregate_parts(named.expression)[0].whole is None
-            shared.setdefault((named.filter, named.since, t.aggregate if fold else ""), []).append(t)
+            shared.setdefault((named.filter, named.since, t.aggregate if fold else "", t.periodicity_ms if arrival is not None else 0), []).append(t)
         found = []
-        for (filter_name, since, fold), triggers in shared.items():
+        for (filter_name, since, fold, period), triggers in shared.items():
+            rows = self.query_filter(filter_name, begin, end, since=since).withColumn("time_bucket", self.time_bucket())
+            if arrival is not None:
+                rows = rows.where(arrival < (self.checked_at(F.col("time_bucket"), period) + self.monitor_window_ms + 1) * MILLISECOND)
             if fold:
-                buckets = self.aggregate_buckets(fold, begin, end, out=f"agg_{fold}")
+                made, column = self._aggregate_parts(self.aggregates[fold].expression)
+                buckets = aggregate(rows, made, column, f"agg_{fold}", ["time_bucket"])
             else:
-                rows = self.query_filter(filter_name, begin, end, since=since).withColumn("time_bucket", self.time_bucket())
                 values = {}
                 for t in triggers:
                     made, column = self._aggregate_parts(self.aggregates[t.aggregate].expression)
@@ -325,17 +362,24 @@ class Multilog:
         """(bucket, n): how many rows each key of an index has."""
         return self.rows.groupBy(self.index_bucket(column, bucket_size).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
+    def in_index(self, column: str, begin, end, bucket_size: float | None = None) -> DataFrame:
+        """Rows whose index key is in a range. Its bounds go to the stored column too, so scans skip files."""
+        c = self.schema[column]
+        size = self.indexes.get(c.name, 1.0) if bucket_size is None else bucket_size
+        rows = self.rows.where(bucket_bounds(F.col(f"`{c.name}`"), c.type, begin, end, size))
+        return rows.where(self.index_bucket(column, size).between(begin, end)) if c.type.numeric else rows
+
     def approx_count(self, column: str, begin: int, end: int, bucket_size: float | None = None) -> DataFrame:
-        return self.rows.where(self.index_bucket(column, bucket_size).between(begin, end)).agg(F.count(F.lit(1)).alias("n"))
+        return self.in_index(column, begin, end, bucket_size).agg(F.count(F.lit(1)).alias("n"))
 
     def index_scan(self, column: str, begin: int, end: int, bucket_size: float | None = None) -> DataFrame:
         """Rows of an index range in index order, then in append order."""
-        key = self.index_bucket(column, bucket_size)
-        return self.rows.where(key.between(begin, end)).orderBy(key, OFFSET)
+        return self.in_index(column, begin, end, bucket_size).orderBy(self.index_bucket(column, bucket_size), OFFSET)
 
     def at(self, rows: DataFrame) -> Multilog:
         """The same definitions over other rows (a snapshot, say)."""
         other = Multilog(rows, self.schema, self.name, self.time_resolution_ns, self.monitor_window_ms, self.monitor_period_ms)
+        other.numbered_by = self.numbered_by
         other.filters, other.aggregates, other.triggers, other.indexes = dict(self.filters), dict(self.aggregates), dict(self.triggers), dict(self.indexes)
         return other
 

@@ -33,11 +33,11 @@ class StoredLog(Multilog):
     def __init__(self, store: Store, name: str, manifest: dict, number: int):
         self._store, self._folder = store, f"{store.path}/{name}"
         self._files = Files(store.spark, self._folder)
-        self._manifest, self._number = manifest, number
+        self._manifest, self._number, self._cached = manifest, number, None
         builder = SchemaBuilder(store.registry)
         for c in manifest["schema"]:
             builder.add(c["name"], c["type"])
-        super().__init__(self._read(builder.build(), manifest), builder.build(), name, manifest["time_resolution_ns"])
+        super().__init__(self._read(builder.build(), manifest), builder.build(), name, manifest["time_resolution_ns"], manifest.get("monitor_window_ms", 10))
         self.filters = {k: NamedFilter(**v) for k, v in manifest["filters"].items()}
         self.aggregates = {k: NamedAggregate(**v) for k, v in manifest["aggregates"].items()}
         self.triggers = {k: Trigger(**v) for k, v in manifest["triggers"].items()}
@@ -48,7 +48,17 @@ class StoredLog(Multilog):
         if not manifest["parts"]:
             return self._store.spark.createDataFrame([], struct)
         rows = self._store.spark.read.schema(struct).parquet(*[f"{self._folder}/{p}" for p in manifest["parts"]])
-        return rows.persist(StorageLevel.MEMORY_AND_DISK) if manifest["mode"] == "IN_MEMORY" else rows
+        if manifest["mode"] == "IN_MEMORY":
+            if self._cached is not None:
+                self._cached.unpersist()
+            self._cached = rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        return rows
+
+    def close(self) -> None:
+        """Give up what an IN_MEMORY log keeps in memory."""
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
 
     @property
     def tail(self) -> int:
@@ -63,6 +73,10 @@ class StoredLog(Multilog):
 
     def refresh(self) -> StoredLog:
         fresh = self._store.get(self.name)
+        if fresh._number == self._number:
+            fresh.close()
+            return self
+        self.close()
         self.__dict__.update(fresh.__dict__)
         return self
 
@@ -89,10 +103,14 @@ class StoredLog(Multilog):
             raise InvalidOperation(f"Record does not match schema: no {', '.join(missing)}")
         rows = rows.select([F.col(f"`{c.name}`").cast(c.type.spark).alias(c.name) for c in self.schema.columns])
         block = F.call_function("div", F.col(self.schema.time_column), F.lit(self.time_resolution_ns).cast("long"))
-        # sorted by block and arrival; rows get dense places from the counts of the partitions before theirs
+        # Sorted by block and arrival, and written. Places follow from what was written, so a task that runs again can't
+        # disagree with them.
         rows = rows.withColumn("arrival", F.monotonically_increasing_id()).withColumn("block", block).sort("block", "arrival")
-        rows = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        staged, name = f"staged-{uuid.uuid4().hex}", f"part-{uuid.uuid4().hex}"
         try:
+            rows.drop("arrival", "block").write.parquet(f"{self._folder}/{staged}")
+            rows = self._store.spark.read.parquet(f"{self._folder}/{staged}")
             bad = F.sum(F.when(F.greatest(*[F.col(f"`{c.name}`").isNull().cast("int") for c in self.schema.columns]) > 0, 1).otherwise(0))
             counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).orderBy("part").collect()  # a row per partition
             if any(r.bad for r in counts):
@@ -106,12 +124,15 @@ class StoredLog(Multilog):
             first = self.tail
             start = self._store.spark.createDataFrame(starts, "part int, start long")
             placed = rows.join(F.broadcast(start), "part").withColumn(OFFSET, F.lit(first) + (F.col("start") + F.col("at")) * self.record_size)
-            name = f"part-{uuid.uuid4().hex}"
             placed.select(*[c.name for c in self.schema.columns], OFFSET).write.option("compression", "snappy").parquet(f"{self._folder}/{name}")
         finally:
-            rows.unpersist()
-        self._commit(tail=first + before * self.record_size, parts=[*self._manifest["parts"], name])
+            self._files.delete(staged)
+        tail = first + before * self.record_size
+        self._commit(tail=tail, parts=[*self._manifest["parts"], name], ranges=self._manifest.get("ranges", {}) | {name: [first, tail]})
         self.rows = self._read(self.schema, self._manifest)
+        every = self._manifest.get("archive_every")
+        if every and tail - self._manifest["archived"] >= every:
+            self.archive()
         return first
 
     append_batch = append
@@ -156,25 +177,38 @@ class StoredLog(Multilog):
     # --- archival -------------------------------------------------------------------------------------------------
 
     def archive(self, upto: int | None = None, codec: str = "ZSTD", files: int | None = None) -> None:
-        """Rewrite the rows before ``upto`` (default: all) compactly, sorted by the first indexed column or by time."""
+        """Rewrite the rows before ``upto`` (default: all) compactly, sorted by the first indexed column or by time.
+
+        What was archived before stays as it is, and so do parts from ``upto`` on; a part across ``upto`` is split. A log
+        created with ``archive_every`` does this by itself whenever so many bytes aren't archived.
+        """
         upto = self.tail if upto is None else min(upto, self.tail)
+        done, ranges = self._manifest["archived"], self._manifest.get("ranges", {})
+        if upto <= done:
+            return
         key = self.index_bucket(next(iter(self.indexes))) if self.indexes else F.col(self.schema.time_column)
-        old, new = self.rows.where(F.col(OFFSET) < upto), self.rows.where(F.col(OFFSET) >= upto)
-        parts = []
-        for rows, compression in ((old, CODECS[codec]), (new, "snappy")):
-            if rows.isEmpty():
+        struct, kept, touched = self.schema.struct().add(OFFSET, T.LongType(), False), [], []
+        for p in self._manifest["parts"]:
+            low, high = ranges.get(p, [0, self.tail])
+            (touched if high > done and low < upto else kept).append(p)
+        rows = self._store.spark.read.schema(struct).parquet(*[f"{self._folder}/{p}" for p in touched])
+        parts, ends = [], [ranges.get(p, [0, self.tail]) for p in touched]
+        for low, high, compression in ((min(a for a, _ in ends), upto, CODECS[codec]), (upto, max(b for _, b in ends), "snappy")):
+            if low >= high:
                 continue
-            rows = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)
+            own = rows.where((F.col(OFFSET) >= low) & (F.col(OFFSET) < high))
+            own = own.repartitionByRange(files, key) if files else own.repartitionByRange(key)
             name = f"part-{uuid.uuid4().hex}"
-            rows.sortWithinPartitions(key, OFFSET).write.option("compression", compression).parquet(f"{self._folder}/{name}")
-            parts.append(name)
-        self._commit(parts=parts, archived=upto)
+            own.sortWithinPartitions(key, OFFSET).write.option("compression", compression).parquet(f"{self._folder}/{name}")
+            parts.append((name, [low, high]))
+        names = [*kept, *(n for n, _ in parts)]
+        self._commit(parts=names, archived=upto, ranges={p: r for p, r in (ranges | dict(parts)).items() if p in names})
         self.rows = self._read(self.schema, self._manifest)
 
     def vacuum(self) -> None:
         """Delete parts that the newest manifest doesn't name."""
         for name in self._files.names():
-            if name.startswith("part-") and name not in self._manifest["parts"]:
+            if name.startswith(("part-", "staged-")) and name not in self._manifest["parts"]:
                 self._files.delete(name)
 
 
@@ -210,7 +244,8 @@ class Store:
         self.spark, self.path, self.registry = spark, path.rstrip("/"), registry
         self._files = Files(spark, self.path)
 
-    def create(self, name: str, schema: LogSchema | str, mode: str = "DURABLE", time_resolution_ns: int = MILLISECOND) -> StoredLog:
+    def create(self, name: str, schema: LogSchema | str, mode: str = "DURABLE", time_resolution_ns: int = MILLISECOND, monitor_window_ms: int = 10, archive_every: int | None = None) -> StoredLog:
+        """A new log. IN_MEMORY logs keep their rows in executors' memory too; both durable modes write before an append returns."""
         if mode not in MODES:
             raise InvalidOperation(f"unknown storage mode {mode}")
         if self.exists(name):
@@ -218,6 +253,7 @@ class Store:
         schema = parse_schema(schema, self.registry) if isinstance(schema, str) else schema
         manifest = {
             "id": uuid.uuid4().hex, "mode": mode, "tail": 0, "archived": 0, "parts": [], "time_resolution_ns": time_resolution_ns,
+            "monitor_window_ms": monitor_window_ms, "archive_every": archive_every, "ranges": {},
             "schema": [{"name": c.name, "type": c.type.spelled()} for c in schema.columns], "filters": {}, "aggregates": {}, "triggers": {}, "indexes": {},
         }
         if not Files(self.spark, f"{self.path}/{name}").create("manifest-000000000000.json", json.dumps(manifest)):

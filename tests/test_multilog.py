@@ -219,3 +219,42 @@ def test_bounds_reach_the_scan(spark, sf_dir):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "GreaterThan(value" in pushed
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+def test_bounds_reach_the_scan(spark, sf_dir):
+    """Index ranges, versions and places become bounds on stored columns."""
+    from ledgerbrook.plans.catalogue import events
+
+    log = events(spark, sf_dir)
+    pushed = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(value" in pushed(log.index_scan("value", 2, 5, 10.0)) and "LessThanOrEqual(value" in pushed(log.approx_count("value", 2, 5, 10.0))
+    assert "LessThan(event_id,10)" in pushed(log.snapshot(480)) and "In(event_id" in pushed(log.read_many([0, 48, 96]))
+    assert "GreaterThanOrEqual(event_id,5)" in pushed(log.read_batch(240, 3))
+
+
+def test_archive_rewrites_a_prefix_only(spark, tmp_path):
+    log = Store(spark, str(tmp_path)).create("a", "{ x: LONG, y: LONG }")
+    for k in range(4):
+        log.append([[str(k * 10 + i), str(k * 10 + i), "0"] for i in range(10)])
+    before = list(log._manifest["parts"])
+    log.archive(15 * log.record_size)
+    after = log._manifest["parts"]
+    assert before[2] in after and before[3] in after and before[0] not in after and log._manifest["archived"] == 15 * log.record_size
+    archived = [p for p in after if log._manifest["ranges"][p] == [0, 15 * log.record_size]]
+    log.archive(25 * log.record_size)
+    assert archived[0] in log._manifest["parts"] and before[3] in log._manifest["parts"]
+    log.vacuum()
+    assert sorted(r.X for r in Store(spark, str(tmp_path)).load("a").rows.collect()) == list(range(40))
+    assert [r.X for r in log.scan().collect()] == list(range(40))
+
+
+def test_memory_logs_keep_one_copy(spark, tmp_path):
+    log = Store(spark, str(tmp_path)).create("m", "{ x: LONG, y: LONG }", "IN_MEMORY")
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    start = held()
+    for k in range(3):
+        log.append([[str(k), str(k), "0"]])
+        assert log.rows.count() == k + 1
+    assert held() <= start + 1
+    log.close()
+    assert held() == start

@@ -5,7 +5,7 @@ import pytest
 from ledgerbrook.errors import InvalidOperation, ParseError
 from ledgerbrook.functions.aggregates import parse_aggregate
 from ledgerbrook.functions.types import REGISTRY, promoted
-from ledgerbrook.operators.predicate import Comparison, Every, Some, compile_tree, evaluate, minterms, parse
+from ledgerbrook.operators.predicate import Comparison, Every, Some, compile_tree, evaluate, impossible, minterms, parse
 from ledgerbrook.operators.schema import SchemaBuilder, parse_schema
 from ledgerbrook.sources.multilog import parse_trigger
 
@@ -108,3 +108,11 @@ def test_unknown_column_and_bad_literal():
     for text in ("nope == 1", "d == 1.5", "x == abc"):
         with pytest.raises(InvalidOperation):
             compile_tree(parse(text), schema)
+
+
+def test_single_floats_in_contradictions():
+    schema = parse_schema("{ f: FLOAT, d: DOUBLE }")
+    low, high = 0.1, 0.10000000001  # one float, two doubles
+    both = lambda c: [Comparison(c, ">=", str(high)), Comparison(c, "<=", str(low))]
+    assert not impossible(both("F"), schema) and impossible(both("D"), schema)
+    assert not impossible([Comparison("F", ">=", "1e39"), Comparison("F", "<=", "2e39")], schema)  # both infinite
