@@ -5,7 +5,8 @@ machines (squared hinge, trained here in numpy) score families one versus rest,
 family. All their weights lie in one table with a row per n-gram bucket, so a text takes one pass. Within the family the
 language with most pair votes wins; equal votes go to the larger sum of margins, then to the name that sorts first.
 
-Training reads a bounded sample of labelled rows: about ``rows_per_lang`` of each language, taken by hash of a key, from texts of at most ``max_train_chars`` characters. Everything else covers whole texts.
+Training reads a bounded sample of labelled rows: about ``rows_per_lang`` of each language, taken by hash, whole texts of any
+length. Everything else covers all rows and whole texts.
 
 Defined results: ``und`` with score 0 for a text that is null, empty or without a letter; repeated rows get equal
 results; null ids are allowed; an empty table gives an empty table, and with no labelled row every text is ``und``.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, has_letter, lean, ngram_buckets, row_sums, slices, without
+from ledgerbrook.llm.common import SLICE_CHARS, bounded_batches, has_letter, lean, ngram_buckets, row_sums, slices, without
 
 SIZES, BITS = (1, 2, 3), 13
 UNKNOWN = "und"
@@ -45,32 +46,62 @@ def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if stem in members), lang)
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """(texts, buckets): share of each n-gram bucket in each text."""
-    out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-    for row, bucket in ngram_buckets(texts, SIZES, BITS):
-        for r in np.unique(row):
-            out[r] += np.bincount(bucket[row == r], minlength=1 << BITS)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+class Rows:
+    """Sparse rows: buckets and values one after another, and where each row begins (one more at the end)."""
 
+    def __init__(self, bucket: np.ndarray, value: np.ndarray, begin: np.ndarray):
+        self.bucket, self.value, self.begin = bucket, value, begin
+        self.size = np.diff(begin)
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The rows' products with a vector."""
+        run = np.concatenate([[0.0], np.cumsum(self.value * w[self.bucket], dtype=np.float64)])
+        return run[self.begin[1:]] - run[self.begin[:-1]]
+
+    def back(self, p: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each times its number."""
+        return np.bincount(self.bucket, weights=self.value * np.repeat(p, self.size), minlength=1 << BITS)
+
+    def pick(self, own: np.ndarray) -> Rows:
+        inside = np.repeat(own, self.size)
+        return Rows(self.bucket[inside], self.value[inside], np.concatenate([[0], np.cumsum(self.size[own])]))
+
+
+def features(texts: list[str | None]) -> Rows:
+    """The share of each n-gram bucket in each text."""
+    bucket, value, size = [], [], []
+    for at in range(0, len(texts), 64):
+        part = texts[at : at + 64]
+        count = np.zeros((len(part), 1 << BITS), dtype=np.float32)
+        for row, b in ngram_buckets(part, SIZES, BITS):
+            for r in np.unique(row):
+                count[r] += np.bincount(b[row == r], minlength=1 << BITS)
+        count /= np.maximum(count.sum(axis=1, keepdims=True), 1)
+        r, b = np.nonzero(count)
+        bucket.append(b.astype(np.int32))
+        value.append(count[r, b])
+        size.append(np.bincount(r, minlength=len(part)))
+    whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return Rows(whole(bucket, np.int32), whole(value, np.float32), np.concatenate([[0], np.cumsum(whole(size, np.int64))]))
+
+
+def linear_svm(x: Rows, y: np.ndarray, c: float = 50.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias minimising |w|^2/2 + c * mean(class-weighted squared hinge), by accelerated gradient steps."""
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    v = np.ones(x.shape[1], dtype=np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    v = np.ones(1 << BITS)
     for _ in range(8):  # the largest eigenvalue bounds the step
-        v = x.T @ (share * (x @ v))
+        v = x.back(share * x.times(v))
         v /= max(np.linalg.norm(v), 1e-12)
-    rate = 1 / (1 + 2 * c * (float(v @ (x.T @ (share * (x @ v)))) + 1))
-    w = np.zeros(x.shape[1] + 1, dtype=np.float32)
+    rate = 1 / (1 + 2 * c * (float(v @ x.back(share * x.times(v))) + 1))
+    w = np.zeros((1 << BITS) + 1)
     last, ahead = w.copy(), w.copy()
     for k in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        slack = np.maximum(0, 1 - y * (x.times(ahead[:-1]) + ahead[-1]))
         push = share * slack * y
-        grad = np.append(ahead[:-1] - 2 * c * (x.T @ push), -2 * c * push.sum())
-        last, w = w, (ahead - rate * grad).astype(np.float32)
+        grad = np.append(ahead[:-1] - 2 * c * x.back(push), -2 * c * push.sum())
+        last, w = w, ahead - rate * grad
         ahead = w + (k - 1) / (k + 2) * (w - last)
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float32), float(w[-1])
 
 
 class Model:
@@ -81,21 +112,22 @@ class Model:
         self.families = sorted({family(x) for x in self.langs})
         self.members = [[i for i, x in enumerate(self.langs) if family(x) == f] for f in self.families]
         x = features(texts)
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(texts) else np.ones(1 << BITS, dtype=np.float32)
-        x *= scale
+        scale = (1 / np.sqrt(x.back(np.full(len(texts), 1 / max(len(texts), 1))) + 1e-5)).astype(np.float32)
+        x.value *= scale[x.bucket]
         lang = np.array([self.langs.index(v) for v in langs])
         kin = np.array([self.families.index(family(v)) for v in langs])
         found = [linear_svm(x, np.where(kin == f, 1.0, -1.0).astype(np.float32)) for f in range(len(self.families))]
         self.pairs = [list(itertools.combinations(m, 2)) for m in self.members]
         for a, b in itertools.chain(*self.pairs):
             own = (lang == a) | (lang == b)
-            found.append(linear_svm(x[own], np.where(lang[own] == a, 1.0, -1.0).astype(np.float32)))
+            found.append(linear_svm(x.pick(own), np.where(lang[own] == a, 1.0, -1.0).astype(np.float32)))
         self.weights = np.stack([w * scale for w, _ in found], axis=1).astype(np.float32) if found else np.zeros((1 << BITS, 0), np.float32)
         self.bias = np.array([b for _, b in found])
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         total, count = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
-        for row, bucket in ngram_buckets(texts, SIZES, BITS):
+        piece = 2 * SLICE_CHARS // max(1, len(self.bias) // 16)  # with many machines fewer n-grams at once
+        for row, bucket in ngram_buckets(texts, SIZES, BITS, piece=piece):
             row_sums(row, self.weights[bucket].astype(np.float64), total)
             row_sums(row, np.ones(len(row)), count)
         return total / np.maximum(count, 1)[:, None] + self.bias
@@ -124,17 +156,21 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text: Column, lang: Column, key: Column, rows_per_lang: int = 400, max_train_chars: int = 30_000, max_langs: int = 500) -> Model:
-    """Train on a sample of ``labelled`` drawn by a hash of ``key``; more than ``max_langs`` languages are an error."""
-    rows = labelled.select(text.alias("t"), lang.cast("string").alias("l"), F.xxhash64(F.lit(5), key).alias("h")).where("l is not null and t is not null").where(F.char_length("t") <= max_train_chars)
-    counts = {r.l: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+def fit(labelled: DataFrame, text: Column, lang: Column, key: Column, rows_per_lang: int = 400, max_rows: int = 20_000, max_chars: int = 48_000_000) -> Model:
+    """Train on a sample of ``labelled``, drawn by a hash of ``key`` and text.
+
+    About ``rows_per_lang`` texts of each language, fewer if all languages together would take more than ``max_rows`` texts or
+    about ``max_chars`` characters. Whole texts of any length are drawn alike.
+    """
+    rows = labelled.select(text.alias("t"), lang.cast("string").alias("l"), F.xxhash64(F.lit(5), key, text).alias("h")).where("l is not null and t is not null")
+    counts = {r.l: r for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t")).alias("chars")).collect()}  # a row per language
     if not counts:
         return Model([], [])
-    rate = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_lang / n))])[F.col("l")]
+    share = 1 / len(counts)
+    rates = {k: min(1.0, rows_per_lang / r["n"], share * max_rows / r["n"], share * max_chars / max(r.chars, 1)) for k, r in counts.items()}
+    rate = F.create_map([F.lit(x) for kv in rates.items() for x in kv])[F.col("l")]
     spread = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
-    got = rows.where(spread < rate).limit(4 * rows_per_lang * len(counts)).collect()
+    got = rows.where(spread < rate).collect()
     got.sort(key=lambda r: (r.l, r.t))
     return Model([r.t for r in got], [r.l for r in got])
 

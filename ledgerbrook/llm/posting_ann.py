@@ -4,12 +4,12 @@ Centroids come from balanced k-means on a bounded sample, one per ``list_size``
 draws too many sample vectors gets a handicap. A k-nearest-neighbour graph links the centroids; it is held in memory
 and searched greedily with a beam, by all vectors of a batch at once. Every vector is posted to its nearest centroid,
 and a boundary vector also to others whose distance is within ``spread`` times the nearest (``copies`` lists at most).
-A query ranks all centroids and scans every list whose centroid distance is within a ratio of the nearest, however many
-these are. The ratio is ``prune`` or what ``trials`` of the queries need, whichever is more: their nearest are found by a
+A query searches the graph with a beam that widens until it holds every centroid whose distance is within a ratio of the
+nearest, and scans those lists, however many these are. The ratio is ``prune`` or what ``trials`` of the queries need, whichever is more: their nearest are found by a
 scan of the whole table, and the ratio is such that a share ``recall`` of these stands in lists within it. So recall
 doesn't fall as lists become more. Lists longer than ``part_rows`` are cut into parts, so no task gets an unbounded list,
 and its queries go to every part. Parts are dealt to groups, and a query goes once to each group that holds some of its
-lists.
+lists. With many queries each group is scanned several times, for ``ask_rows`` of them at once, about.
 
 Equal vectors are one entry: its smallest ids are all that a result of k can need, so thousands of copies cost no more
 than one. Candidates are scored in double precision on the original vectors, ties to the smaller id.
@@ -61,7 +61,38 @@ class Centroids:
             near[np.arange(len(near)), np.arange(i, i + len(near))] = -np.inf
             if degree:
                 self.links[i : i + 1024] = np.argsort(-near, axis=1, kind="stable")[:, :degree]
-        self.entries = np.sort(rng.permutation(count)[: min(count, 24)])
+        self.entries = np.union1d(rng.permutation(count)[: min(count, 24)], self.parts())
+
+    def parts(self) -> list[int]:
+        """A centroid of each connected part of the graph, links taken both ways."""
+        above = list(range(len(self.center)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for i, row in enumerate(self.links.tolist()):
+            for j in row:
+                above[top(j)] = top(i)
+        return [i for i in above if above[i] == i]
+
+    def within(self, x: np.ndarray, ratio: float, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of all centroids found whose distance is within ``ratio`` times the nearest.
+
+        The beam is widened for those rows whose whole beam is within.
+        """
+        rows, out = np.arange(len(x)), []
+        while len(rows):
+            found, far = self.search(x[rows], beam)
+            far = np.where(np.isfinite(far), np.sqrt(np.maximum(far, 0)), np.inf)
+            ok = far <= ratio * np.maximum(far[:, :1], LEAST_FAR)
+            more = ok.all(axis=1) & (found.shape[1] < len(self.center)) & (beam < len(self.center))
+            r, slot = np.nonzero(ok & ~more[:, None])
+            out.append(np.stack([rows[r], found[r, slot]]))
+            rows, beam = rows[more], 2 * beam
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+        return pairs[0], pairs[1]
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """The distance of each row to every centroid."""
@@ -163,6 +194,7 @@ def nearest(
     recall: float = 0.97,
     trials: int = 256,
     part_rows: int = 2048,
+    ask_rows: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of every row that ``queries`` marks, itself left out.
 
@@ -182,7 +214,7 @@ def nearest(
     rows = rows.where(F.size("v") == width)
     # an entry for each distinct vector with its k + 1 smallest ids; a first step by part keeps hot vectors from one task
     part = F.pmod(F.xxhash64("id"), F.lit(64))
-    least = F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, k + 1)
+    least = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
     ids = rows.groupBy("v", part.alias("p"), F.floor(F.col("id") / 100_000).alias("q")).agg(least.alias("ids"))
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     entries = shared(ids.groupBy("v", "p").agg(merged.alias("ids")).groupBy("v").agg(merged.alias("ids")).withColumn("entry", F.xxhash64("v", F.col("ids")[0])))
@@ -223,8 +255,8 @@ def nearest(
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 own = batch.slice(lo, 64)
-                far = model.value.distances(_unit(_matrix(own.column(1), width)))
-                row, at = np.nonzero((far <= ratio * np.maximum(far.min(axis=1, keepdims=True), LEAST_FAR)) & (parts > 0))
+                row, at = model.value.within(_unit(_matrix(own.column(1), width)), ratio)
+                row, at = row[parts[at] > 0], at[parts[at] > 0]
                 n = parts[at]
                 row, at, first = np.repeat(row, n), np.repeat(at, n), np.repeat(np.cumsum(n) - n, n)
                 group = (at * STEP + np.arange(len(at)) - first) % groups
@@ -260,21 +292,25 @@ def nearest(
                     out_ask.append(who[lo + r])
                     out_entry.append(what[c])
         r, c = np.concatenate(out_ask), np.concatenate(out_entry)
-        if len(r):  # an entry of several lists once, and of a query's the k + 1 nearest with their equals
+        score = np.zeros(0)
+        if len(r):  # an entry of several lists once, and of a query's the k + 1 nearest; of equals those with the smallest ids
             _, once = np.unique(np.stack([r, right["entry"].to_numpy()[c]]), axis=1, return_index=True)
             r, c = r[once], c[once]
-            sims = (q[r] * v[c]).sum(axis=1)
-            order = np.lexsort((-sims, r))
-            r, c, sims = r[order], c[order], sims[order]
+            every_q, every_v = _matrix(left["v"], width), _matrix(right["v"], width)
+            score = np.concatenate([cosine(every_q[r[lo : lo + 65_536]], every_v[c[lo : lo + 65_536]]) for lo in range(0, len(r), 65_536)])
+            ids = right["ids"].combine_chunks()
+            first_id = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+            order = np.lexsort((first_id[c], -score, r))
+            r, c, score = r[order], c[order], score[order]
             start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            n = np.diff([*start, len(r)])
-            keep = sims >= np.repeat(sims[start + np.minimum(n - 1, k)], n) - 1e-12
-            r, c = r[keep], c[keep]
-        a, b = left.take(pa.array(r)), right.take(pa.array(c))
-        score = cosine(_matrix(a["v"], width), _matrix(b["v"], width)) if len(r) else np.zeros(0)
-        return pa.table([a["ask"], b["ids"], pa.array(score, pa.float64())], names=["ask", "ids", "score"])
-
-    near = scans.groupBy("grp").cogroup(posts.groupBy("grp")).applyInArrow(scan, "ask long, ids array<long>, score double")
+            keep = np.arange(len(r)) - np.repeat(start, np.diff([*start, len(r)])) <= k
+            r, c, score = r[keep], c[keep], score[keep]
+        return pa.table([left["ask"].take(pa.array(r)), right["ids"].take(pa.array(c)), pa.array(score, pa.float64())], names=["ask", "ids", "score"])
+
+    turns = max(1, asked.count() // ask_rows)
+    scans = scans.withColumn("turn", F.pmod("ask", F.lit(turns)))
+    posts = posts.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    near = scans.groupBy("grp", "turn").cogroup(posts.groupBy("grp", "turn")).applyInArrow(scan, "ask long, ids array<long>, score double")
     near = near.distinct()  # a boundary vector stands in several lists
     # of each query vector the nearest entries; each holds k + 1 ids, so k + 1 entries are enough whatever a query leaves out
     listed = near.groupBy("ask").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids"))), 1, 4 * k + 8).alias("found"))

@@ -7,9 +7,8 @@ with those seen in training. Since all is linear before the softmax, scoring nee
 
 Every training text also comes as a copy with misspelt words, so that weight spreads over n-grams that survive a slip.
 
-Training reads a bounded sample of labelled rows (``max_rows`` of either class, by hash of the id, texts of at most
-``max_train_chars`` characters), a fifth of it held out to calibrate at the classes' true shares. Everything else covers whole
-texts.
+Training reads a bounded sample of labelled rows (``max_rows`` of either class, by hash, whole texts of any length), a fifth
+of it held out to calibrate at the classes' true shares. Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts, and texts without a word, get the share of toxic rows among the labelled; repeated rows get
 equal results; null ids are allowed in the scored table; labels that are null or not 0/1 don't count; an empty table
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, lean, ngram_buckets, row_sums, without
+from ledgerbrook.llm.common import bounded_batches, join_checked, lean, ngram_buckets, row_sums, shared, without
 
 SIZES, BITS = (3, 4, 5), 18
 #: An average counts so many n-grams without meaning besides its own, so that a short text needs more than one hint.
@@ -154,20 +153,24 @@ class Model:
         return np.where(count > 0, found, self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, max_train_chars: int = 20_000) -> Model:
-    """Train on at most about ``max_rows`` labelled rows of either class; ``labels`` has the rows to learn from only."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, max_chars: int = 24_000_000) -> Model:
+    """Train on a sample of the labelled texts; ``labels`` has the rows to learn from only.
+
+    Of either class about ``max_rows`` texts are drawn, by a hash of id and text, fewer if they would hold more than
+    about ``max_chars`` characters together. Whole texts of any length are drawn alike.
+    """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
-    counts = {r.y: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marks = shared(marks.groupBy("id").agg(F.max("y").alias("y")))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    found = join_checked(texts, marks, "id", "inner", 32)
+    counts = {r.y: r for r in found.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t")).alias("chars")).collect()}
     if len(counts) < 2:
         return Model([], [], (1.0, 1.0))
-    spread = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.when(F.col("y") == 1, min(1.0, max_rows / counts[1])).otherwise(min(1.0, max_rows / counts[0]))
-    drawn = marks.where(spread < rate).limit(4 * max_rows)  # small: its size is bound by max_rows
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where(F.char_length("t") <= max_train_chars)
-    got = sorted((r.id, r.y, r.t) for r in rows.join(F.broadcast(drawn), "id").limit(8 * max_rows).collect())
-    total = counts[0] + counts[1]
-    return Model([t for _, _, t in got], [y for _, y, _ in got], (counts[0] / total, counts[1] / total))
+    rate = {y: min(1.0, max_rows / r["n"], max_chars / max(r.chars, 1)) for y, r in counts.items()}
+    spread = F.pmod(F.xxhash64("id", "t", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = found.where(spread < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    got = sorted((r.id, r.y, r.t) for r in drawn.collect())  # max_rows of either class, about
+    return Model([t for _, _, t in got], [y for _, y, _ in got], (counts[0]["n"], counts[1]["n"]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -386,6 +386,36 @@ def test_vector_search_keeps_its_recall_with_many_lists(spark):
     assert hits / 500 >= 0.93, hits / 500
 
 
+@pytest.mark.parametrize("kind", ["clusters", "none"])
+def test_vector_search_with_thousands_of_lists(spark, kind):
+    """Over a thousand lists, searched by the graph; queries are dealt to several turns."""
+    rng = np.random.default_rng(6)
+    n = 30_000
+    x = rng.normal(size=(n, 32))
+    if kind == "clusters":
+        x = rng.normal(size=(400, 32))[rng.integers(0, 400, n)] + 0.35 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in posting_ann.nearest(df, F.col("vec_id") % 100 == 0, list_size=24, ask_rows=100).collect():  # 1,250 lists
+        got[r.query_id].add(r.vec_id)
+    d = x.astype(np.float32).astype(np.float64)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    sims = d[::100] @ d.T
+    sims[np.arange(len(sims)), np.arange(0, n, 100)] = -2
+    hits = sum(len(got[100 * q] & set(np.argsort(-row)[:5].tolist())) for q, row in enumerate(sims))
+    assert hits / (5 * len(sims)) >= 0.93, hits / (5 * len(sims))
+
+
+def test_vectors_of_one_direction_tie_by_id(spark):
+    """Thousands of scaled copies are as near as each other but for rounding; equal scores go to the smaller id."""
+    rows = [(k, [float(1 + k), float(2 + 2 * k)]) for k in range(3000)] + [(50, [5.0, -1.0])] + [(7, [1.0, 2.0])] * 300
+    got = posting_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, list_size=64).orderBy("rank").collect()
+    vectors = np.array([v for _, v in rows])
+    scores = posting_ann.cosine(np.repeat(vectors[100][None], len(rows), axis=0), vectors)  # scaled copies differ by rounding
+    best = sorted({(-s, i) for (i, _), s in zip(rows, scores.tolist(), strict=True) if i != 100})[:5]
+    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in best]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (51, [2.0, 0.0]), (52, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in posting_ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(50, 1, 51), (50, 2, 52)]
@@ -435,6 +465,33 @@ def fit_model(df):
     return ready, *masked_lm.fit(ready)
 
 
+def test_training_takes_long_texts_and_repeated_ids(spark):
+    """Labelled texts of any length are learnt from, and a hot id doesn't crowd the others out."""
+    rng = random.Random(17)
+    long = lambda w: " ".join(rng.choice([w, *"abcdefg"]) + "ora" for _ in range(8000))
+    rows = [(i, long("vile" if i % 2 else "mild"), "de" if i % 2 else "fr") for i in range(40)] + [(1, long("vile"), "de")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs.where("doc_id > 1"), model).collect()}
+    assert all(got[i] == i % 2 for i in range(2, 40))
+    few = toxicity.fit(docs, labels, max_rows=10, max_chars=400_000)
+    assert np.isfinite(few.bias)
+    found = langid.identify(docs, langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+
+
+def test_many_languages(spark):
+    """More languages than a dense table of training rows would hold."""
+    rng = random.Random(23)
+    stems = {f"x{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for k in range(300)}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=20)), lang) for i, lang in enumerate(sorted(stems) * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 900"), F.col("text"), F.col("lang"), F.col("doc_id"))
+    found = langid.identify(docs.where("doc_id >= 900"), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95
+
+
 def test_masked_model_is_a_distribution_and_learns(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["red fox runs fast", "blue bird sings well", "old man walks home"][rng.randrange(3)] for _ in range(rng.randint(5, 30)))) for i in range(300)]
