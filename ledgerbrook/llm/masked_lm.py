@@ -29,13 +29,13 @@ from pyspark.sql import types as T
 from ledgerbrook.llm.common import bounded_batches, lean, shared, slices
 
 #: Words with outputs of their own, rests and groups of outputs; neighbours on either side; width of the hidden layer.
-OWN, RESTS, GROUPS, SIDE, WIDTH = 1536, 256, 32, 2, 32
+OWN, RESTS, GROUPS, SIDE, WIDTH = 512, 256, 16, 2, 16
 #: Words whose counts are known one by one, and cells for the counts of all others.
 KNOWN, CELLS = 1 << 17, 1 << 18
 #: What a word never seen counts.
 UNSEEN = 0.5
 #: Words that one task trains on in all rounds, about, and in one step; words counted at once in a task.
-SHARD_WORDS, STEP, BLOCK = 2_000_000, 1024, 1 << 20
+SHARD_WORDS, STEP, BLOCK = 2_000_000, 4096, 1 << 20
 #: Copies of the network averaged in one task.
 FAN = 16
 
@@ -124,7 +124,7 @@ class Vocabulary:
         self.rest_output = place[:RESTS]
         self.output = self.rest_output[rest]
         self.output[top] = place[RESTS:]
-        self.group = (member % GROUPS)[order]
+        self.group = (member % GROUPS)[order].astype(np.uint8)
         self.start = np.searchsorted(self.group, np.arange(GROUPS + 1))
         apart = np.ones(len(words), dtype=bool)
         apart[top] = False
@@ -177,56 +177,75 @@ class Network:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.near[0][around[0]]
+        h = self.near[0].take(around[0], axis=0)
         for k in range(1, 2 * SIDE):
-            h += self.near[k][around[k]]
+            h += self.near[k].take(around[k], axis=0)
         h += self.bend
         return np.tanh(h, out=h)
 
     def _members(self, h: np.ndarray, group: np.ndarray):
-        """For each group of targets: its rows, its outputs and their shares."""
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                own = slice(self.start[g], self.start[g + 1])
-                yield rows, own, softmax(h[rows] @ self.out[own].T + self.out_base[own])
+        """For each group of targets, which stand together: its rows, its outputs and their shares."""
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        for g in np.flatnonzero(ends[1:] > ends[:-1]):
+            rows, own = slice(ends[g], ends[g + 1]), slice(self.start[g], self.start[g + 1])
+            x = h[rows] @ self.out[own].T
+            x += self.out_base[own]
+            yield rows, own, softmax(x)
+
+    def by_group(self, around: np.ndarray, target: np.ndarray):
+        """The order in which targets of a group stand together, and all in that order."""
+        order = np.argsort(self.group[target], kind="stable")
+        return order, around[:, order], target[order]
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        order, around, target = self.by_group(around, target)
         h, group = self.hidden(around), self.group[target]
         found = np.log(softmax(h @ self.top + self.top_base)[np.arange(len(target)), group])
         for rows, own, p in self._members(h, group):
-            found[rows] += np.log(p[np.arange(len(rows)), target[rows] - own.start])
-        return found
+            found[rows] += np.log(p[np.arange(len(p)), target[rows] - own.start])
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def train(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """A step over all of ``target``."""
         n = len(target)
+        _, around, target = self.by_group(around, target)
         h, group = self.hidden(around), self.group[target]
         p = softmax(h @ self.top + self.top_base)
         p[np.arange(n), group] -= 1
         p /= n
         back = p @ self.top.T
-        out, out_base = np.zeros_like(self.out), np.zeros_like(self.out_base)
+
+        def step(value, grad, mem):
+            mem += grad * grad
+            grad *= rate
+            grad /= np.sqrt(mem)
+            value -= grad
+
         for rows, own, q in self._members(h, group):
-            q[np.arange(len(rows)), target[rows] - own.start] -= 1
+            q[np.arange(len(q)), target[rows] - own.start] -= 1
             q /= n
             back[rows] += q @ self.out[own]
-            out[own], out_base[own] = q.T @ h[rows], q.sum(axis=0)
-        back *= 1 - h * h
-        grads = [back.sum(axis=0), h.T @ p, out, p.sum(axis=0), out_base]
-        for value, grad, mem in zip(self.parts()[1:], grads, memory[1:], strict=True):
-            mem += grad * grad
-            value -= rate * grad / np.sqrt(mem)
+            step(self.out[own], q.T @ h[rows], memory[3][own])
+            step(self.out_base[own], q.sum(axis=0), memory[5][own])
+        step(self.top, h.T @ p, memory[2])
+        step(self.top_base, p.sum(axis=0), memory[4])
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        step(self.bend, back.sum(axis=0), memory[1])
         for k in range(2 * SIDE):  # of the embeddings only the rows in use
             order = np.argsort(around[k], kind="stable")
-            ids = around[k][order]
+            ids = around[k].take(order)
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            grad, own = np.add.reduceat(back[order], first, axis=0), ids[first]
-            mem = memory[0][k][own] + grad * grad
+            grad, own = np.add.reduceat(back.take(order, axis=0), first, axis=0), ids[first]
+            mem = memory[0][k].take(own, axis=0)
+            mem += grad * grad
             memory[0][k][own] = mem
-            self.near[k][own] -= rate * grad / np.sqrt(mem)
+            grad *= rate
+            grad /= np.sqrt(mem)
+            self.near[k][own] -= grad
 
     def blank_memory(self) -> list[np.ndarray]:
         return [np.full(p.shape, 1e-6, dtype=np.float32) for p in self.parts()]
@@ -242,7 +261,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def surroundings(ids: np.ndarray, count: np.ndarray, edge: int) -> np.ndarray:
     """(2 * SIDE, words): each word's neighbours, ``edge`` beyond a text's ends."""
     owner = np.repeat(np.arange(len(count)), count)
-    out = np.full((2 * SIDE, len(ids)), edge, dtype=np.int64)
+    out = np.full((2 * SIDE, len(ids)), edge, dtype=np.uint16)  # small numbers sort fastest
     for k in range(1, SIDE + 1):
         if len(ids) > k:
             same = owner[k:] == owner[:-k]
@@ -273,7 +292,7 @@ def learn_words(ready: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], got["n"].to_numpy()[order].astype(np.float64), cells, types)
 
 
-def fit(ready: DataFrame, rate: float = 0.15, rounds: int = 2) -> tuple[Vocabulary, Network]:
+def fit(ready: DataFrame, rate: float = 0.4, rounds: int = 2) -> tuple[Vocabulary, Network]:
     """Count and train on all words of ``ready`` (see ``prepared``)."""
     vocabulary = learn_words(ready)
     network = Network(vocabulary)
@@ -319,7 +338,7 @@ def fit(ready: DataFrame, rate: float = 0.15, rounds: int = 2) -> tuple[Vocabula
                 held.append(np.frombuffer(blobs[int(i)].as_buffer(), np.uint16))
                 size += len(held[-1])
                 if size >= 32 * STEP or k + 1 == len(order):
-                    ids = np.concatenate(held).astype(np.int64)
+                    ids = np.concatenate(held)
                     around = surroundings(ids, np.array([len(x) for x in held]), edge)
                     mixed = np.random.default_rng(k).permutation(len(ids))  # neighbours in a step are alike
                     for lo in range(0, len(ids), STEP):
