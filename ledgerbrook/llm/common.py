@@ -22,11 +22,13 @@ SLICE_CHARS = 1 << 18
 def ensure_shared_dir(session: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine sessions, as in tests) a temporary folder is set.
+    Only where that is unset and one machine does all (as in tests) a temporary folder is set; on a cluster it is an error.
     """
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
@@ -41,7 +43,10 @@ def shared(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(session: SparkSession, rows: int = 1000, octets: int = 4 << 20) -> None:
-    """Let the session hand whole texts to Python in small batches: by default 10,000 rows go at once, whatever their size."""
+    """Let the session hand whole texts to Python in small batches: by default 10,000 rows go at once, whatever their size.
+
+    The settings stay with the session, since results are lazy and read them when they run; smaller ones are left as they are.
+    """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", octets)):
         key = f"spark.sql.execution.arrow.{name}"
         now = session.conf.get(key, None)
