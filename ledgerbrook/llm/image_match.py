@@ -7,8 +7,8 @@ keeps the corners of what it shows.
 Hamming tables hold pairs of corners: a corner with each of its ``NEAR`` nearest beyond its own patch. The key samples
 bits of both descriptors and the coarse place and turn of one corner seen from the other; so a structure that many
 pictures have in common rarely makes a key that they share. Beside the key stand further bits of both; entries of one key
-whose bits differ little are a match. Up to ``PAIR_ALL`` entries of a key are compared outright; in a longer run all meet
-the first one, and the run is kept. Two images that share ``LEAST`` matches are candidates. For each the matched descriptors of both images (at most ``max_bits`` of 256 bits apart) vote for a similarity transform; a pair with
+whose bits differ little are a match, which counts twice if they hardly differ. Up to ``PAIR_ALL`` entries of a key are compared outright; in a longer run all meet
+the first one, and the run is kept. Two images whose matches count ``LEAST`` are candidates. For each the matched descriptors of both images (at most ``max_bits`` of 256 bits apart) vote for a similarity transform; a pair with
 ``min_inliers`` matches that agree is a link. Kept runs whose members fall to several components are compared block by
 block: first their keys, which tells the images with enough matches, then these images' descriptors, in place; only links
 that join components leave a task. So one group of thousands of copies costs a link for each.
@@ -41,20 +41,23 @@ from ledgerbrook.llm.jaccard_join import meetings
 
 #: Largest side of the working copy, scales, half width of a patch, half width of the neighbourhood that a corner tops.
 SIDE, SCALES, PATCH, TOPS = 128, (1.0, 0.71, 0.5), 10, 3
-#: Neighbours of a corner in the tables, bits of either descriptor in a key and beside it, how many of these may differ.
-NEAR, KEY_BITS, CHECK_BITS, CHECK_OFF = 3, 20, 32, 4
+#: Neighbours of a corner in the tables, bits of either descriptor in a key and beside it, how many of these may differ in
+#: a match, and in one that counts twice.
+NEAR, KEY_BITS, CHECK_BITS, CHECK_OFF, CLOSE_OFF = 3, 20, 64, 7, 5
 #: Steps of a circle that a key tells apart, and pixels of a step of distance.
 TURNS, FAR = 8, 6
 #: Matches of a candidate; entries of a key that are compared outright.
-LEAST, PAIR_ALL = 2, 128
+LEAST, PAIR_ALL = 2, 256
 #: A larger picture is averaged down while it is read.
 PIXELS = 1 << 24
 #: A corner: its place in 1/256 of a pixel of the working copy, its turn in 1/256 of a circle, its scale's number.
 POINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
-ENTRY = np.dtype([("key", "<i8"), ("cls", "<i8"), ("check", "<u8")])
-KEYED, KEYED_TEXT = np.dtype([("key", "<i8"), ("check", "<u8")]), np.dtype([("key", ">i8"), ("check", ">u8")])
+KEYED, KEYED_TEXT = np.dtype([("key", "<i8"), ("one", "<u8"), ("two", "<u8")]), np.dtype([("key", ">i8"), ("one", ">u8"), ("two", ">u8")])
+ENTRY = np.dtype([*((n, KEYED[n]) for n in KEYED.names), ("cls", "<i8")])
+#: In a parcel the class is a place in the parcel's list of classes.
+PARCELLED = np.dtype([*((n, KEYED[n]) for n in KEYED.names), ("at", "<u2")])
 #: Entries that one task sorts.
-ENTRIES = 400_000
+ENTRIES = 1_600_000
 
 
 def unfiltered(data: bytes, height: int, octets: int, step: int):
@@ -285,17 +288,36 @@ def keys_of(points: np.ndarray) -> np.ndarray:
         step = np.minimum((far[i, j] - PATCH) // FAR, 3).astype(np.int64)
         made = np.zeros(len(i), KEYED)
         made["key"] = ((((parts[0][own[i]] << KEY_BITS | parts[2][own[j]]) * TURNS + place) * TURNS) + turned) * 4 + step
-        made["check"] = (parts[1][own[i]] | parts[3][own[j]] << CHECK_BITS).view(np.uint64)
+        made["one"], made["two"] = parts[1][own[i]].view(np.uint64), parts[3][own[j]].view(np.uint64)
         out.append(made)
     all_of = np.concatenate(out)
     return all_of[np.unique(all_of["key"], return_index=True)[1]]
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the bits beside two keys differ little, in either corner's half."""
-    off = a ^ b
-    low = np.uint64((1 << CHECK_BITS) - 1)
-    return (np.bitwise_count(off & low) <= CHECK_OFF) & (np.bitwise_count(off >> np.uint64(CHECK_BITS)) <= CHECK_OFF)
+def weight(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two entries of a key count: 2 if the bits beside it are nearly the same for both corners, 1 if they are alike, else 0."""
+    off = np.maximum(np.bitwise_count(a["one"] ^ b["one"]), np.bitwise_count(a["two"] ^ b["two"]))
+    return (off <= CHECK_OFF).astype(np.uint8) + (off <= CLOSE_OFF)
+
+
+def parcel(entries: np.ndarray) -> bytes:
+    """Entries of at most 65,536 classes as bytes."""
+    classes, at = np.unique(entries["cls"], return_inverse=True)
+    out = np.empty(len(entries), PARCELLED)
+    for n in KEYED.names:
+        out[n] = entries[n]
+    out["at"] = at
+    return np.int64(len(classes)).tobytes() + classes.tobytes() + out.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    held = np.frombuffer(blob, PARCELLED, offset=8 + 8 * n)
+    out = np.empty(len(held), ENTRY)
+    for name in KEYED.names:
+        out[name] = held[name]
+    out["cls"] = np.frombuffer(blob, np.int64, n, offset=8)[held["at"]]
+    return out
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -325,8 +347,8 @@ def agreeing(a: np.ndarray, b: np.ndarray, max_bits: int) -> int:
     return consensus(a[i], b[j])
 
 
-def matches_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches (a, b) with a < b among entries of whole keys, and which entries, sorted and each once, are in kept runs."""
+def matches_of(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches (a, b, weight) with a < b among entries of whole keys, and which entries, sorted and each once, are in kept runs."""
     e = e[np.lexsort((e["cls"], e["key"]))]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
@@ -343,8 +365,9 @@ def matches_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left.append(np.full(n - 1, a))
         right.append(np.arange(a + 1, a + n))
     i, j = np.concatenate(left), np.concatenate(right)
-    ok = alike(e["check"][i], e["check"][j])
-    return e["cls"][i[ok]], e["cls"][j[ok]], e[np.repeat(length > PAIR_ALL, length)]
+    counts = weight(e[i], e[j])
+    ok = counts > 0
+    return e["cls"][i[ok]], e["cls"][j[ok]], counts[ok], e[np.repeat(length > PAIR_ALL, length)]
 
 
 def _both(rows: pa.Table, kind: np.dtype):
@@ -358,7 +381,7 @@ def _both(rows: pa.Table, kind: np.dtype):
 
 
 def match_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """(left, right): in how many keys that two images share the bits beside them differ little."""
+    """(left, right): the weights of two images' matches."""
     x, y = np.concatenate(left), np.concatenate(right)
     of_x, of_y = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.repeat(np.arange(len(right)), [len(v) for v in right])
     count = np.zeros((len(left), len(right)), dtype=np.uint16)
@@ -366,7 +389,7 @@ def match_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     (x, of_x), (y, of_y) = ((v[order], of[order]) for v, of in ((x, of_x), (y, of_y)) for order in (np.argsort(v["key"], kind="stable"),))
     ends = [np.searchsorted(v["key"], both, side) for v in (x, y) for side in ("left", "right")]
     for a, b, c, d in zip(*ends, strict=True):  # an image holds a key once
-        count[np.ix_(of_x[a:b], of_y[c:d])] += alike(x["check"][a:b, None], y["check"][None, c:d])
+        count[np.ix_(of_x[a:b], of_y[c:d])] += weight(x[a:b, None], y[None, c:d])
     return count
 
 
@@ -450,7 +473,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
                     seen.add(c)
                     keyed = keys_of(np.frombuffer(data.as_buffer(), POINT))
                     own = np.zeros(len(keyed), ENTRY)
-                    own["key"], own["cls"], own["check"] = keyed["key"], c, keyed["check"]
+                    own["key"], own["one"], own["two"], own["cls"] = keyed["key"], keyed["one"], keyed["two"], c
                     made.append(own)
                 if not made:
                     continue
@@ -459,19 +482,20 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
                 order = np.argsort(bucket, kind="stable")
                 every, bucket = every[order], bucket[order]
                 ids, at = np.unique(bucket, return_index=True)
-                blobs = [every[a:b].tobytes() for a, b in zip(at, [*at[1:], len(every)], strict=True)]
+                blobs = [parcel(every[a:b]) for a, b in zip(at, [*at[1:], len(every)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
     def match(_, rows):
-        a, b, runs = matches_of(np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()]))
-        both, count = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True)
+        a, b, counts, runs = matches_of(np.concatenate([unpacked(x) for x in rows["entries"].to_pylist()]))
+        both, of = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+        count = np.bincount(of.ravel(), weights=counts, minlength=len(both))
         kind = np.repeat([0, 1], [len(both), len(runs)]).astype(np.int32)
-        cols = [kind, np.concatenate([both[:, 0], runs["key"]]), np.concatenate([both[:, 1], runs["cls"]]), np.concatenate([count.astype(np.int64), runs["check"].view(np.int64)])]
-        return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n"])
+        cols = [kind, np.concatenate([both[:, 0], runs["key"]]), np.concatenate([both[:, 1], runs["cls"]]), np.concatenate([count.astype(np.int64), runs["one"].view(np.int64)]), np.concatenate([np.zeros(len(both), np.int64), runs["two"].view(np.int64)])]
+        return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "m"])
 
-    found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(match, "kind int, a long, b long, n long"))
+    found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(match, "kind int, a long, b long, n long, m long"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("n").alias("check"))
+    runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("n").alias("one"), F.col("m").alias("two"))
     points = one.dropDuplicates(["cls"])
 
     def agree(batches):
@@ -484,7 +508,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
     roots = shared(components(links))
     placed = runs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count(F.lit(1)).alias("roots"))
-    hexed = F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
+    hexed = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in KEYED.names))
     inside = shared(placed.join(held.where("roots > 1").select("key", "family"), "key").groupBy("family", "cls").agg(F.first("root").alias("root"), F.collect_set(hexed).alias("keys")))
     if not inside.isEmpty():
         as_member = lambda df, data: df.select("family", "cls", F.lit(1).cast("long").alias("n"), "root", F.lit(0).cast("long").alias("more"), data.alias("data"))
