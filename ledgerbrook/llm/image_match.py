@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, lean, shared
+from ledgerbrook.llm.common import bounded_batches, join_checked, lean, shared
 from ledgerbrook.llm.components import components
 from ledgerbrook.llm.jaccard_join import meetings
 
@@ -494,17 +494,22 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
         return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "m"])
 
     found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(match, "kind int, a long, b long, n long, m long"))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    pairs = shared(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("a", "b"))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("n").alias("one"), F.col("m").alias("two"))
-    points = one.dropDuplicates(["cls"])
+
+    def points_of(needed: DataFrame) -> DataFrame:
+        """The corners of the classes ``needed`` (cls)."""
+        ids = shared(needed.select(F.col("cls").alias("needed")).distinct())
+        return join_checked(one, ids, F.col("cls") == F.col("needed"), "left_semi", 24).dropDuplicates(["cls"])
 
     def agree(batches):
         for batch in batches:
             good = [agreeing(*(np.frombuffer(x.as_buffer(), POINT) for x in both), max_bits) >= min_inliers for both in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    points = points_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))))
     pa_, pb = points.select(F.col("cls").alias("a"), F.col("points").alias("at_a")), points.select(F.col("cls").alias("b"), F.col("points").alias("at_b"))
-    links = shared(pairs.select("a", "b").join(pa_, "a").join(pb, "b").select("a", "b", "at_a", "at_b").mapInArrow(lean(agree), "u long, v long"))
+    links = shared(pairs.join(pa_, "a").join(pb, "b").select("a", "b", "at_a", "at_b").mapInArrow(lean(agree), "u long, v long"))
     roots = shared(components(links))
     placed = runs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count(F.lit(1)).alias("roots"))
@@ -523,7 +528,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
             return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         chances = shared(met.groupBy("meet").applyInArrow(look, "family long, cls long").distinct())
-        whole = inside.select("family", "cls", "root").join(chances, ["family", "cls"]).join(points, "cls")
+        whole = inside.select("family", "cls", "root").join(chances, ["family", "cls"]).join(points_of(chances), "cls")
         later = meetings(as_member(whole, F.col("points")), 75).groupBy("meet").applyInArrow(join, "u long, v long")
         roots = shared(components(links.union(shared(later.distinct()))))
     heads = all_of.where("cls is not null").groupBy("cls").agg(F.min("id").alias("class_id"))
