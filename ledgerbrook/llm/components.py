@@ -6,11 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm.common import shared
+from ledgerbrook.llm.common import lean, shared
+
+#: Nodes that a task joins at a time.
+NODES = 1_000_000
 
 
 def _contract(batches):
-    """Replace a partition's edges by a star for each of its local components."""
+    """Replace a partition's edges by a star for each of its local components, ``NODES`` or so at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -18,15 +21,21 @@ def _contract(batches):
             parent[x] = x = parent[parent[x]]
         return x
 
+    def stars():
+        nodes = [x for x in parent if root(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    for at in range(0, len(nodes), 50_000):
-        part = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(parent) > NODES:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +45,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to a root. Rounds grow with the logarithm of the number of nodes. Each round's edges are written to shared storage.
     """
     edges = edges.where("u <> v").select("u", "v")
-    edges = shared(edges.mapInArrow(_contract, "u long, v long").distinct())
+    edges = shared(edges.mapInArrow(lean(_contract), "u long, v long").distinct())
     for _ in range(max_rounds):
         # an edge (u, v) has v < u; the work is done when no v has a smaller neighbour itself, so all are stars
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,7 +55,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        after = shared(after.mapInArrow(_contract, "u long, v long").distinct())
+        after = shared(after.mapInArrow(lean(_contract), "u long, v long").distinct())
         moved = after.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         still = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
