@@ -63,6 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def return_memory() -> None:
+    """Give what the worker's allocators hold without need back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(function):
     """Wrap a function over Arrow batches: at its end the worker returns free memory to the system.
 
@@ -73,9 +80,19 @@ def lean(function):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            return_memory()
+
+    return run
+
+
+def lean_group(function):
+    """The same for a function over a group's key and rows: memory goes back after each group."""
+
+    def run(key, rows):
+        try:
+            return function(key, rows)
+        finally:
+            return_memory()
 
     return run
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, join_checked, lean, shared
+from ledgerbrook.llm.common import bounded_batches, join_checked, lean, lean_group, shared
 from ledgerbrook.llm.components import components
 from ledgerbrook.llm.jaccard_join import meetings
 
@@ -493,7 +493,7 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
         cols = [kind, np.concatenate([both[:, 0], runs["key"]]), np.concatenate([both[:, 1], runs["cls"]]), np.concatenate([count.astype(np.int64), runs["one"].view(np.int64)]), np.concatenate([np.zeros(len(both), np.int64), runs["two"].view(np.int64)])]
         return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "m"])
 
-    found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(match, "kind int, a long, b long, n long, m long"))
+    found = shared(one.mapInArrow(lean(parcels), "bucket long, entries binary").groupBy("bucket").applyInArrow(lean_group(match), "kind int, a long, b long, n long, m long"))
     pairs = shared(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("a", "b"))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("n").alias("one"), F.col("m").alias("two"))
 
@@ -527,9 +527,9 @@ def similar_images(images: DataFrame, id_col: str = "id", data_col: str = "data"
             u, v = joining(rows, max_bits, min_inliers)
             return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        chances = shared(met.groupBy("meet").applyInArrow(look, "family long, cls long").distinct())
+        chances = shared(met.groupBy("meet").applyInArrow(lean_group(look), "family long, cls long").distinct())
         whole = inside.select("family", "cls", "root").join(chances, ["family", "cls"]).join(points_of(chances), "cls")
-        later = meetings(as_member(whole, F.col("points")), 75).groupBy("meet").applyInArrow(join, "u long, v long")
+        later = meetings(as_member(whole, F.col("points")), 75).groupBy("meet").applyInArrow(lean_group(join), "u long, v long")
         roots = shared(components(links.union(shared(later.distinct()))))
     heads = all_of.where("cls is not null").groupBy("cls").agg(F.min("id").alias("class_id"))
     rooted = heads.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, join_checked, lean, shared, slices
+from ledgerbrook.llm.common import bounded_batches, join_checked, lean, lean_group, shared, slices
 from ledgerbrook.llm.components import components
 
 FEW, PAIR_ALL = 8, 32
@@ -478,7 +478,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = max(1, total * (100 - percent) // 100 // ENTRIES)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
     parcels = source.select(text_col).mapInArrow(forgetful(_index(width, percent, sent, buckets)), "bucket long, entries binary")
-    found = shared(parcels.groupBy("bucket").applyInArrow(_pairs(percent), "kind int, a long, b long, n long, need long"))
+    found = shared(parcels.groupBy("bucket").applyInArrow(lean_group(_pairs(percent)), "kind int, a long, b long, n long, need long"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n")
     heads = listed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"))
@@ -517,12 +517,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = inside.groupBy("cls").agg(F.sum(F.size("keys")).alias("more"))  # different components share none but these runs
     packed = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
     chances = meetings(inside.join(own, "cls").withColumn("data", packed), percent)
-    chances = shared(chances.groupBy("meet").applyInArrow(_promising(percent), "family long, cls long").distinct())
+    chances = shared(chances.groupBy("meet").applyInArrow(lean_group(_promising(percent)), "family long, cls long").distinct())
     later = [verified(rest)] if not rest.isEmpty() else []
     if not chances.isEmpty():
         whole = inside.select("family", "cls", "n", "root").join(chances, ["family", "cls"]).join(sets_of(chances.select("cls")), "cls")
         met = meetings(whole.select("family", "cls", "n", "root", F.lit(0).cast("long").alias("more"), F.col("tokens").alias("data")), percent)
-        later.append(shared(met.groupBy("meet").applyInArrow(_joining(percent), "u long, v long").distinct()))
+        later.append(shared(met.groupBy("meet").applyInArrow(lean_group(_joining(percent)), "u long, v long").distinct()))
     if later:
         links = reduce(DataFrame.union, [links, *later])
         roots = shared(components(links))

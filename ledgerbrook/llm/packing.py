@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, lean
+from ledgerbrook.llm.common import bounded_batches, lean, lean_group
 
 #: Control characters that Python's split() takes for white space and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -204,4 +204,4 @@ def pack(
         sequence = (key[0].as_py() << 32) + where
         return rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return light.groupBy("pack_group").applyInArrow(fill, schema)
+    return light.groupBy("pack_group").applyInArrow(lean_group(fill), schema)
