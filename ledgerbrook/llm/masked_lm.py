@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbrook.llm.common import bounded_batches, lean, lean_group, shared, slices
+from ledgerbrook.llm.common import bounded_batches, lean, shared, slices
 
 #: Words with outputs of their own, rests and groups of outputs; neighbours on either side; width of the hidden layer.
 OWN, RESTS, GROUPS, SIDE, WIDTH = 512, 256, 16, 2, 16
@@ -351,7 +351,7 @@ def fit(ready: DataFrame, rate: float = 0.4, rounds: int = 2) -> tuple[Vocabular
         copies = dealt.where(F.col("round") == at).select("shard", "mark", "outputs").groupBy("shard").applyInArrow(lean_group(train), schema)
         left = shards
         while left > 1:  # FAN copies meet in a task, again and again
-            copies = copies.groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(lean_group(average), schema)
+            copies = copies.groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(average, schema)
             left = -(-left // FAN)
         found = copies.collect()
         if found:
@@ -360,6 +360,15 @@ def fit(ready: DataFrame, rate: float = 0.4, rounds: int = 2) -> tuple[Vocabular
     return vocabulary, network
 
 
+def lean_group(function):
+    """``lean`` for a function over groups."""
+
+    def run(key, rows):
+        return next(lean(lambda _: iter([function(key, rows)]))(None))
+
+    return run
+
+
 def score(ready: DataFrame, vocabulary: Vocabulary, network: Network, id_name: str = "doc_id") -> DataFrame:
     """Per document: its id, n_words, log_prob (the sum) and mean_log_prob (null without words)."""
     schema = T.StructType([T.StructField(id_name, ready.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
