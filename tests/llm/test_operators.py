@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -704,3 +705,25 @@ def test_png_round_trip():
 
 def test_registered_names():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_contraction_in_parts_keeps_what_is_joined(monkeypatch):
+    monkeypatch.setattr(components, "NODES", 300)
+    u, v = np.random.default_rng(1).integers(0, 5000, (2, 6000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 100]), pa.array(v[i : i + 100])], names=["u", "v"]) for i in range(0, 6000, 100)]
+
+    def roots(edges):
+        above = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                x = above[x]
+            return x
+
+        for a, b in edges:
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+        return {x: top(x) for x in above}
+
+    got = roots([(a, b) for out in components._contract(batches) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)])
+    assert all(got.get(x, x) == r for x, r in roots(zip(u.tolist(), v.tolist(), strict=True)).items())
