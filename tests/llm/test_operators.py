@@ -5,8 +5,10 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerbrook.llm import components, html_text, image_match, jaccard_join, langid, line_dedup, masked_lm, mixing, packing, posting_ann, toxicity
+from ledgerbrook.llm.common import freed, shared
 from ledgerbrook.llm.queries import QUERIES, vocabulary
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -124,6 +127,53 @@ def test_jaccard_join_links_through_a_text_without_id(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in joined.collect()) == [("1", 1), ("2", 1), ("4", 4), ("5", 5), ("None", 1), ("None", 1)]
 
 
+def shuffle_octets(spark):
+    """Bytes of shuffled data on this machine's disk now."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*.data"))
+
+
+def settled(now, most, seconds=20):
+    """Whether ``now()`` falls to ``most``: Spark deletes files in a thread of its own."""
+    end = time.monotonic() + seconds
+    while now() > most and time.monotonic() < end:
+        time.sleep(0.1)
+    return now() <= most
+
+
+def test_files_of_finished_shuffles_go_at_once(spark):
+    freed(spark)
+    before = shuffle_octets(spark)
+    kept = shared(spark.range(200_000).select(F.xxhash64("id").alias("x")).repartition(4, "x"))
+    written = shuffle_octets(spark) - before
+    assert written > 1_000_000
+    freed(spark)
+    assert settled(lambda: shuffle_octets(spark), before + written // 10)
+    assert kept.count() == 200_000
+
+
+def test_jaccard_join_keeps_no_index_on_disk(spark, monkeypatch):
+    """The index has gone when its candidates are verified."""
+    rng = random.Random(5)
+    texts = [prose(rng, 400, [f"w{i}" for i in range(5000)]) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string")
+    sizes, pairs, sets = [], jaccard_join._pairs, jaccard_join._sets
+
+    def paired(percent):
+        sizes.append(shuffle_octets(spark))
+        return pairs(percent)
+
+    def whole(width):
+        sizes.append(settled(lambda: shuffle_octets(spark), sizes[0] + 1_000_000))  # of an index of 3 MB
+        return sets(width)
+
+    freed(spark)
+    monkeypatch.setattr(jaccard_join, "_pairs", paired)
+    monkeypatch.setattr(jaccard_join, "_sets", whole)
+    out = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(docs).collect()}
+    assert out[1500] == 0 and len(sizes) > 1 and all(sizes[1:])
+
+
 def test_jaccard_join_of_a_large_family_in_small_blocks(spark, monkeypatch):
     """5,000 near copies, their sizes too, with blocks and parts so small that many of them meet."""
     for name, value in (("BLOCK_CLASSES", 300), ("PART_ROWS", 400), ("BLOCK", 1 << 16), ("ENTRIES", 20_000)):
