@@ -109,13 +109,18 @@ def lean(function):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trimmed()
 
     return run
 
 
+def trimmed() -> None:
+    """Return this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @cache
 def letter_table(digits: bool = False) -> np.ndarray:
     """Which code points are letters, or digits too."""
