@@ -12,34 +12,46 @@ null ids are allowed; an empty table gives no pieces. Columns beside id and text
 
 from __future__ import annotations
 
+import codecs
 import math
 import os
-import re
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerbrook.llm.common import bounded_batches, lean
 
-#: Control characters that Python's split() takes for white space and the tokenizer doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
+#: Texts in which a capital can't be put in lower case by itself: a mark after it may join it, or it's in a special token.
+ODD = "[^\\x00-\\x{2ff}]|<\\|"
 
 
 @cache
 def tokenizer(path: str):
+    """The vocabulary as it is; without all that plain words don't need; which ids end a word; and ids known so far."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
     plain.normalizer = None  # plain words need no normalisation, and only spaces separate them
-    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return whole, plain, {}, {}
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    named = whole.get_vocab()
+    ends = np.zeros(max(named.values()) + 1, dtype=bool)
+    ends[[i for name, i in named.items() if name.endswith("</w>")]] = True
+    return whole, plain, ends, {}
+
+
+@cache
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary; a space stays one."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return "".join(" " if b == 32 else chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256))
 
 
 def stem(word: str) -> tuple[str, str, bool]:
@@ -66,23 +78,54 @@ def encode_into(known: dict[str, bytes], words: list[str], model) -> None:
         known.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
 
-def ids_of(texts: list[str | None], path: str, words_kept: int = 900_000) -> list[bytes]:
+def encode_plain(known: dict[str, bytes], words: list[str], model, ends: np.ndarray) -> None:
+    """As ``encode_into``, for plain words: each ends with the first id that ends a word, so no offsets are needed."""
+    for at in range(0, len(words), 200):
+        part = words[at : at + 200]
+        letters = codecs.charmap_decode(" ".join(part).encode(), "strict", byte_letters())[0]
+        ids = np.array(model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+        data, cuts = ids.tobytes(), (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        known.update((w, data[a:b]) for w, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+
+
+def ids_of(texts: pa.Array, path: str, words_kept: int = 900_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so each word is encoded once and remembered; new words
-    are encoded many at a time.
+    are encoded many at a time. Arrow splits the texts and finds their distinct words, so Python sees each only once.
     """
-    whole, plain, known, stems = tokenizer(path)
-    split = [[] if not t else BLANKS.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
+    whole, plain, ends, known = tokenizer(path)
+    texts = pc.fill_null(texts, "")
+    texts = pc.if_else(pc.match_substring_regex(texts, ODD), texts, pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.values.dictionary_encode()
+    n = len(coded.dictionary)
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ")
     if len(known) > words_kept:
         known.clear()
-        stems.clear()
-    new = [(w, *stem(w)) if w else ("", "", "", True) for w in set().union(*split).difference(known)]
-    encode_into(stems, list({s for _, s, _, easy in new if easy and s}.difference(stems)), plain)
-    encode_into(stems, list({x for _, s, mark, easy in new for x in ((mark,) if easy else (s, mark)) if x}.difference(stems)), whole)
-    stems[""] = b""
-    known.update((w, stems[s] + stems[mark] if mark else stems[s]) for w, s, mark, _ in new)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    known[""] = b""
+    found = list(map(known.get, words))
+    new = [i for i, data in enumerate(found) if data is None]
+    easy, hard, made = set(), set(), []
+    for w in map(words.__getitem__, new):
+        s, mark, is_plain = stem(w)
+        if s not in known:
+            (easy if is_plain else hard).add(s)
+        if mark and mark not in known:
+            hard.add(mark)
+        if mark or s != w:
+            made.append((w, s, mark))
+    encode_plain(known, list(easy), plain, ends)
+    encode_into(known, list(hard), whole)
+    known.update((w, known[s] + known[mark]) for w, s, mark in made)
+    for i in new:
+        found[i] = known[words[i]]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=n)
+    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(begins), pa.py_buffer(b"".join(found))]).take(coded.indices)
+    cuts = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])[split.offsets.to_numpy()].tolist()
+    data = memoryview(ids.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def best_fit(needs: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, int]:
@@ -131,30 +174,27 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, data in enumerate(ids_of(column.slice(at, 256).to_pylist(), vocabulary, words_kept)):
-                    data += end
-                    for j, b in enumerate(range(0, len(data), 4 * size)):
-                        part = data[b : b + 4 * size]
-                        row.append(at + k)
-                        piece.append(j)
-                        start.append(b // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        ids.append(part if with_ids else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                    names=schema.names,
-                )
+            row, piece, start, length, crc, ids = [], [], [], [], [], []
+            for k, data in enumerate(ids_of(batch.column(1), vocabulary, words_kept)):
+                data += end
+                for j, b in enumerate(range(0, len(data), 4 * size)):
+                    part = data[b : b + 4 * size]
+                    row.append(k)
+                    piece.append(j)
+                    start.append(b // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    ids.append(part if with_ids else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
+                names=schema.names,
+            )
 
     def cut_and_forget(batches):
         try:
             yield from cut(batches)
         finally:
-            for words in tokenizer(vocabulary)[2:]:
-                words.clear()
+            tokenizer(vocabulary)[-1].clear()
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(cut_and_forget if forget else cut), schema)
 

@@ -279,6 +279,44 @@ def test_packing_round_trip(spark):
     assert len(places) <= sum(r.length for r in got) / 256 + 7
 
 
+def test_packing_looks_at_each_word_once(monkeypatch):
+    """A word in whatever case is taken apart once, and plain words are encoded without offsets; the ids stay the same."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    stock = ["".join(rng.choice("abcdeilnorsté") for _ in range(9)) for _ in range(2000)]
+    cased = ["".join(rng.choice((c, c.upper() if c.isascii() else c)) for c in w) for w in stock for _ in range(8)]
+    rng.shuffle(cased)
+    texts = [" ".join(cased[k : k + 80]) for k in range(0, len(cased), 80)]
+    taken, slow = [], []
+    stem, encode_into = packing.stem, packing.encode_into
+
+    def counted(known, words, model):
+        slow.extend(words)
+        encode_into(known, words, model)
+
+    monkeypatch.setattr(packing, "stem", lambda w: (taken.append(w), stem(w))[1])
+    monkeypatch.setattr(packing, "encode_into", counted)
+    packing.tokenizer.cache_clear()  # no words are known yet
+    ids = packing.ids_of(pa.array(texts), vocabulary())
+    model = Tokenizer.from_file(vocabulary())
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(taken) <= len(set(stock)) and not slow
+
+
+def test_packing_ids_are_the_tokenizers():
+    """Odd letters, marks, white space and special tokens, with words forgotten now and then."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    pool = [*"abAJTWYİIiıſßÉéÅåøÑ.,;:!?'\"-_/019@\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\xad\x00\u0331\u030c\u0301\u0307ΣςKǰ中😀²ª<|>", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "THE", *"   "]
+    model = Tokenizer.from_file(vocabulary())
+    for words_kept in (0, 50, 900_000) * 10:
+        texts = [None, "", " \n", *("".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(100))]
+        got = packing.ids_of(pa.array(texts, pa.string()), vocabulary(), words_kept)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_keeps_an_attention_capacity(spark):
     """The sum of squared lengths binds; a piece that exceeds it alone stands alone."""
     rng = random.Random(3)
