@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ledgerbrook.functions.aggregates import FOLDED
 
+#: Runs of ``FOLDED`` rows that an ordered fold takes in one step.
+CHAINED = 32
+
 
 class LazyStream:
     """``order``: columns that put the rows in sequence, for take, head and tail."""
@@ -58,23 +62,32 @@ class LazyStream:
     def fold_left(self, start: Column, step: Callable[[Column, Column], Column], column: str) -> Column | object:
         """Fold values in sequence.
 
-        An ordered fold can't be split, so it goes from partition to partition of the sorted rows: each step folds one run
-        of at most ``FOLDED`` rows, and only a run's values are in memory.
+        An ordered fold can't be split, so a state goes from run to run. The rows are sorted and gathered in runs of at most
+        ``FOLDED`` rows on the executors, staged; each step folds at most ``CHAINED`` of them in one task, and only their
+        values are in memory. The driver sees the states alone.
         """
-        spark, kind = self.df.sparkSession, self.df.select(column).schema[0].dataType
-        state = spark.range(1).select(start.alias("value")).first()[0]
-        out = spark.range(1).select(start.alias("value")).schema[0].dataType
-        one = T.StructType([T.StructField("state", out), T.StructField("items", T.ArrayType(kind))])
-
-        def folded(items: list):
-            return spark.createDataFrame([(state, items)], one).select(F.aggregate("items", F.col("state"), step).alias("value")).first()[0]
-
-        held: list = []
-        for row in self._ordered().select(column).toLocalIterator():
-            held.append(row[0])
-            if len(held) == FOLDED:
-                state, held = folded(held), []
-        return folded(held) if held else state
+        spark = self.df.sparkSession
+        first = spark.range(1).select(start.alias("state"))
+        state, held = first.first()[0], first.schema[0].dataType
+        at = F.monotonically_increasing_id()  # of sorted rows: the partition's number, then the row's place in it
+        values = self._ordered().select(F.col(column).alias("value")).select(at.alias("at"), "value")
+        listed = F.collect_list(F.struct("at", "value"))
+        plain = "map<" not in values.schema["value"].dataType.simpleString()  # maps have no order
+        placed = F.sort_array(listed) if plain else F.array_sort(listed, lambda x, y: (x["at"] - y["at"]).cast("int"))
+        each = values.groupBy(F.floor(F.col("at") / FOLDED).alias("run")).agg(placed.alias("items"))
+        runs = each.select("run", F.col("items.value").alias("items")).persist(StorageLevel.DISK_ONLY)
+        try:
+            numbers = sorted(r.run for r in runs.select("run").collect())
+            for k in range(0, len(numbers), CHAINED):
+                some = runs.where(F.col("run").between(numbers[k], numbers[min(k + CHAINED, len(numbers)) - 1]))
+                listed = F.collect_list(F.struct("run", "items"))
+                part = some.agg((F.sort_array(listed) if plain else F.array_sort(listed, lambda x, y: F.signum(x["run"] - y["run"]).cast("int"))).alias("runs"))
+                before = spark.createDataFrame([(state,)], T.StructType([T.StructField("state", held)]))
+                chain = F.aggregate("runs", F.col("state"), lambda a, r: F.aggregate(r["items"], a, step))
+                state = before.crossJoin(part).select(chain.alias("state")).first()[0]
+        finally:
+            runs.unpersist()
+        return state
 
     def for_each(self, function: Callable[[Row], None]) -> None:
         for row in self._ordered().toLocalIterator():

@@ -2,11 +2,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerbrook.functions.types import REGISTRY
-from ledgerbrook.operators import sketch
+from ledgerbrook.operators import lazy_stream, sketch
 from ledgerbrook.operators.lazy_stream import LazyStream
 from ledgerbrook.operators.schema import parse_schema
 from ledgerbrook.sources.store import Store
@@ -105,3 +106,24 @@ def test_publish_and_subscribe(spark, tmp_path):
     producer.send(["51", "later", 99])
     producer.flush()
     assert consumer.consume().N == 99
+
+
+def test_ordered_fold_leaves_its_values_on_the_executors(spark, monkeypatch):
+    """Runs of several partitions in order; the driver takes no rows."""
+    monkeypatch.setattr(lazy_stream, "FOLDED", 64)
+    monkeypatch.setattr(lazy_stream, "CHAINED", 3, raising=False)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    rng = random.Random(4)
+    values = [rng.randrange(1000) for _ in range(3000)]
+    want = 7
+    for v in values:
+        want = (want * 31 + v) % 1_000_003
+    rows = list(enumerate(values))
+    rng.shuffle(rows)
+    s = LazyStream(spark.createDataFrame(rows, "at long, v long").repartition(5), ["at"])
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert s.fold_left(F.lit(7).cast("long"), lambda a, v: (a * 31 + v) % 1_000_003, "v") == want
+    texts = s.map(v=F.create_map(F.lit("x"), F.col("v").cast("string")))
+    assert texts.filter(F.col("at") < 200).fold_left(F.lit(""), lambda a, m: F.concat(a, m["x"]), "v") == "".join(map(str, values[:200]))
+    assert s.filter(F.col("at") < 0).fold_left(F.lit(5), lambda a, v: a + v.cast("int"), "v") == 5
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
